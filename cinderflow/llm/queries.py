@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, pii, secret_scan
+from . import line_crf, pii, secret_scan, token_output
 from .tables import read
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is, on the driver and on each executor alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_output.encode_to_shards(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_output.document_digests(shards)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
     counts = [pii.count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -28,6 +40,7 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
     "op2_secret_scan": op2_secret_scan,
     "op3_pii": op3_pii,
     "op6_line_crf": op6_line_crf,
