@@ -159,3 +159,42 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
         return np.zeros(n, bool)
     delta = np.bincount(starts, minlength=n + length + 1) - np.bincount(starts + length, minlength=n + length + 1)[: n + length + 1]
     return np.cumsum(delta)[:n] > 0
+
+
+class SpanCache:
+    """Integer sequences of spans seen before, sorted by the spans' hashes; emptied when it would hold more than `limit`."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = self.size = np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Indexes of the sorted, distinct keys that `add` has to bring before `get` can be asked for all of them."""
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            new = np.flatnonzero(self.keys[place] != keys)
+            if len(self.keys) + len(new) <= self.limit:
+                return new
+            self.reset()
+        return np.arange(len(keys))
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        where = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, where, size)
+        self.keys = np.insert(self.keys, where, keys)
+        self.used += len(flat)
+
+    def get(self, keys: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of keys[inverse] one after another, and the length of each."""
+        place = np.searchsorted(self.keys, keys)
+        size = self.size[place][inverse]
+        return self.flat[ragged(self.at[place][inverse], size)], size

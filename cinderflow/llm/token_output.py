@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, SPACE, blocks, prefix_hash, ragged, span_hash, sums
+from .arrays import BYTE_CODE, SPACE, SpanCache, blocks, prefix_hash, ragged, span_hash, sums
 from .tables import documents, work_path
 
 END_ID = 2
@@ -67,41 +67,14 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of whole texts, each distinct piece encoded once as long as the cache, sorted by the pieces' hashes, holds it."""
+    """Ids of whole texts, each distinct piece encoded once as long as the cache holds it."""
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = self.size = np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_PIECES:
-            self.reset()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, where, size)
-        self.keys = np.insert(self.keys, where, keys)
-        self.used += len(ids)
-
-    def known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each key in the cache, and whether it is there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return place, self.keys[place] == keys
+        self.cache = SpanCache(CACHE_PIECES)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, and how many each document has."""
@@ -109,17 +82,15 @@ class PieceEncoder:
         end = np.append(start[1:], len(data))[: len(start)]
         keys = span_hash(prefix_hash(BYTE_CODE[data]), start, end)
         unique, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place, there = self.known(unique)
-        if not there.all():
-            if len(self.keys) + len(unique) > CACHE_PIECES:
-                self.reset()
-                there[:] = False
-            new = np.flatnonzero(~there)
+        new = self.cache.missing(unique)
+        if len(new):
             raw = data.tobytes()
-            self.learn(unique[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, unique)
-        size = self.size[place][inverse]
-        return self.flat[ragged(self.at[place][inverse], size)], sums(size, np.searchsorted(start, offsets, "left"))
+            pieces = [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.cache.add(unique[new], np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
+        ids, size = self.cache.get(unique, inverse)
+        return ids, sums(size, np.searchsorted(start, offsets, "left"))
 
 
 _encoders: dict[str, PieceEncoder] = {}
