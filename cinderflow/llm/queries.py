@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, pii, piece_viterbi, secret_scan, token_output, weak_toxicity
+from . import line_crf, pii, piece_viterbi, secret_scan, setsketch, token_output, weak_toxicity
 from .tables import read
 
 
@@ -39,6 +39,10 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_lines(docs, line_crf.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read(spark, sf_dir, "documents"), 85)
+
+
 def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     return piece_viterbi.digests(piece_viterbi.encode(read(spark, sf_dir, "documents"), model), model)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_pii": op3_pii,
     "op6_line_crf": op6_line_crf,
+    "op7_setsketch": op7_setsketch,
     "op9_piece_viterbi": op9_piece_viterbi,
     "op10_weak_toxicity": op10_weak_toxicity,
 }

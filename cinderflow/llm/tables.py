@@ -1,13 +1,14 @@
-"""Reading the input tables and cutting lineage through the cluster's shared folder."""
+"""Reading the input tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder, staged, work_path
+
+__all__ = ["documents", "read", "shared_folder", "staged", "work_path"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,25 +17,3 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (and `more`), null text as empty; other columns, whatever their names, go no further."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cinderflow-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
-    return folder.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """`df` written once as a Parquet table in the shared folder and read back: its lineage ends there, so a lost
-    executor costs a re-read and not a recomputation of everything before."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
