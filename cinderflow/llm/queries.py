@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, pii, piece_viterbi, secret_scan, setsketch, token_output, weak_toxicity
+from . import line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
 from .tables import read
 
 
@@ -34,6 +34,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.dedup_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_crf.score_lines(docs, line_crf.fit(docs, read(spark, sf_dir, "labels")))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_secret_scan": op2_secret_scan,
     "op3_pii": op3_pii,
+    "op4_suffix_trees": op4_suffix_trees,
     "op6_line_crf": op6_line_crf,
     "op7_setsketch": op7_setsketch,
     "op9_piece_viterbi": op9_piece_viterbi,
