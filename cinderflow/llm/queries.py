@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
+from . import induced_sort, line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
 from .tables import read
 
 
@@ -38,6 +38,10 @@ def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.dedup_passages(read(spark, sf_dir, "documents"))
 
 
+def op5_induced_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return induced_sort.dedup_bytes(read(spark, sf_dir, "documents"))
+
+
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_crf.score_lines(docs, line_crf.fit(docs, read(spark, sf_dir, "labels")))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_pii": op3_pii,
     "op4_suffix_trees": op4_suffix_trees,
+    "op5_induced_sort": op5_induced_sort,
     "op6_line_crf": op6_line_crf,
     "op7_setsketch": op7_setsketch,
     "op9_piece_viterbi": op9_piece_viterbi,
