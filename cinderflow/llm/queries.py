@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import induced_sort, line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
+from . import induced_sort, latent_decontam, line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
 from .tables import read
 
 
@@ -51,9 +51,12 @@ def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"), 85)
 
 
+def op8_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontam.find_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    return piece_viterbi.digests(piece_viterbi.encode(read(spark, sf_dir, "documents"), model), model)
+    return piece_viterbi.round_trips(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_induced_sort": op5_induced_sort,
     "op6_line_crf": op6_line_crf,
     "op7_setsketch": op7_setsketch,
+    "op8_latent_decontam": op8_latent_decontam,
     "op9_piece_viterbi": op9_piece_viterbi,
     "op10_weak_toxicity": op10_weak_toxicity,
 }
