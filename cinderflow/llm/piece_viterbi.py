@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .arrays import SpanCache, blocks, mix, prefix_hash, ragged, span_hash, sums
 from .tables import documents
@@ -28,8 +29,9 @@ SPACE_MARK = 0x2581
 FOREIGN_MARK = 0x110000  # a U+2581 of the text itself
 #: Score below the least of all pieces that each byte of an uncovered code point costs.
 BYTE_PENALTY = 10.0
-GROUP_CELLS = 4_000_000
-CACHE_CHUNKS = 1 << 21
+BLOCK_BYTES = 1 << 20
+GROUP_CELLS = 1_000_000
+CACHE_CHUNKS = 1 << 20
 ENCODED = "doc_id long, text string, ids array<int>"
 
 
@@ -211,7 +213,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column(1)):
+            for i, j, data, offsets in blocks(batch.column(1), BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), list_column(*encode_block(data, offsets, pieces))], ["doc_id", "text", "ids"])
 
     return documents(docs).mapInArrow(run, ENCODED)
@@ -235,21 +237,42 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, n_chars of the decoded text, and whether it is the original."""
+def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, n_chars of the decoded text, and whether that is the original: `encode` and `decode`
+    in one pass, so that neither texts nor ids move between workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, counts = ids_of(batch.column(2))
-            raw, bounds = decode_block(ids, counts, pieces)
-            texts = batch.column(1).to_pylist()
-            same = [raw[a:b] == (t or "").encode() for a, b, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts, strict=True)]
-            wire, at = memoryview(ids.astype("<u4").tobytes()), np.concatenate([[0], np.cumsum(counts)]).tolist()
-            crc = [zlib.crc32(wire[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(lead[bounds[1:]] - lead[bounds[:-1]], pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "round_trip"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, round_trip boolean")
+            for i, j, data, offsets in blocks(batch.column(1), BLOCK_BYTES):
+                ids, counts = encode_block(data, offsets, pieces)
+                raw, bounds = decode_block(ids, counts, pieces)
+                text = memoryview(data.tobytes())
+                same = [raw[a:b] == text[c:d] for a, b, c, d in zip(*(x.tolist() for x in (bounds[:-1], bounds[1:], offsets[:-1], offsets[1:])), strict=True)]
+                wire, at = memoryview(ids.astype("<u4").tobytes()), np.concatenate([[0], np.cumsum(counts)]).tolist()
+                crc = [zlib.crc32(wire[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(lead[bounds[1:]] - lead[bounds[:-1]], pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "round_trip"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, round_trip boolean")
+
+
+def with_ids(docs: DataFrame, model_path: str) -> DataFrame:
+    """The documents with all their columns and `piece_ids`, the ids of their text, and `round_trip`, whether decoding
+    gives the text back. Columns of those two names, if any, are replaced."""
+    kept = docs.drop("piece_ids", "round_trip")
+    place = kept.columns.index("text")
+    schema = StructType([*kept.schema.fields, StructField("piece_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(model_path)
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column(place), BLOCK_BYTES):
+                ids, counts = encode_block(data, offsets, pieces)
+                raw, bounds = decode_block(ids, counts, pieces)
+                text = memoryview(data.tobytes())
+                same = [raw[a:b] == text[c:d] for a, b, c, d in zip(*(x.tolist() for x in (bounds[:-1], bounds[1:], offsets[:-1], offsets[1:])), strict=True)]
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*rows.columns, list_column(ids, counts), pa.array(same)], [*rows.schema.names, "piece_ids", "round_trip"])
+
+    return kept.mapInArrow(run, schema)
