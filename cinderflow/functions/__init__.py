@@ -1 +1 @@
-
+"""Column functions: geography, scores, text."""

@@ -1 +1 @@
-
+"""Query plans, oracles and shared plan helpers."""
