@@ -182,7 +182,7 @@ def risk(rows: DataFrame, weights: Risk = Risk()) -> DataFrame:
     past = F.when(c("recurrent") | (n30 >= 10), 15.0).when(n30 > 0, F.least(F.lit(80.0), 30 + 8.0 * n30)).otherwise(35.0)
     odd = 100 * c("outlier_score")
     on = lambda flag, w: F.when(flag, w).otherwise(0.0)
-    w = [F.lit(weights.frp), on(c("weather_score").isNotNull(), weights.weather), on(c("has_geo"), weights.proximity), on(c("has_history"), weights.history), F.lit(weights.anomaly)]
+    w = [F.lit(weights.frp), on(c("has_weather"), weights.weather), on(c("has_geo"), weights.proximity), on(c("has_history"), weights.history), F.lit(weights.anomaly)]
     parts = [frp, weather, place, past, odd]
     mean = reduce(lambda a, b: a + b, (x * y for x, y in zip(parts, w, strict=True))) / reduce(lambda a, b: a + b, w)
     score = mean + 8 * (c("f_confidence") - 0.65)

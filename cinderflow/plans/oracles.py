@@ -108,7 +108,7 @@ c AS (SELECT *, CASE WHEN class = 'vegetation_fire' THEN 'wildfire' WHEN class I
 A = f"""{C}, a AS (SELECT *, CASE WHEN usual THEN z >= 3 ELSE z >= 2 END AS is_outlier, {up("CASE WHEN usual AND z < 3 THEN least(greatest(0.10::double + 0.04::double * z, 0.05::double), 0.25::double) WHEN usual THEN least(greatest(0.5::double + 0.08::double * z, 0.65::double), 0.95::double) WHEN z >= 2 THEN least(greatest(0.5::double + 0.1::double * z, 0.65::double), 0.99::double) ELSE least(0.55::double, greatest(0.0::double, (z + 1) / 5)) END", 3)} AS outlier_score, {up("z", 2)} AS deviation FROM c)
 """
 R = f"""{A}, r0 AS (SELECT *, 100 * frp_norm AS rf, coalesce(100 * weather_score, 25.0::double) AS rw, {clamp("100 * (0.7::double * greatest(settlement_proximity, infrastructure_proximity) + 0.2::double * least(settlement_proximity, infrastructure_proximity)) + CASE WHEN protected THEN 10.0::double ELSE 0.0 END + 15 * slope_factor", "0", "100")} AS rp,
- CASE WHEN recurrent OR coalesce(n30, 0) >= 10 THEN 15.0::double WHEN coalesce(n30, 0) > 0 THEN least(80.0::double, 30 + 8.0::double * n30) ELSE 35.0::double END AS rh_, 100 * outlier_score AS ro, CASE WHEN weather_score IS NOT NULL THEN 0.25::double ELSE 0.0::double END AS ww, CASE WHEN has_history THEN 0.1::double ELSE 0.0::double END AS wh FROM a),
+ CASE WHEN recurrent OR coalesce(n30, 0) >= 10 THEN 15.0::double WHEN coalesce(n30, 0) > 0 THEN least(80.0::double, 30 + 8.0::double * n30) ELSE 35.0::double END AS rh_, 100 * outlier_score AS ro, CASE WHEN has_weather THEN 0.25::double ELSE 0.0::double END AS ww, CASE WHEN has_history THEN 0.1::double ELSE 0.0::double END AS wh FROM a),
 r1 AS (SELECT *, ((rf * 0.35::double + rw * ww + rp * 0.2::double + rh_ * wh + ro * 0.1::double) / (0.35::double + ww + 0.2::double + wh + 0.1::double) + 8 * (f_confidence - 0.65::double)) * CASE source WHEN 'prescribed_burn' THEN 0.75::double WHEN 'agricultural' THEN 0.85::double ELSE 1.0::double END AS raw FROM r0),
 r AS (SELECT *, {up(clamp("raw", "0", "100"), 1)} AS risk FROM r1)
 """
@@ -194,6 +194,7 @@ ORACLES: dict[str, str] = {
     "kv_meta": "SELECT 'k' || (event_id % 20)::varchar AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1",
     "cache_fresh_stale": "WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'osm' ELSE 'weather' END AS namespace, event_id % 300 AS key, max(ts) AS created FROM events WHERE event_id % 11 <> 0 GROUP BY ALL) SELECT namespace, floor(epoch(TIMESTAMP '2024-01-30 12:00:00')) - floor(epoch(created)) <= CASE namespace WHEN 'osm' THEN 86400 ELSE 3600 END AS is_fresh, count(*) AS n FROM e GROUP BY ALL",
     "cache_keys": f"WITH {FEATURES} SELECT fid AS id, sha256('osm_' || printf('%.4f', flat) || '_' || printf('%.4f', flon))[1:32] AS cache_key FROM f",
+    "stream_window_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, sum(floor(value * 100 + 0.5)::bigint)::bigint AS cents FROM events GROUP BY ALL",
     "display_format": f"WITH {H} SELECT id, printf('%.4f%s, %.4f%s', abs(latitude), CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END, abs(longitude), CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END) AS place, upper(source_type[1]) || source_type[2:] AS source, split_part(nearest_place, ',', 1) AS site, least(greatest(floor(frp * 45)::bigint, 1200), 8000)::bigint AS halo_m FROM h",
 }
 ORACLES["incident_components"] = f"""WITH RECURSIVE {EDGES}, sy AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), reach(id, c) AS (SELECT a, a FROM sy UNION SELECT sy.b, reach.c FROM reach JOIN sy ON reach.id = sy.a WHERE reach.c < sy.b) SELECT DISTINCT s.a AS id, least(s.a, coalesce((SELECT min(c) FROM reach WHERE reach.id = s.a), s.a)) AS component FROM sy s"""

@@ -14,6 +14,7 @@ from ..operators import alerts, dossier, enrich, forest, history, incidents, int
 from ..operators.filters import HotspotFilter, page
 from ..operators.graph import connected_components
 from ..sources import ingest, osm
+from ..streaming import refresh
 from . import testdata as T
 
 RUN_DATE = "2024-02-01"
@@ -293,5 +294,12 @@ def display_format(spark, sf):
     return rows.select("id", text.coordinates(F.col("latitude"), F.col("longitude")).alias("place"), title_case(F.col("source_type")).alias("source"), F.substring_index("nearest_place", ",", 1).alias("site"), F.least(F.greatest(F.floor(F.col("frp") * 45), F.lit(1200)), F.lit(8000)).alias("halo_m"))
 
 
+@query
+def stream_window_counts(spark, sf):
+    """Daily counts by type, by a streaming query run to the end of its input."""
+    events = refresh.read_stream(spark, sf, T.table(spark, sf, "events").schema, "events.parquet")
+    return refresh.run_to_end(refresh.window_counts(events, "ts", "1 day", "event_type"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_breakdown(spark, sf_dir)
