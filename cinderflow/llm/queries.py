@@ -1,4 +1,4 @@
-"""The queries of this folder: name -> (spark, sf_dir) -> DataFrame."""
+"""The queries of this folder: name -> (spark, sf_dir) -> DataFrame; ORACLES has SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import induced_sort, latent_decontam, line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
+from .oracles import ORACLES
 from .tables import read
 
 
@@ -76,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_viterbi": op9_piece_viterbi,
     "op10_weak_toxicity": op10_weak_toxicity,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
