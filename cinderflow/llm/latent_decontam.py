@@ -43,7 +43,10 @@ LEAST_COSINE = 0.65  # for items shorter than a passage times the square root of
 SIGNATURE_WORDS = 4  # of 64 bits
 LEAST_BITS = 0.5
 CHUNK = 4_000_000
-OFTEN = 48
+OFTEN = 96
+SEGMENTS = 2048
+CODE_BYTES = 1 << 20
+SALTS = 32
 LEAST_COMMON = 0.6
 ANSWER_WORDS = 0.25
 LEAST_ANSWER = 0.4
@@ -69,7 +72,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
 def code_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word codes, bounds) of blocks of a column of `coded`."""
-    for i, _, data, offsets in blocks(column):
+    for i, _, data, offsets in blocks(column, CODE_BYTES):
         yield i, np.frombuffer(data.tobytes(), np.uint32), offsets // 4
 
 
@@ -103,7 +106,8 @@ def passages(first: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.
 
 def summed_blocks(words_of: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
     """Sum over all documents of work(word codes, bounds), an array of fixed shape whose first axis are the terms. Each
-    task adds up its own documents; the tasks' arrays meet by blocks of terms."""
+    task adds up its own documents; the tasks' arrays meet by blocks of terms, first SALTS groups of tasks apart, so that no
+    task reads what all tasks have written."""
     size = int(np.prod(shape)) // TERM_BLOCKS
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +127,9 @@ def summed_blocks(words_of: DataFrame, work: Callable[[np.ndarray, np.ndarray],
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["block", "sums"])
 
     kind = "block int, sums binary"
-    rows = words_of.select("codes").mapInArrow(share, kind).repartition(TERM_BLOCKS, "block").mapInArrow(add, kind).collect()
+    parts = words_of.select("codes").mapInArrow(share, kind).withColumn("salt", F.spark_partition_id() % SALTS)
+    some = parts.repartition("block", "salt").select("block", "sums").mapInArrow(add, kind)
+    rows = some.repartition("block").mapInArrow(add, kind).collect()
     out = np.zeros((TERM_BLOCKS, size))
     for r in rows:
         out[r.block] += np.frombuffer(r.sums, np.float32)
@@ -137,9 +143,10 @@ def term_weights(words_of: DataFrame) -> np.ndarray:
         _, start, end = passages(first, PASSAGE, PASSAGE)
         out = np.zeros(TERMS + 1, np.float32)
         if len(codes):
-            at = np.repeat(np.arange(len(start)), end - start)
-            pair = np.unique(at * TERMS + term_of(codes))
-            out[:TERMS] = np.bincount(pair % TERMS, minlength=TERMS)
+            rows = np.sort(terms_of(term_of(codes), start, end, PASSAGE, TERMS).astype(np.uint16), axis=1)
+            first_in_row = np.ones(rows.shape, bool)
+            first_in_row[:, 1:] = rows[:, 1:] != rows[:, :-1]
+            out[:TERMS] = np.bincount(rows[first_in_row], minlength=TERMS + 1)[:TERMS]
         out[TERMS] = len(start)
         return np.concatenate([out, np.zeros(TERM_BLOCKS - 1, np.float32)])  # a multiple of TERM_BLOCKS
 
@@ -150,9 +157,16 @@ def term_weights(words_of: DataFrame) -> np.ndarray:
 
 def segment_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
     """Sum of the table's rows over the terms start..end-1 of each segment of `size` terms at most. The table's last row is 0."""
+    out = np.empty((len(start), table.shape[1]), np.float32)
+    for a in range(0, len(start), SEGMENTS):
+        out[a : a + SEGMENTS] = table[terms_of(term, start[a : a + SEGMENTS], end[a : a + SEGMENTS], size, len(table) - 1)].sum(1)
+    return out
+
+
+def terms_of(term: np.ndarray, start: np.ndarray, end: np.ndarray, size: int, filler: int) -> np.ndarray:
+    """A row of `size` terms for each segment, short ones filled up."""
     place = start[:, None] + np.arange(size)[None]
-    inside = place < end[:, None]
-    return table[np.where(inside, term[np.minimum(place, len(term) - 1)], len(table) - 1)].sum(1)
+    return np.where(place < end[:, None], term[np.minimum(place, len(term) - 1)], filler)
 
 
 def term_sums(term: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
