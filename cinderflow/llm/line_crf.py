@@ -104,7 +104,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
         word_share(marked), share(DIGIT[data]), dup[line].astype(float), np.minimum(count, STEP_WORDS) / STEP_WORDS,
         (chars[b1] - chars[b0]) / np.maximum(1, count) / 10.0, word_share((end - start) > 30),
     ])
-    x *= (0.1 + 0.9 * np.minimum(count, STEP_WORDS) / STEP_WORDS)[:, None]  # a short line says little
+    x *= (np.minimum(count, STEP_WORDS) / STEP_WORDS)[:, None]  # a short line says little
     return base, x, count, np.searchsorted(l_doc[line], np.arange(n_docs + 1), "left")
 
 
