@@ -9,7 +9,7 @@ from ..functions.geo import valid_point
 
 
 def categorized(tags: Column) -> tuple[Column, Column, Column]:
-    """(category, feature_type, name) by the first rule that fits."""
+    """(category, feature_type, name) by the first rule that fits. The rules, their types and names are fixed values."""
     tag = lambda k: F.try_element_at(tags, F.lit(k))
     has = lambda k: F.map_contains_key(tags, F.lit(k))
     given = F.coalesce(F.nullif(tag("name"), F.lit("")), F.nullif(tag("description"), F.lit("")))
