@@ -308,19 +308,19 @@ def block_matches(codes: np.ndarray, first: np.ndarray, items: Items, space: np.
             shared += np.bitwise_count(bits[a + near, k] & items.bits[query, k])
         enough = shared >= items.least_bits[query]
         near, query = near[enough], query[enough]
-        looked: dict[tuple[int, int], int] = {}
+        looked: dict[tuple[int, int], list[int]] = {}  # where the compared stretches begin
         for w, q, c in zip((near + a).tolist(), query.tolist(), cosine[near, query].tolist(), strict=True):
             item = int(items.item[q])
             n = len(items.codes[item])
             begin = int(start[w]) - int(items.offset[q])
-            if looked.get((int(doc[w]), item), -1) >= begin - n // 4:  # this stretch has been compared
+            if any(abs(begin - b) <= n // 4 for b in looked.get((int(doc[w]), item), ())):  # this stretch has been compared
                 continue
             lo, hi = max(int(first[doc[w]]), begin - n // 2 - STRIDE), min(int(first[doc[w] + 1]), begin + n + n // 2 + STRIDE)
             region = codes[lo:hi].tolist()
             mask = items.masks[item]
             if sum(x in mask for x in region) < LEAST_COMMON * n:
                 continue
-            looked[int(doc[w]), item] = begin
+            looked.setdefault((int(doc[w]), item), []).append(begin)
             found = items.common(item, region)
             share = found.bit_count() / n
             tail = max(1, int(n * ANSWER_WORDS))

@@ -237,6 +237,17 @@ def test_decontamination_edges(spark, edges):
     assert latent_decontam.find_matches(edges, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3_000, 200_000])  # the latter is over 1 MB, a block of its own
+def test_decontamination_at_the_start_of_a_block(spark, n):
+    item = " ".join(f"item{k}" for k in range(30))
+    text = item + " " + " ".join(f"w{k}" for k in np.random.default_rng(5).integers(0, 5000, n))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert (len(text) > 1 << 20) == (n > 3_000)
+    assert [(r.doc_id, r.item_id, r.common) for r in latent_decontam.find_matches(frame, bench).collect()] == [(1, 7, 1.0)]
+    assert latent_decontam.drop_contaminated(frame, bench).count() == 0
+
+
 def test_longest_common_subsequence():
     space = np.ones((latent_decontam.TERMS + 1, 4), np.float32)
     items = latent_decontam.Items([(1, "a b c d e f g h i j")], space, np.ones(latent_decontam.TERMS, bool))
