@@ -1,7 +1,8 @@
 """Isolation forest (Liu, Ting, Zhou: ICDM 2008) over frp, brightness and persistence.
 
-The forest needs a fixed sub-sample (256 rows, chosen by hash order, so the same at any partitioning); it is fitted once on
-the driver and travels to the executors, where Arrow batches of the whole population are scored.
+Each tree grows on its own sub-sample of the whole population (256 rows, the least by a hash salted with the tree's number,
+so the same at any partitioning). The forest is fitted once on the driver and travels to the executors, where Arrow batches
+of the whole population are scored; the threshold is a percentile over the scores of all rows.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..config import Anomaly
 from ..functions.common import half_up
+from ..plans.lineage import staged
 
 INPUTS = ("f_frp", "f_brightness", "persistence_score")
+RANK_ACCURACY = 100_000
 
 
 def usual_depth(n: float) -> float:
@@ -77,14 +80,46 @@ def scores(trees: list[Tree], x: np.ndarray, sample: int) -> np.ndarray:
     return 2.0 ** (-np.mean([depths(t, x) for t in trees], 0) / max(1e-9, usual_depth(sample)))
 
 
-def fit(population: DataFrame, config: Anomaly = Anomaly()) -> tuple[list[Tree], int, float]:
-    """Trees, sample size and the score above which the contamination share of the sample lies."""
-    rows = population.select(*INPUTS, "id").orderBy(F.xxhash64("id"), "id").limit(config.sample).collect()
-    x = np.array([[r[c] for c in INPUTS] for r in rows], float).reshape(-1, len(INPUTS))
+def sub_samples(population: DataFrame, size: int, trees: int, seed: int) -> list[np.ndarray]:
+    """For each tree the `size` rows of the whole population (all, if there are fewer) whose hash, salted with the tree's
+    number, is least; the same at any partitioning. A bound on the hash lets some more than `size` rows a tree reach the
+    driver, whatever the population's size; if chance leaves a tree too few, the bound is raised."""
+    n = population.count()
+    wanted = min(size, n)
+    salted = population.select("id", *INPUTS, F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"))
+    salted = salted.withColumn("h", F.xxhash64(F.lit(seed), "tree", "id", *INPUTS))
+    share = min(1.0, (size + 8 * size**0.5 + 16) / max(1, n))
+    while True:
+        some = salted if share >= 1 else salted.where(F.col("h") < int(share * 2.0**64) - 2**63)
+        found: list[list[list[float]]] = [[] for _ in range(trees)]
+        # repeated rows have one hash: they come once, with their number
+        for r in sorted(some.groupBy("tree", "h", "id", *INPUTS).count().collect(), key=lambda r: (r.tree, r.h, str(r.id))):
+            found[r.tree] += [[r[c] for c in INPUTS]] * min(r["count"], wanted - len(found[r.tree]))
+        if share >= 1 or all(len(x) == wanted for x in found):
+            return [np.array(x, float).reshape(-1, len(INPUTS)) for x in found]
+        share = min(1.0, 4 * share)
+
+
+def fit(population: DataFrame, config: Anomaly = Anomaly()) -> tuple[list[Tree], int]:
+    """Trees, each grown on its own sub-sample of the population, and the sub-samples' size."""
+    samples = sub_samples(population, config.sample, config.trees, config.seed)
+    size = len(samples[0])
     rng = np.random.default_rng(config.seed)
-    limit = int(np.ceil(np.log2(max(2, len(x)))))
-    trees = [grow(x, rng, limit) for _ in range(config.trees)]
-    return trees, len(x), float(np.quantile(scores(trees, x, len(x)), 1 - config.contamination)) if len(x) else 1.0
+    limit = int(np.ceil(np.log2(max(2, size))))
+    return [grow(x, rng, limit) for x in samples] if size else [], size
+
+
+def threshold_of(scored: DataFrame, contamination: float) -> float:
+    """The score above which the contamination share of all rows lies, between ranks as by numpy's quantile. Ranks are exact
+    on small tables, else within 1 / RANK_ACCURACY of the rows."""
+    n = scored.count()
+    if not n:
+        return 1.0
+    at = (1 - contamination) * (n - 1)
+    low = int(at)
+    ranks = [(low + 0.5) / n, (min(low + 1, n - 1) + 0.5) / n]
+    a, b = scored.agg(F.percentile_approx("score", ranks, RANK_ACCURACY).alias("p")).first().p
+    return a + (at - low) * (b - a)
 
 
 def population_stats(rows: DataFrame, column: str = "f_frp") -> DataFrame:
@@ -94,15 +129,17 @@ def population_stats(rows: DataFrame, column: str = "f_frp") -> DataFrame:
 
 def anomaly_forest(population: DataFrame, config: Anomaly = Anomaly()) -> DataFrame:
     """(id, is_outlier, outlier_score, deviation) of each row of `features` rows."""
-    trees, sample, threshold = fit(population, config)
+    population = staged(population.select("id", *INPUTS), "population")
+    trees, sample = fit(population, config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 4)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(threshold - scores(trees, x, sample))], ["id", "f_frp", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores(trees, x, sample))], ["id", "f_frp", "score"])
 
-    raw = population.select("id", *INPUTS).mapInArrow(run, "id string, f_frp double, raw double")
+    scored = staged(population.mapInArrow(run, "id string, f_frp double, score double"), "scores")
+    raw = scored.select("id", "f_frp", (F.lit(threshold_of(scored, config.contamination)) - F.col("score")).alias("raw"))
     joined = raw.join(F.broadcast(population_stats(population)))  # one row
     score, z = 1 / (1 + F.exp(6 * F.col("raw"))), (F.col("f_frp") - F.col("mean")) / F.col("std")
     outlier = (F.col("raw") < 0) | (score >= config.least_score) | (z >= config.sigma)

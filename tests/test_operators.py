@@ -168,6 +168,18 @@ def test_forest(spark):
     assert forest.anomalies(frame.limit(2)).count() == 2
 
 
+def test_forest_flags_the_share_of_all_rows_and_every_tree_has_its_own_sample(spark):
+    hashed = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10_000)) / 10_000.0)
+    rows = spark.range(5000).select(F.concat(F.lit("n"), F.col("id")).alias("id")).select("id", (100 * hashed(1)).alias("f_frp"), (300 + 50 * hashed(2)).alias("f_brightness"), hashed(3).alias("persistence_score"))
+    got = {r.id: r for r in forest.anomaly_forest(rows).collect()}
+    assert max(abs(r.deviation) for r in got.values()) < 2  # so the score alone flags
+    assert sum(r.is_outlier for r in got.values()) == 500
+    assert got == {r.id: r for r in forest.anomaly_forest(rows.repartition(7)).collect()}
+    samples = forest.sub_samples(rows, 256, 4, 42)
+    assert all(x.shape == (256, 3) for x in samples) and len({tuple(map(tuple, x)) for x in samples}) == 4
+    assert forest.sub_samples(rows.limit(20), 256, 2, 42)[0].shape == (20, 3)
+
+
 def spots(spark, rows):
     return spark.createDataFrame(rows, "id string, latitude double, longitude double, acq_date string, acq_time string, source_type string, cluster_id string, risk_score double, risk_level string, frp double, is_anomaly boolean").withColumn("last_updated", F.lit(None).cast("string"))
 
