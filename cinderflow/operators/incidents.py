@@ -1,7 +1,9 @@
 """Clustering of detections into incidents.
 
-Edges between proximate detections come from cell joins; connected components split the graph; the order-dependent
-greedy grouping then runs inside each component, which is exact because it never crosses one.
+Edges between proximate detections come from cell joins. The order-dependent greedy grouping is taken from them by staged
+rounds of joins: a detection joins the first seed that reaches it along edges that lead down the ranks. What an earlier
+group took doesn't stand in the way, for that group took all below it too. So no component or neighbour list is ever held
+in one place.
 """
 
 from __future__ import annotations
@@ -9,18 +11,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS_M, INCOMPATIBLE, Incidents
 from ..functions.common import half_up
 from ..functions.scores import level_rank
-from .graph import connected_components
+from ..plans.lineage import staged
 from .spatial import as_right, within
 
 
-
 def detection_time() -> Column:
     stamp = F.concat(F.col("acq_date"), F.lit(" "), F.substring("acq_time", 1, 2), F.lit(":"), F.substring("acq_time", 3, 2))
     return F.coalesce(F.try_to_timestamp("last_updated"), F.try_to_timestamp(stamp))
@@ -67,23 +67,37 @@ def greedy(ids: list[str], neighbours: dict[str, set[str]]) -> dict[str, str]:
     return group
 
 
+def first_seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, seed) of each node with an edge: what `greedy` gives over nodes (id, key) in the order of their keys.
+
+    Seeds are the nodes without a neighbour before them, and a node's group is that of the first node from which edges
+    lead down to it. Every round passes the first known along each edge, then takes over what that one knows.
+    """
+    c = F.col
+    keyed = pairs.join(nodes.select(c("id").alias("a"), c("key").alias("key_a")), "a").join(nodes.select(c("id").alias("b"), c("key").alias("key_b")), "b")
+    before = c("key_a") < c("key_b")
+    down = staged(keyed.select(F.when(before, c("a")).otherwise(c("b")).alias("above"), F.when(before, c("b")).otherwise(c("a")).alias("below")), "incident-edges")
+    ends = down.select(c("above").alias("id")).unionByName(down.select(c("below").alias("id"))).distinct()
+    now, seen = staged(nodes.join(ends, "id").select("id", c("key").alias("top")), "incident-seeds"), None
+    while True:
+        passed = down.join(now, c("above") == c("id")).groupBy("below").agg(F.min("top").alias("top")).select(c("below").alias("id"), "top")
+        after = staged(now.unionByName(passed).groupBy("id").agg(F.min("top").alias("top")), "incident-seeds")
+        known = after.select(c("id").alias("at"), c("top").alias("further"))
+        now = staged(after.join(known, c("top.id") == c("at")).select("id", c("further").alias("top")), "incident-seeds")
+        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "top.id").cast("decimal(38,0)")).alias("h")).first()
+        if new == seen:
+            return now.select("id", c("top.id").alias("seed"))
+        seen = new
+
+
 def clusters(hotspots: DataFrame, config: Incidents = Incidents()) -> DataFrame:
     """(id, seed): the incident of every detection. Of rows with one id the gravest counts."""
     c = F.col
-    order = F.struct("risk_score", "frp")
-    rows = hotspots.select("id", "risk_score", "frp").groupBy("id").agg(F.max(order).alias("o"))
-    pairs = edges(hotspots, config)
-    members = connected_components(pairs).withColumnRenamed("id", "m")
-    linked = pairs.unionByName(pairs.select(c("b").alias("a"), c("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    listed = rows.join(members, c("id") == c("m")).join(linked, c("id") == c("a")).select("component", "id", c("o.risk_score").alias("risk_score"), c("o.frp").alias("frp"), "near")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["risk_score", "frp", "id"], ascending=[False, False, True])
-        group = greedy(ordered["id"].tolist(), {i: set(n) for i, n in zip(pdf["id"], pdf["near"], strict=True)})
-        return pd.DataFrame({"id": list(group), "seed": list(group.values())})
-
-    joined = listed.groupBy("component").applyInPandas(run, "id string, seed string")
-    alone = rows.join(members, c("id") == c("m"), "left_anti").select("id", c("id").alias("seed"))
+    falling = lambda x: F.coalesce(0.0 - c(x), F.lit(float("nan")))  # noqa: E731  # unknown ones are last
+    rows = hotspots.groupBy("id").agg(F.max(F.struct("risk_score", "frp")).alias("o"))
+    nodes = rows.select("id", F.struct(falling("o.risk_score").alias("risk"), falling("o.frp").alias("frp"), "id").alias("key"))
+    joined = first_seeds(nodes, edges(hotspots, config))
+    alone = rows.join(joined.select(c("id").alias("m")), c("id") == c("m"), "left_anti").select("id", c("id").alias("seed"))
     return joined.unionByName(alone)
 
 

@@ -209,6 +209,23 @@ def test_clusters_equal_one_global_fold(spark):
     assert {r.id: r.seed for r in incidents.clusters(rows).collect()} == incidents.greedy(order, near)
 
 
+def test_clusters_hold_no_component_in_one_place(spark):
+    """A hot site, long chains and ties, in rounds over the edge table, against the fold."""
+    hot = [(f"h{i:03d}", 34.0 + (i * 7 % 13) * 0.0001, -118.0, (i * 31 % 17) * 5.0) for i in range(60)]
+    up = [(f"u{i:03d}", 36.0 + i * 0.012, -118.0, 90.0 - i) for i in range(30)]
+    mixed = [(f"m{i:03d}", 38.0 + i * 0.007, -118.0, i * 37 % 11 * 8.0) for i in range(60)]
+    rows = spots(spark, [(i, lat, lon, "2026-10-01", "1200", "wildfire", None, risk, "high", 5.0, False) for i, lat, lon, risk in hot + up + mixed])
+    near: dict = {}
+    for r in incidents.edges(rows).collect():
+        near.setdefault(r.a, set()).add(r.b)
+        near.setdefault(r.b, set()).add(r.a)
+    order = [r.id for r in rows.orderBy(F.desc("risk_score"), F.desc("frp"), "id").collect()]
+    found = incidents.clusters(rows)
+    assert {r.id: r.seed for r in found.collect()} == incidents.greedy(order, near)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "collect_set" not in plan
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (None, 3)]
     got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
