@@ -198,3 +198,5 @@ ORACLES: dict[str, str] = {
     "display_format": f"WITH {H} SELECT id, printf('%.4f%s, %.4f%s', abs(latitude), CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END, abs(longitude), CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END) AS place, upper(source_type[1]) || source_type[2:] AS source, split_part(nearest_place, ',', 1) AS site, least(greatest(floor(frp * 45)::bigint, 1200), 8000)::bigint AS halo_m FROM h",
 }
 ORACLES["incident_components"] = f"""WITH RECURSIVE {EDGES}, sy AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), reach(id, c) AS (SELECT a, a FROM sy UNION SELECT sy.b, reach.c FROM reach JOIN sy ON reach.id = sy.a WHERE reach.c < sy.b) SELECT DISTINCT s.a AS id, least(s.a, coalesce((SELECT min(c) FROM reach WHERE reach.id = s.a), s.a)) AS component FROM sy s"""
+ORACLES["alert_acknowledge_all"] = f"WITH {ALERTS} SELECT id, is_acknowledged OR id = 'ALT-17' AS is_acknowledged FROM al"
+ORACLES["recurrence_90d"] = ORACLES["recurrence"].replace("age <= 30", "age <= 90").replace("age <= 7", "age <= 30")

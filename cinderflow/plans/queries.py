@@ -141,6 +141,12 @@ def recurrence(spark, sf):
     return history.recurrence(T.hotspots(spark, sf), Recurrence(short_days=7, long_days=30))
 
 
+@query
+def recurrence_90d(spark, sf):
+    """With the default windows of 30 and 90 days."""
+    return history.recurrence(T.hotspots(spark, sf))
+
+
 @query
 def osm_categorise(spark, sf):
     return osm.features(T.as_elements(spark, sf)).select("id", "name", "category", "feature_type", "latitude", "longitude")
@@ -224,6 +230,12 @@ def alert_acknowledge(spark, sf):
     return alerts.acknowledged(T.alert_rows(spark, sf), "ALT-17").where("id in ('ALT-17', 'ALT-18')").select("id", "is_acknowledged")
 
 
+@query
+def alert_acknowledge_all(spark, sf):
+    """The whole alert table after one was acknowledged."""
+    return alerts.acknowledged(T.alert_rows(spark, sf), "ALT-17").select("id", "is_acknowledged")
+
+
 @query
 def incident_edges(spark, sf):
     return incidents.edges(T.hotspots(spark, sf))
