@@ -140,6 +140,17 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - start, length)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the place of one example of each, and for each key its number."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(begins) - 1
+    return ordered[begins], order[begins], inverse
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Whether each key occurs twice or more."""
     if len(keys) < 2:

@@ -24,18 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, SPACE, SpanCache, blocks, prefix_hash, ragged, span_hash, sums
+from .arrays import BYTE_CODE, SPACE, SpanCache, blocks, distinct, prefix_hash, span_hash, sums
 from .tables import documents, work_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: Rounds of pair replacement; in each, at most ROUND_PAIRS of the most frequent pairs, found LEAST_COUNT times or more.
-ROUNDS = 4
-ROUND_PAIRS = 3000
-LEAST_COUNT = 24
+#: Replacement ends when no pair occurs this often.
+LEAST_COUNT = 2
+#: The threshold of pair counts falls to 1 / FALL from round to round.
+FALL = 4
+#: Ids decoded at a time when a shard is read.
+RANGE_TOKENS = 1 << 17
 CACHE_PIECES = 1 << 21
 SHARD_SCHEMA = "part int, shard int, n_tokens long, base int, doc_ids array<long>, doc_tokens array<long>, rules binary, lengths binary, symbols binary"
 
+_UNKNOWN = np.iinfo(np.int32).max
 _LEAD = np.zeros(256, bool)  # first bytes of characters among which Unicode has white space
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _BLANK = SPACE.copy()
@@ -81,7 +84,7 @@ class PieceEncoder:
         start = piece_starts(data, offsets)
         end = np.append(start[1:], len(data))[: len(start)]
         keys = span_hash(prefix_hash(BYTE_CODE[data]), start, end)
-        unique, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        unique, example, inverse = distinct(keys)
         new = self.cache.missing(unique)
         if len(new):
             raw = data.tobytes()
@@ -103,87 +106,152 @@ def encoder_of(tokenizer_path: str) -> PieceEncoder:
     return _encoders[tokenizer_path]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: the rules (pairs of symbols), the length of each rule's expansion and the symbols left.
-
-    Each round counts all adjacent pairs, makes nonterminals of the most frequent and replaces their occurrences where
-    no better pair overlaps. No rule crosses the end of a document.
+class _Sequence:
+    """The symbols of a shard under replacement: a doubly linked list in arrays, so that a replacement moves nothing. Entry
+    n is the end mark. `bound` is never less than the number of times that the pair starting at a place occurs, and 0 where
+    no pair may start: across the end of a document, at the end, on places that are gone."""
+
+    def __init__(self, symbols: np.ndarray, closed: np.ndarray) -> None:
+        n = len(symbols)
+        self.symbols = np.append(symbols, END_ID).astype(np.uint32)
+        self.after = np.arange(1, n + 2, dtype=np.int32)
+        self.before = np.arange(-1, n, dtype=np.int32)
+        self.bound = np.append(np.where(closed, 0, _UNKNOWN), 0).astype(np.int32)
+        self.bound[max(0, n - 1) :] = 0
+        self.live = np.ones(n + 1, bool)
+        self.n = self.left = n
+
+    def pairs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs that may occur `least` times or more, and the pairs. Of a run of one symbol every other place."""
+        at = np.flatnonzero(self.bound >= least).astype(np.int32)
+        left, right = self.symbols[at], self.symbols[self.after[at]]
+        code = left.astype(np.uint64) << np.uint64(32) | right
+        twin = np.flatnonzero(left == right)
+        if len(twin):
+            place, k = at[twin], np.arange(len(twin))
+            begins = np.append(True, place[1:] != self.after[place[:-1]])
+            odd = twin[(k - np.maximum.accumulate(np.where(begins, k, 0))) % 2 == 1]
+            if len(odd):
+                chosen = np.ones(len(at), bool)
+                chosen[odd] = False
+                at, code = at[chosen], code[chosen]
+        return at, code
+
+    def replace(self, at: np.ndarray, by: np.ndarray, closes: np.ndarray) -> None:
+        """The pairs at these places, which don't overlap, become the symbols `by`."""
+        self.symbols[at] = by
+        gone = self.after[at]
+        after = self.after[gone]
+        self.live[gone], self.bound[gone] = False, 0
+        self.after[at], self.before[after] = after, at
+        earlier = self.before[at]
+        touched = np.concatenate([at, earlier[earlier >= 0]])
+        self.bound[touched] = np.where(closes[self.symbols[touched]] | (self.after[touched] >= self.n), 0, _UNKNOWN)
+        self.left -= len(at)
+        if self.left < 0.7 * self.n:  # close the gaps
+            live = self.live[:-1]
+            symbols, bound = self.symbols[:-1][live], self.bound[:-1][live]
+            self.__init__(symbols, np.zeros(len(symbols), bool))
+            self.bound[:-1] = bound
+
+    def rest(self) -> np.ndarray:
+        return self.symbols[:-1][self.live[:-1]].astype(np.int64)
+
+
+def _frequent(code: np.ndarray, sequence: _Sequence, at: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, pairs, threshold): pairs whose hash bucket, hence perhaps they, reach the threshold; counts of buckets
+    bound those of pairs from above. Without a threshold yet it is a share of the greatest count."""
+    bits = max(8, len(code).bit_length())
+    bucket = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    most = np.bincount(bucket, minlength=1 << bits).astype(np.int32)[bucket]
+    sequence.bound[at] = most
+    if least is None:
+        least = max(LEAST_COUNT, int(most.max()) // FALL)
+    maybe = np.flatnonzero(most >= least)
+    return at[maybe], code[maybe], least
+
+
+def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: the rules (pairs of symbols), the length of each rule's expansion and the symbols left.
+
+    Pairs that don't overlap are counted; the most frequent are replaced from left to right, each where no more frequent one
+    overlaps it, until no pair occurs LEAST_COUNT times. A round takes all pairs above a threshold that falls to a share
+    1 / FALL from round to round, and only places whose pair may reach it are looked at. No rule crosses the end of a
+    document, and every rule is used twice at least.
     """
-    symbols = ids.astype(np.int64)
+    closes = np.arange(base) == END_ID
+    sequence = _Sequence(ids, closes[ids])
     rules: list[np.ndarray] = []
-    length = np.ones(base, np.int64)
-    closes = np.zeros(base, bool)
-    closes[END_ID] = True
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        code = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:].astype(np.uint64)
-        code[closes[symbols[:-1]]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        ordered = np.sort(code)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(edge, len(ordered)))
-        pair = ordered[edge]
-        good = (count >= LEAST_COUNT) & (pair != np.uint64(0xFFFFFFFFFFFFFFFF))
-        pair, count = pair[good], count[good]
-        if not len(pair):
-            break
-        if len(pair) > ROUND_PAIRS:
-            best = np.argpartition(-count, ROUND_PAIRS)[:ROUND_PAIRS]
-            pair, count = pair[best], count[best]
-        by_code = np.argsort(pair)
-        pair, count = pair[by_code], count[by_code]
-        rank = np.empty(len(pair), np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(pair))
-        left, right = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        opens, shuts = np.zeros(len(length), bool), np.zeros(len(length), bool)
-        opens[left], shuts[right] = True, True
-        maybe = np.flatnonzero(opens[symbols[:-1]] & shuts[symbols[1:]])
-        found = np.minimum(np.searchsorted(pair, code[maybe]), len(pair) - 1)
-        same = pair[found] == code[maybe]
-        place = np.zeros(len(code), np.int64)
-        hit = np.zeros(len(code), bool)
-        place[maybe], hit[maybe] = found, same
-        worth = np.where(hit, rank[place], len(pair))
-        take = hit.copy()
-        take[1:] &= worth[1:] < worth[:-1]
-        take[:-1] &= worth[:-1] <= worth[1:]
-        at = np.flatnonzero(take)
-        used, new = np.unique(place[at], return_inverse=True)
-        left, right = left[used], right[used]
-        rules.append(np.column_stack([left, right]))
-        symbols[at] = len(length) + new
-        length = np.append(length, length[left] + length[right])
-        closes = np.append(closes, closes[right])
-        gone = np.zeros(len(symbols), bool)
-        gone[at + 1] = True
-        symbols = symbols[~gone]
-    return np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), length[base:], symbols
-
-
-def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat ids of all symbols with the place and length of each; rules refer only to earlier symbols."""
-    parts: list[np.ndarray] = []
-    for left, right in rules.tolist():
-        a = parts[left - base] if left >= base else np.array([left])
-        b = parts[right - base] if right >= base else np.array([right])
-        parts.append(np.concatenate([a, b]))
-    size = np.append(np.ones(base, np.int64), [len(p) for p in parts]).astype(np.int64)
-    return np.concatenate([np.arange(base), *parts]).astype(np.uint32), np.cumsum(size) - size, size
-
-
-def decompress(rules: np.ndarray, symbols: np.ndarray, base: int) -> np.ndarray:
-    flat, at, size = expansions(rules, base)
-    return flat[ragged(at[symbols], size[symbols])]
-
-
-def decode_range(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int, first: int, last: int) -> np.ndarray:
-    """Ids first..last-1 of a shard; only the symbols that hold them are expanded."""
-    size = np.append(np.ones(base, np.int64), lengths)[symbols]
-    end = np.cumsum(size)
-    i, j = np.searchsorted(end, first, "right"), np.searchsorted(end, last, "left") + 1
-    found = decompress(rules, symbols[i:j], base)
-    skip = first - (end[i] - size[i] if i < len(end) else first)
-    return found[skip : skip + last - first]
+    length, threshold = np.ones(base, np.int64), None
+    while True:
+        at, code = sequence.pairs(threshold or LEAST_COUNT)
+        if len(at):
+            at, code, threshold = _frequent(code, sequence, at, threshold)
+        if not len(at):
+            if threshold is None or threshold == LEAST_COUNT:
+                break
+            threshold = max(LEAST_COUNT, threshold // FALL)
+            continue
+        order = np.argsort(code)
+        ordered = code[order]
+        begins = np.append(True, ordered[1:] != ordered[:-1])
+        edge = np.flatnonzero(begins)
+        times = np.diff(np.append(edge, len(ordered))).astype(np.int32)
+        pair_of = np.empty(len(order), np.int32)
+        pair_of[order] = np.cumsum(begins, dtype=np.int32) - 1
+        rank = np.empty(len(times), np.int32)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(times), dtype=np.int32)
+        exact = times[pair_of]
+        sequence.bound[at] = exact
+        good = np.flatnonzero(exact >= threshold)
+        threshold = max(LEAST_COUNT, threshold // FALL)
+        if not len(good):
+            continue
+        at, pair_of = at[good], pair_of[good]
+        worth = rank[pair_of]
+        overlap = at[1:] == sequence.after[at[:-1]]
+        take = np.ones(len(at), bool)
+        take[1:] &= ~(overlap & (worth[:-1] < worth[1:]))
+        take[:-1] &= ~(overlap & (worth[1:] < worth[:-1]))
+        often = np.bincount(pair_of[take], minlength=len(times)) >= 2
+        take &= often[pair_of]
+        made = np.flatnonzero(often)
+        number = np.zeros(len(times), np.uint32)
+        number[made] = len(length) + np.arange(len(made))
+        pair = ordered[edge[made]]
+        rule = np.column_stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)]).astype(np.int64)
+        rules.append(rule)
+        length = np.append(length, length[rule[:, 0]] + length[rule[:, 1]])
+        closes = np.append(closes, closes[rule[:, 1]])
+        sequence.replace(at[take], number[pair_of[take]], closes)
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), length[base:], sequence.rest()
+
+
+def decode_range(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int, first: int, last: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Ids first..last-1 of a shard. Only the symbols that reach into the range are taken apart, and of their parts again
+    only those that do; a part's place follows from the expansion lengths. ends: sums of the symbols' lengths, if at hand."""
+    size = np.append(np.ones(base, np.int64), lengths)
+    if ends is None:
+        ends = np.cumsum(size[symbols])
+    i, j = np.searchsorted(ends, first, "right"), np.searchsorted(ends, last, "left") + 1
+    part = symbols[i:j]
+    place = ends[i:j] - size[part] - first
+    width = max(0, last - first)
+    out = np.zeros(width, np.uint32)
+    while len(part):
+        near = (place < width) & (place + size[part] > 0)
+        part, place = part[near], place[near]
+        plain = part < base
+        out[place[plain]] = part[plain]
+        part, place = part[~plain], place[~plain]
+        two = rules[part - base]
+        part, place = two.ravel(), np.column_stack([place, place + size[two[:, 0]]]).ravel()
+    return out
+
+
+def decompress(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int) -> np.ndarray:
+    ends = np.cumsum(np.append(np.ones(base, np.int64), lengths)[symbols])
+    return decode_range(rules, lengths, symbols, base, 0, int(ends[-1]) if len(ends) else 0, ends)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -254,6 +322,35 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("shard_start"))
 
 
+def ranges(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int, end: np.ndarray) -> Iterator[tuple[int, int, memoryview]]:
+    """(document, document after the last, their ids as little-endian bytes) for runs of whole documents of about
+    RANGE_TOKENS ids, each decoded by itself. end: where each document of the shard ends."""
+    ends = np.cumsum(np.append(np.ones(base, np.int64), lengths)[symbols])
+    i, begin = 0, 0
+    while i < len(end):
+        j = max(i + 1, int(np.searchsorted(end, begin + RANGE_TOKENS, "right")))
+        last = int(end[j - 1])
+        yield i, j, memoryview(decode_range(rules, lengths, symbols, base, begin, last, ends).astype("<u4").tobytes())
+        i, begin = j, last
+
+
+def document_ids(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents whose doc_id is in `wanted`: of their shards only the ranges that hold them are decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rules, lengths, symbols = symbols_of(row)
+                doc_ids, end = np.array(row["doc_ids"], float), np.cumsum(row["doc_tokens"])  # a null is nan
+                for k in np.flatnonzero(np.isin(doc_ids, row["wanted"])).tolist():
+                    ids = decode_range(rules, lengths, symbols, row["base"], int(end[k]) - row["doc_tokens"][k], int(end[k]))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k]], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    names = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    lists = shards.select("part", "shard", F.explode("doc_ids").alias("doc_id")).join(names, "doc_id").groupBy("part", "shard").agg(F.collect_set("doc_id").alias("wanted"))
+    return shards.drop("n_tokens").join(lists, ["part", "shard"]).mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def document_digests(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the decoded shards."""
 
@@ -261,13 +358,14 @@ def document_digests(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in ("part", "shard", "base", "rules", "lengths", "symbols")}
-                rules, _, symbols = symbols_of(row)
-                ids = decompress(rules, symbols, row["base"])
+                rules, lengths, symbols = symbols_of(row)
                 doc_ids = batch.column("doc_ids")[k].values
                 counts = batch.column("doc_tokens")[k].values.to_numpy()
                 end = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), counts.tolist(), strict=True)]
+                crc: list[int] = []
+                for i, j, raw in ranges(rules, lengths, symbols, row["base"], end):
+                    at = (end[i:j] - end[i] + counts[i]).tolist()
+                    crc += [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(at, counts[i:j].tolist(), strict=True)]
                 fill = lambda x, n=len(counts): pa.array(np.full(n, x, np.int32))
                 yield pa.RecordBatch.from_arrays([fill(row["part"]), fill(row["shard"]), doc_ids, pa.array(end - counts), pa.array(counts), pa.array(crc, pa.int64())], ["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
