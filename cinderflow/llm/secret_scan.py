@@ -1,7 +1,9 @@
 """Secrets: an Aho-Corasick pass finds keywords, an anchored regular expression runs only where one was found, and
 kinds that embed a checksum are kept only if it holds.
 
-Cases: null or empty text has no spans; repeated rows are scanned alike; an empty table gives an empty result; long
+A jwt begins where a run of its characters does, so a long run is tried once.
+
+Cases: null or empty text has no spans; a header that can't be read as JSON, however deep, is no jwt; repeated rows are scanned alike; an empty table gives an empty result; long
 texts are scanned whole; columns other than doc_id and text are ignored.
 """
 
@@ -35,7 +37,7 @@ ANCHORED = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 }
 #: Hexadecimal runs have no keyword: of any 32 digits in a row, one stands at a multiple of 32.
@@ -57,7 +59,7 @@ def checksum_holds(kind: str, match: re.Match) -> bool:
     if kind == "jwt":
         try:
             return "alg" in json.loads(base64.urlsafe_b64decode(match[1] + "=" * (-len(match[1]) % 4)))
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested beyond what a header can be
             return False
     if kind == "pem":
         body = "".join(match[0].split("-----")[2].split())
