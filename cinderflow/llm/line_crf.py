@@ -2,12 +2,15 @@
 boilerplate, and the share of words in content lines decides whether a document stays.
 
 Training takes documents with a quality label: lines of good documents count as content and lines of bad ones as
-boilerplate, and gradient ascent on the exact conditional likelihood (forward-backward in log space) fits
-emission and transition weights. Labels reach it from a sample of at most `sample_rows` labelled rows, taken by hash of
-doc_id; the decision itself sees every line of every document.
-
-Cases: null or empty text has no words, fails the base rule and goes; repeated rows are judged alike; an empty table gives
-an empty result; a table without labels leaves the built-in prior weights; texts are read whole.
+boilerplate. Stretches of good and of bad documents are joined into chains of mixed labels, so that the transition weights
+see changes of label, and gradient ascent on the exact conditional likelihood (forward-backward in log space) fits
+emission and transition weights. Labels reach it from a sample of at most `rows` labelled documents (SAMPLE_ROWS), taken by
+hash of doc_id, with all their lines; the decision itself sees every line of every document.
+
+Cases: null or empty text has no words, fails the base rule and goes; a row without doc_id is judged like any other; repeated
+rows are judged alike; of several labels of one doc_id the greatest counts, and of several texts of a sampled doc_id the least
+in order; on the best paths a tie goes to boilerplate; an empty table gives an empty result; a table without labels leaves the
+built-in prior weights; texts are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from .tables import documents
 SAMPLE_ROWS = 3000
 #: A line longer than this many words is read as several steps of the chain.
 STEP_WORDS = 60
+#: Training cuts longer chains into stretches of this many steps; all of them take part.
+STRETCH = 300
 LEAST_CONTENT = 0.5
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of words
 N_FEATURES = 12
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -149,27 +154,41 @@ def viterbi(x: np.ndarray, first: np.ndarray, weights: np.ndarray, stay: np.ndar
     return out
 
 
-def train(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of content against boilerplate, and the 2 by 2 transition scores, by gradient ascent on the conditional
-    likelihood of the given label sequences. chains: features and the label that all steps of the chain carry."""
+def stretches(documents: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, labels, weights of the steps) of the training chains. Every document is cut into stretches of at most
+    STRETCH steps; a stretch of a good document and one of a bad one make a chain as long as there are both, in turn the one
+    and the other first. Each document counts once and each class half, however long its texts are."""
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+    count = {k: sum(1 for x, y in documents if y == k and len(x)) for k in (0, 1)}
+    for x, y in documents:
+        for i in range(0, len(x), STRETCH):
+            part = x[i : i + STRETCH]
+            parts[y].append((part, np.full(len(part), 0.5 / count[y] / len(x))))
+    out = []
+    for k in range(max(len(parts[0]), len(parts[1]))):
+        turn = [(parts[y][k], y) for y in ((0, 1) if k % 2 else (1, 0)) if k < len(parts[y])]
+        out.append((np.concatenate([x for (x, _), _ in turn]), np.concatenate([np.full(len(x), y) for (x, _), y in turn]), np.concatenate([w for (_, w), _ in turn])))
+    return out
+
+
+def train(documents: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of content against boilerplate, and the 2 by 2 transition scores (from, to), by gradient ascent on the
+    conditional likelihood of the label sequences of `stretches`. documents: features of the steps, and the label."""
     weights, stay = PRIOR.copy(), np.diag([PRIOR_STAY, PRIOR_STAY])
-    if len({y for _, y in chains}) < 2:
+    documents = [(x, y) for x, y in documents if len(x)]
+    if len({y for _, y in documents}) < 2:
         return weights, stay
-    length = np.array([len(c) for c, _ in chains])
-    order = np.argsort(-length, kind="stable")
-    chains, length = [chains[i] for i in order], length[order]
-    x = np.concatenate([c for c, _ in chains])
-    y = np.repeat([y for _, y in chains], length)
+    chains = sorted(stretches(documents), key=lambda c: -len(c[0]))
+    length = np.array([len(x) for x, _, _ in chains])
+    x, y, w_step = (np.concatenate([c[k] for c in chains]) for k in range(3))
     starts = np.cumsum(length) - length
-    # each document counts once and each class half, however long its texts are
-    share = {k: sum(1 for _, v in chains if v == k) for k in (0, 1)}
-    w_doc = np.array([0.5 / share[v] / max(1, len(c)) for c, v in chains])
-    w_step = np.repeat(w_doc, length)
+    pair = np.flatnonzero(np.diff(np.repeat(np.arange(len(length)), length)) == 0)  # steps with a next one in their chain
+    w_pair = np.zeros(len(x))
+    w_pair[pair + 1] = (w_step[pair] + w_step[pair + 1]) / 2
     velocity_w, velocity_s = np.zeros_like(weights), np.zeros_like(stay)
     target_w = (w_step * y) @ x
     target_s = np.zeros((2, 2))
-    for (c, v), w in zip(chains, w_doc, strict=True):
-        target_s[v, v] += w * max(0, len(c) - 1)
+    np.add.at(target_s, (y[pair], y[pair + 1]), w_pair[pair + 1])
     alive = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]
     for _ in range(rounds):
         emit = np.zeros((len(x), 2))
@@ -185,7 +204,7 @@ def train(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float =
             at = starts[: alive[t]] + t
             ahead = emit[at] + backward[at]
             joint = forward[at - 1][:, :, None] + stay[None] + ahead[:, None, :] - total[: alive[t], None, None]
-            expect_s += (np.exp(joint) * w_doc[: alive[t], None, None]).sum(0)
+            expect_s += (np.exp(joint) * w_pair[at, None, None]).sum(0)
             backward[at - 1] = np.logaddexp.reduce(stay[None] + ahead[:, None, :], axis=2)
         marginal = np.exp(forward[:, 1] + backward[:, 1] - np.repeat(total, length))
         velocity_w = 0.9 * velocity_w + target_w - (w_step * marginal) @ x - decay * (weights - PRIOR)
@@ -197,20 +216,22 @@ def train(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float =
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[np.ndarray, int]]:
     """Features of at most `rows` labelled documents, half of each label, the first by hash of doc_id."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id")
     half = [marked.where(F.col("quality") == q).orderBy(order, "doc_id").limit(rows // 2) for q in (0, 1)]
-    chosen = half[0].unionByName(half[1]).dropDuplicates(["doc_id"])
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id")  # `chosen` has at most `rows` rows
+    chosen = half[0].unionByName(half[1])
+    found = documents(docs).join(F.broadcast(chosen), "doc_id")  # `chosen` has at most `rows` rows
+    texts = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a doc_id may have any number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, offsets in blocks(batch.column(1), 1):
-                x = measure(data, offsets)[1][:400].astype(np.float32)
+                x = measure(data, offsets)[1].astype(np.float32)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1), pa.array([x.tobytes()], pa.binary())], ["quality", "x"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([x.tobytes()], pa.binary())], ["doc_id", "quality", "x"])
 
-    found = texts.select("doc_id", "text", "quality").mapInArrow(run, "quality int, x binary").collect()
-    return [(np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES).astype(float), r.quality) for r in found]
+    sample = sorted(texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect())
+    return [(np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES).astype(float), r.quality) for r in sample]
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +247,7 @@ def judge(column: pa.Array, model: tuple[np.ndarray, np.ndarray], least: float =
         n = base["n_words"]
         share = sums(count * content, first) / np.maximum(1, n)
         failed = (n < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * n)
-        for k, v in (base | {"base_failed": failed, "content_share": share, "kept": ~failed & (share >= least)}).items():
+        for k, v in (base | {"base_failed": failed, "kept": ~failed & (share >= least), "content_share": share}).items():
             out.setdefault(k, []).append(v)
     return {k: np.concatenate(v) for k, v in out.items()}
 
@@ -254,5 +275,3 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: floa
                 yield batch.filter(pa.array(judge(batch.column(place), model, least)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
-
-

@@ -1,5 +1,6 @@
 """The operators for training text against brute force, round trips and held-out labels, on small tables and edge cases."""
 
+import base64
 import zlib
 
 import duckdb
@@ -75,14 +76,48 @@ def test_token_output(spark, small, edges):
     assert token_output.document_digests(token_output.encode_to_shards(empty(spark), path)).count() == 0
 
 
+def test_token_ids_by_document(spark, small, edges, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_output, "RANGE_TOKENS", 50)
+    shards = token_output.encode_to_shards(edges, path)
+    wanted = spark.createDataFrame([(5,), (9,), (11,), (77,), (None,)], "doc_id long")
+    got = token_output.document_ids(shards, wanted).collect()
+    t = Tokenizer.from_file(path)
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted((d, [*t.encode(x, add_special_tokens=False).ids, 2]) for d, x in EDGES if d in (5, 9, 11))
+
+
+def pair_counts(symbols, closes):
+    """How often each pair occurs without overlapping itself, pairs across a document's end left out."""
+    count, i = {}, 0
+    last = {}
+    for i, pair in enumerate(zip(symbols[:-1], symbols[1:], strict=True)):
+        if not closes[pair[0]] and last.get(pair, -2) < i - 1:
+            count[pair] = count.get(pair, 0) + 1
+            last[pair] = i
+    return count
+
+
 def test_re_pair_round_trip_and_random_access():
     rng = np.random.default_rng(3)
-    for ids in (np.zeros(0, np.int32), np.array([5]), np.full(5000, 7), rng.zipf(1.5, 20_000).clip(max=300), np.tile([1, 3, 4, 2], 500)):
+    for ids in (np.zeros(0, np.int32), np.array([5]), np.full(3, 7), np.full(5000, 7), np.full(200_000, 7), rng.zipf(1.5, 20_000).clip(max=300), np.tile([1, 3, 4, 2], 500), np.tile([1, 3, 4, 5], 500), np.full(9, 2)):
         rules, lengths, symbols = token_output.compress(ids, 400)
-        assert (token_output.decompress(rules, symbols, 400) == ids).all() and len(symbols) <= len(ids)
+        assert (token_output.decompress(rules, lengths, symbols, 400) == ids).all() and len(symbols) <= len(ids)
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (len(ids), len(ids))):
             assert (token_output.decode_range(rules, lengths, symbols, 400, a, b) == ids[a:b]).all()
-    assert len(symbols) < 1200
+        closes = [k == token_output.END_ID for k in range(400)]
+        for left, right in rules.tolist():
+            assert not closes[left]
+            closes.append(closes[right])
+        assert max(pair_counts(symbols.tolist(), closes).values(), default=0) < token_output.LEAST_COUNT
+        used = np.bincount(np.concatenate([rules.ravel(), symbols]), minlength=400 + len(rules))[400:]
+        assert (used >= 1).all()
+
+
+def test_re_pair_replaces_runs():
+    rules, _, symbols = token_output.compress(np.full(200_000, 7), 400)
+    assert len(symbols) < 10 and len(rules) < 20
 
 
 def test_secrets(spark, small, edges):
@@ -105,6 +140,11 @@ def test_secret_checksums():
     scan = lambda t: [k for k, _, _ in secret_scan.scan(t, secret_scan.automaton())]
     assert scan(f"x ghp_{body}{check} y") == ["github"] and scan(f"x ghp_{body}000000 y") == []
     assert scan("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abc") == ["jwt"] and scan("eyJhbGciOiJIUzI1NiJx.eyJz.abc") == []
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).decode().rstrip("=")
+    assert scan(f"x {deep}.eyJz.abc") == [] and scan("eyJ" * 100_000 + ".eyJz.abc") == []
+    assert scan(f"npm_{body}{check}") == ["npm"] and scan(f"npm_{body}00000A") == []
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
+    assert scan(pem.format("QUJD\nREVG")) == ["pem"] and scan(pem.format("QUJDR")) == []
 
 
 def test_pii(spark, small, edges):
@@ -167,6 +207,39 @@ def test_line_crf(spark, small, edges, labels):
     assert line_crf.score_lines(empty(spark), model).count() == 0
     assert {r.doc_id for r in line_crf.keep_good(edges, model).collect()} <= {d for d, _ in EDGES}
     assert len(line_crf.fit(docs(spark), labels.limit(0))[0]) == line_crf.N_FEATURES
+    assert line_crf.score_lines(edges, model).columns[-2:] == ["kept", "content_share"]
+    twice = docs(spark).unionByName(docs(spark))
+    again = line_crf.fit(twice, labels.unionByName(labels))  # repeated rows and labels change nothing
+    assert all(np.allclose(a, b) for a, b in zip(model, again, strict=True))
+
+
+def test_line_crf_trains_on_all_steps_and_on_changes_of_label():
+    rng = np.random.default_rng(1)
+    long = [(rng.normal(size=(n, line_crf.N_FEATURES)), y) for n, y in ((1000, 1), (10, 1), (700, 0), (0, 0))]
+    chains = line_crf.stretches([(x, y) for x, y in long if len(x)])
+    assert sum(len(x) for x, _, _ in chains) == 1710 and max(len(x) for x, _, _ in chains) <= 2 * line_crf.STRETCH
+    assert np.isclose(sum(w.sum() for _, _, w in chains), 1.0) and sum(len(set(y.tolist())) == 2 for _, y, _ in chains) == 3
+    late = [np.zeros((600, line_crf.N_FEATURES)) for _ in range(2)]
+    late[1][500:, 3] = 1.0  # only what comes late tells the two apart
+    assert line_crf.train([(late[0], 1), (late[1], 0)])[0][3] < line_crf.PRIOR[3]
+
+
+def test_line_crf_gradient():
+    """Marginals by forward and backward sums against enumeration: training ends where they agree with the labels."""
+    rng = np.random.default_rng(2)
+    documents = [(rng.normal(size=(4, line_crf.N_FEATURES)) + (y - 0.5), y) for y in (0, 1, 0, 1)]
+    weights, stay = line_crf.train(documents, rounds=3000, rate=0.1, decay=0.05)
+    slope = np.zeros_like(stay)
+    for x, y, w in line_crf.stretches(documents):
+        paths = [[(k >> i) & 1 for i in range(len(x))] for k in range(2 ** len(x))]
+        logs = np.array([sum((x @ weights)[i] * p[i] for i in range(len(x))) + sum(stay[a, b] for a, b in zip(p[:-1], p[1:], strict=True)) for p in paths])
+        odds = np.exp(logs - np.logaddexp.reduce(logs))
+        for i in range(len(x) - 1):
+            v = (w[i] + w[i + 1]) / 2
+            slope[y[i], y[i + 1]] += v
+            for p, o in zip(paths, odds, strict=True):
+                slope[p[i], p[i + 1]] -= v * o
+    assert np.abs(slope - 0.05 * stay).max() < 1e-3
 
 
 def test_viterbi_is_the_best_path():
