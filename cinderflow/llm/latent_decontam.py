@@ -7,16 +7,21 @@
    Directions are whitened by their eigenvalues, which the same sums give (Nystrom), or else language and common words
    would decide every cosine.
 3. Overlapping passages of the documents and of the benchmark items are projected; passages whose cosine with an item's
-   passage reaches `LEAST_COSINE`, and which share enough of its rarer words, are candidates.
+   passage reaches `LEAST_COSINE` are candidates.
 4. A candidate counts if the longest common subsequence of the item and the text around the passage covers
    `LEAST_COMMON` of the item's words, and the item's last words, its answer, are covered too: this bears paraphrases,
-   insertions and gaps.
+   insertions and gaps. Before a subsequence is computed two upper bounds of its length are, by bit signatures of stretches of
+   text and by counting the item's words; they pass over only what can't reach `LEAST_COMMON`.
 
-Every document is compared with every item, items in blocks of `ITEM_BLOCK`; no document moves between tasks. Word codes, four bytes a word, are staged once
-for the three passes over them.
+Items under `LEAST_ITEM_WORDS` words say too little for cosines: they are found where their words stand in a row.
 
-Cases: null or empty text matches nothing, nor do items without words; repeated rows and tied items each get their rows;
-an empty table on either side gives an empty result; texts are read whole; clashing columns are dropped before.
+Every document is compared with every item, items in blocks of about `ITEM_BLOCK`, one after another: a block's items are
+what the driver holds at a time. No document moves between tasks. Word codes, four bytes a word, are staged once for the
+passes over them. Words are compared by 32-bit codes, so two given words are taken for each other with odds of 1 in 4e9.
+
+Cases: null or empty text matches nothing, nor do items without words; repeated rows and tied items each get their rows,
+as have rows without doc_id or item_id; of several places in a document the greatest share counts; an empty table on either
+side gives an empty result; texts are read whole; clashing columns are dropped before.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, LOWER, blocks, prefix_hash, span_hash, words
+from .arrays import BYTE_CODE, LOWER, blocks, gram_hash, prefix_hash, span_hash, words
 from .tables import documents, staged
 
 TERMS = 1 << 15
@@ -38,20 +43,20 @@ STRIDE = 12  # half a passage
 #: Terms in more passages than exp(-STOP_IDF) of them have no weight.
 STOP_IDF = 1.0
 ITEM_STRIDE = 6
-LEAST_COSINE = 0.65  # for items shorter than a passage times the square root of their share of it
-#: Words with weight set a bit of a passage's signature; candidates must share LEAST_BITS of the item's.
-SIGNATURE_WORDS = 4  # of 64 bits
-LEAST_BITS = 0.5
+LEAST_COSINE = 0.55  # for items shorter than a passage times the square root of their share of it
+SIGNATURE_WORDS = 8  # of 64 bits
 CHUNK = 4_000_000
 OFTEN = 96
 SEGMENTS = 2048
 CODE_BYTES = 1 << 20
+VERIFIED = 20_000  # stretches verified together
 SALTS = 32
 LEAST_COMMON = 0.6
 ANSWER_WORDS = 0.25
 LEAST_ANSWER = 0.4
 LEAST_ITEM_WORDS = 8
 ITEM_BLOCK = 4000
+ITEM_BYTES = 16_000_000
 TERM_BLOCKS = 64
 SEED = 7
 MATCH = "doc_id long, item_id long, common double, cosine double"
@@ -233,28 +238,38 @@ def with_zero(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, np.zeros((1, rows.shape[1]))]).astype(np.float32)
 
 
-def signatures(codes: np.ndarray, rare: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A row of bits for each passage, set by its rare words."""
+def word_bits(codes: np.ndarray) -> np.ndarray:
+    """The bit of a signature that each word sets."""
+    return (codes >> np.uint32(16) & np.uint32(64 * SIGNATURE_WORDS - 1)).astype(np.int64)
+
+
+def signatures(bit: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row of bits for each stretch start..end-1 of words."""
     out = np.zeros((len(start), SIGNATURE_WORDS), np.uint64)
-    if not len(start):
-        return out
-    bit = codes.astype(np.uint64) >> np.uint64(16) & np.uint64(64 * SIGNATURE_WORDS - 1)
-    use = rare[term_of(codes)]
-    for k in range(int((end - start).max())):
-        at = np.minimum(start + k, end - 1)
-        on = use[at]
-        b = bit[at][on]
-        out[np.flatnonzero(on), (b >> np.uint64(6)).astype(np.int64)] |= np.uint64(1) << (b & np.uint64(63))
+    for k in range(int((end - start).max()) if len(start) else 0):
+        b = bit[np.minimum(start + k, end - 1)]
+        out[np.arange(len(b)), b >> 6] |= np.uint64(1) << (b & 63).astype(np.uint64)
     return out
 
 
+def unions(cells: np.ndarray, widest: int) -> np.ndarray:
+    """[k, i]: the union of the signatures of cells i to i + 2**k - 1 (as far as there are), up to `widest` cells."""
+    levels = [cells]
+    while 1 << len(levels) <= widest:
+        last, span = levels[-1], 1 << (len(levels) - 1)
+        joined = last.copy()
+        joined[: len(last) - span] |= last[span:]
+        levels.append(joined)
+    return np.stack(levels)
+
+
 class Items:
     """A block of benchmark items, ready to be searched."""
 
-    def __init__(self, rows: list[tuple[int, str]], space: np.ndarray, rare: np.ndarray) -> None:
-        self.rare = rare
+    def __init__(self, rows: list[tuple[int | None, str | None]], space: np.ndarray) -> None:
         codes, first = [], [0]
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
+        short: dict[int, list[tuple[bytes, int | None]]] = {}
         for i, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             c, _ = word_codes(raw, np.array([0, len(raw)]))
@@ -262,20 +277,33 @@ class Items:
                 self.ids.append(i)
                 codes.append(c)
                 first.append(first[-1] + len(c))
+            elif len(c):
+                short.setdefault(len(c), []).append((c.tobytes(), i))
+        #: By number of words: sorted hashes of the short items' words, and the items (words, id) of each.
+        self.short: dict[int, tuple[np.ndarray, list[list[tuple[bytes, int | None]]]]] = {}
+        for n, found in short.items():
+            by_hash: dict[int, list[tuple[bytes, int | None]]] = {}
+            for raw, i in found:
+                by_hash.setdefault(int(gram_hash(prefix_hash(np.frombuffer(raw, np.uint32).astype(np.uint64)), n)[0]), []).append((raw, i))
+            self.short[n] = (np.array(sorted(by_hash), np.uint64), [by_hash[h] for h in sorted(by_hash)])
         self.codes = codes
         bounds = np.array(first)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         self.item, start, end, self.vectors = passage_vectors(space, term_of(flat), bounds, ITEM_STRIDE)
         self.offset = start - bounds[:-1][self.item] if codes else start
         self.least_cosine = (LEAST_COSINE * np.sqrt(np.minimum(1, (end - start) / PASSAGE))).astype(np.float32)
-        self.bits = signatures(flat, rare, start, end)
-        self.least_bits = LEAST_BITS * np.bitwise_count(self.bits).sum(1)
+        self.size = np.diff(bounds)
+        self.need = np.ceil(LEAST_COMMON * self.size - 1e-9).astype(np.int64)
+        self.spare = self.size - self.need  # words that may lack
+        self.bits = signatures(word_bits(flat), bounds[:-1], bounds[1:])
         self.masks: list[dict[int, int]] = []
         for c in codes:
             mask: dict[int, int] = {}
             for k, w in enumerate(c.tolist()):
                 mask[w] = mask.get(w, 0) | 1 << k
             self.masks.append(mask)
+        #: The items' words in order, with the lowest 64 bits of their places.
+        self.tables = [(np.array(sorted(m), np.uint32), np.array([m[w] & 0xFFFFFFFFFFFFFFFF for w in sorted(m)], np.uint64)) for m in self.masks]
 
     def common(self, item: int, region: list[int]) -> int:
         """Bits set where the item's words belong to a longest common subsequence with the region."""
@@ -287,66 +315,155 @@ class Items:
                 rest = ((rest + both) | (rest - both)) & full
         return full & ~rest
 
+    def covered(self, item: int, found: int) -> bool:
+        """Whether the item's words in `found`, bits of `common`, cover the item and its answer."""
+        n = len(self.codes[item])
+        tail = max(1, int(n * ANSWER_WORDS))
+        return found.bit_count() >= self.need[item] and (found >> (n - tail)).bit_count() >= LEAST_ANSWER * tail
+
+    def shares(self, codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For stretches codes[lo:hi], each with an item: the share of the item in common if item and answer are covered, else
+        0. All stretches advance together, a word at a time; items over 64 words go one by one."""
+        out = np.zeros(len(item))
+        order = np.argsort(item, kind="stable")
+        edge = np.flatnonzero(np.append(True, np.diff(item[order]) != 0)).tolist() + [len(order)]
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            rows = order[a:b]
+            words_of, mask = self.tables[item[rows[0]]]
+            place = lo[rows][:, None] + np.arange(int((hi - lo)[rows].max()))[None]
+            region = codes[np.minimum(place, len(codes) - 1)]
+            at = np.minimum(np.searchsorted(words_of, region), len(words_of) - 1)
+            same = (words_of[at] == region) & (place < hi[rows][:, None])
+            enough = same.sum(1) >= self.need[item[rows[0]]]
+            if self.size[item[rows[0]]] <= 64:
+                kept.append((rows[enough], np.where(same[enough], mask[at[enough]], np.uint64(0))))
+                continue
+            for r in rows[enough].tolist():
+                found = self.common(int(item[r]), codes[lo[r] : hi[r]].tolist())
+                if self.covered(int(item[r]), found):
+                    out[r] = found.bit_count() / self.size[item[r]]
+        if not kept:
+            return out
+        rows = np.concatenate([r for r, _ in kept])
+        n = self.size[item[rows]].astype(np.uint64)
+        full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - n)
+        rest = full.copy()
+        table = np.zeros((max(m.shape[1] for _, m in kept), len(rows)), np.uint64)  # words by stretches
+        i = 0
+        for r, m in kept:
+            table[: m.shape[1], i : i + len(r)] = m.T
+            i += len(r)
+        for hits in table:
+            both = rest & hits
+            rest = ((rest + both) | (rest - both)) & full
+        found = full & ~rest
+        tail = np.maximum(1, (n * ANSWER_WORDS).astype(np.int64))
+        good = (np.bitwise_count(found) >= self.need[item[rows]]) & (np.bitwise_count(found >> (n - tail.astype(np.uint64))) >= LEAST_ANSWER * tail)
+        out[rows[good]] = np.bitwise_count(found[good]) / n[good]
+        return out
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def block_matches(codes: np.ndarray, first: np.ndarray, items: Items, space: np.ndarray) -> list[tuple[int, int, float, float]]:
+def place_of(begin: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first word, word after the last) of the stretch to compare with an item of n words that would begin at the
+    word `begin` of a document low..high-1. Beginnings are taken together by quarters of the item, so that the stretch depends on no
+    other candidate; it has room for half an item and a stride more on both sides."""
+    quarter = np.maximum(1, n // 4)
+    place = (begin - low) // quarter
+    left = low + place * quarter
+    return place, np.maximum(low, left - n // 2 - STRIDE), np.minimum(high, left + quarter + n + n // 2 + STRIDE)
+
+
+def block_matches(codes: np.ndarray, first: np.ndarray, items: Items, space: np.ndarray) -> list[tuple[int, int | None, float, float]]:
     """(document, item, share of the item in common, cosine) of the verified matches of a block, the best of each pair."""
-    if not len(codes) or not items.ids:
+    if not len(codes):
         return []
-    doc, start, end, vectors = passage_vectors(space, term_of(codes), first, STRIDE)
-    best: dict[tuple[int, int], tuple[float, float]] = {}
-    bits = signatures(codes, items.rare, start, end)
+    best = short_matches(codes, first, items)
+    if not items.ids:
+        return best
+    doc, start, _, vectors = passage_vectors(space, term_of(codes), first, STRIDE)
+    c_doc, c_start, c_end = passages(first, STRIDE, STRIDE)
+    longest = int(items.size.max())
+    union = unions(signatures(word_bits(codes), c_start, c_end), min((3 * longest) // STRIDE + 8, len(c_doc)))
+    c_first = np.searchsorted(c_doc, np.arange(len(first)), "left")
+
+    def bits_of(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The signature of words lo..hi-1 of a document, rounded up to whole cells."""
+        ca, cb = c_first[d] + (lo - first[d]) // STRIDE, c_first[d] + -(-(hi - first[d]) // STRIDE)
+        level = np.frexp((cb - ca).astype(float))[1] - 1
+        return union[level, ca] | union[level, cb - (1 << level)]
+
+    # whatever item a passage belongs to, the stretch to compare lies in this one
+    around = ~bits_of(doc, np.maximum(first[doc], start - 3 * longest // 2 - STRIDE), np.minimum(first[doc + 1], start + longest + 3 * longest // 4 + 2 * STRIDE))
+    near_of: dict[tuple[int, int, int], tuple[int, int, float]] = {}
     step = max(1, CHUNK // len(items.vectors))
     for a in range(0, len(doc), step):
         cosine = vectors[a : a + step] @ items.vectors.T
-        near, query = np.divmod(np.flatnonzero((cosine >= items.least_cosine[None]).ravel()), len(items.vectors))
-        shared = np.zeros(len(near), np.int64)
-        for k in range(SIGNATURE_WORDS):
-            shared += np.bitwise_count(bits[a + near, k] & items.bits[query, k])
-        enough = shared >= items.least_bits[query]
-        near, query = near[enough], query[enough]
-        looked: dict[tuple[int, int], list[int]] = {}  # where the compared stretches begin
-        for w, q, c in zip((near + a).tolist(), query.tolist(), cosine[near, query].tolist(), strict=True):
-            item = int(items.item[q])
-            n = len(items.codes[item])
-            begin = int(start[w]) - int(items.offset[q])
-            if any(abs(begin - b) <= n // 4 for b in looked.get((int(doc[w]), item), ())):  # this stretch has been compared
-                continue
-            lo, hi = max(int(first[doc[w]]), begin - n // 2 - STRIDE), min(int(first[doc[w] + 1]), begin + n + n // 2 + STRIDE)
-            region = codes[lo:hi].tolist()
-            mask = items.masks[item]
-            if sum(x in mask for x in region) < LEAST_COMMON * n:
-                continue
-            looked.setdefault((int(doc[w]), item), []).append(begin)
-            found = items.common(item, region)
-            share = found.bit_count() / n
-            tail = max(1, int(n * ANSWER_WORDS))
-            if share >= LEAST_COMMON and (found >> (n - tail)).bit_count() >= LEAST_ANSWER * tail:
-                key = (int(doc[w]), items.ids[item])
-                best[key] = max(best.get(key, (0.0, 0.0)), (share, c))
-    return [(d, i, s, c) for (d, i), (s, c) in best.items()]
-
-
-def item_blocks(benchmark: DataFrame, space: np.ndarray, idf: np.ndarray) -> Iterator[Items]:
-    """The benchmark in blocks of about ITEM_BLOCK items, one on the driver at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    n = max(1, -(-rows.count() // ITEM_BLOCK))
+        hit = np.flatnonzero((cosine >= items.least_cosine[None]).ravel())
+        w, q = np.divmod(hit, len(items.vectors))
+        item = items.item[q]
+        # no more words are in common than set bits that the stretch has too
+        enough = np.flatnonzero(np.bitwise_count(items.bits[item] & around[w + a]).sum(1, dtype=np.uint16) <= items.spare[item])
+        w, q, item, c = w[enough] + a, q[enough], item[enough], cosine.ravel()[hit[enough]]
+        place, lo, hi = place_of(start[w] - items.offset[q], first[doc[w]], first[doc[w] + 1], items.size[item])
+        enough = np.flatnonzero(hi > lo)
+        lost = np.bitwise_count(items.bits[item[enough]] & ~bits_of(doc[w[enough]], lo[enough], hi[enough])).sum(1, dtype=np.uint16)
+        enough = enough[lost <= items.spare[item[enough]]]
+        for key, value in zip(zip(doc[w[enough]].tolist(), item[enough].tolist(), place[enough].tolist(), strict=True), zip(lo[enough].tolist(), hi[enough].tolist(), c[enough].tolist(), strict=True), strict=True):
+            if key not in near_of or near_of[key][2] < value[2]:
+                near_of[key] = value
+    top: dict[tuple[int, int], tuple[float, float]] = {}
+    near = list(near_of.items())
+    for a in range(0, len(near), VERIFIED):
+        part = near[a : a + VERIFIED]
+        item, lo, hi = np.array([(key[1], value[0], value[1]) for key, value in part]).T
+        share = items.shares(codes, item, lo, hi)
+        for k in np.flatnonzero(share).tolist():
+            key = part[k][0][:2]
+            top[key] = max(top.get(key, (0.0, 0.0)), (float(share[k]), part[k][1][2]))
+    return best + [(d, items.ids[item], s, c) for (d, item), (s, c) in top.items()]
+
+
+def short_matches(codes: np.ndarray, first: np.ndarray, items: Items) -> list[tuple[int, int | None, float, float]]:
+    """(document, item, 1, 1) of the items of few words whose words stand in a row in a document."""
+    out: dict[tuple[int, int], tuple[int, int | None, float, float]] = {}
+    for n, (keys, found) in items.short.items():
+        if len(codes) < n:
+            continue
+        grams = gram_hash(prefix_hash(codes.astype(np.uint64)), n)
+        place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        at = np.flatnonzero(keys[place] == grams)
+        doc = np.searchsorted(first, at, "right") - 1
+        for k, d in zip(at[at + n <= first[doc + 1]].tolist(), doc[at + n <= first[doc + 1]].tolist(), strict=True):
+            for raw, i in found[place[k]]:
+                if raw == codes[k : k + n].tobytes():
+                    out[d, id(raw)] = (d, i, 1.0, 1.0)
+    return list(out.values())
+
+
+def item_blocks(benchmark: DataFrame, space: np.ndarray) -> Iterator[tuple[bool, Items]]:
+    """(whether more follow, items): the benchmark in blocks of about ITEM_BLOCK items and ITEM_BYTES bytes, made one at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    n = max(1, -(-total.n // ITEM_BLOCK), -(-(total.bytes or 0) // ITEM_BYTES))
     for k in range(n):
-        yield Items([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()], space, idf > 0)
+        yield k < n - 1, Items([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], space)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, common, cosine): one row for each document and benchmark item found in it."""
     words_of = staged(coded(docs), "codes", "uncompressed")
-    idf = term_weights(words_of)
-    space = latent_space(words_of, idf)
-    parts = [_search(words_of, items, space) for items in item_blocks(benchmark, space, idf)]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    space = latent_space(words_of, term_weights(words_of))
+    out = None
+    for more, items in item_blocks(benchmark, space):
+        found = _search(words_of, items, space)
+        if more or out is not None:
+            found = staged(found, "matches")  # a block is done before the next one is made
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -365,11 +482,12 @@ def _search(words_of: DataFrame, items: Items, space: np.ndarray) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which no benchmark item is found."""
     words_of = staged(coded(docs), "codes", "uncompressed")
-    idf = term_weights(words_of)
-    space = latent_space(words_of, idf)
+    space = latent_space(words_of, term_weights(words_of))
     place = docs.columns.index("text")
-    for items in item_blocks(benchmark, space, idf):
+    for more, items in item_blocks(benchmark, space):
         docs = docs.mapInArrow(_clean(items, space, place), docs.schema)
+        if more:
+            docs = staged(docs, "clean")
     return docs
 
 

@@ -124,3 +124,53 @@ def near(rows: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tup
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def folded_words(text: str | None) -> list[str]:
+    """Words with A-Z in lower case, without up to two ASCII marks at the end."""
+    out = []
+    for w in WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")):
+        for _ in range(2):
+            if len(w) > 1 and ord(w[-1]) < 128 and not w[-1].isalnum():
+                w = w[:-1]
+        out.append(w)
+    return out
+
+
+def subsequence(item: list[str], region: list[str]) -> list[bool]:
+    """Which of the item's words belong to a longest common subsequence with the region; later words of the region first."""
+    rows = [[0] * (len(region) + 1)]
+    for x in item:
+        last, row = rows[-1], [0]
+        for k, y in enumerate(region):
+            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+        rows.append(row)
+    return [rows[i + 1][-1] > rows[i][-1] for i in range(len(item))]
+
+
+def contaminated(rows: list[tuple[int, str | None]], items: list[tuple[int, str | None]], least: float = 0.6, answer: float = 0.4, room: int = 12, short: int = 8) -> dict[tuple[int, int], float]:
+    """(doc_id, item_id) -> share of the item found, for every place of every document, without any candidate search."""
+    out: dict[tuple[int, int], float] = {}
+    texts = [(d, folded_words(t)) for d, t in rows]
+    for i, item_text in items:
+        item = folded_words(item_text)
+        n, known = len(item), set(item)
+        for d, w in texts:
+            if not n:
+                continue
+            if n < short:
+                if any(w[k : k + n] == item for k in range(len(w) - n + 1)):
+                    out[d, i] = 1.0
+                continue
+            inside = [0]
+            for x in w:
+                inside.append(inside[-1] + (x in known))
+            quarter, tail = max(1, n // 4), max(1, int(n * 0.25))
+            for place in range(-5, len(w) // quarter + 1):
+                lo = max(0, place * quarter - n // 2 - room)
+                hi = min(len(w), place * quarter + quarter + n + n // 2 + room)
+                if hi > lo and inside[hi] - inside[lo] >= least * n - 1e-9:
+                    found = subsequence(item, w[lo:hi])
+                    if sum(found) >= least * n - 1e-9 and sum(found[n - tail :]) >= answer * tail:
+                        out[d, i] = max(out.get((d, i), 0.0), sum(found) / n)
+    return out

@@ -321,12 +321,66 @@ def test_decontamination_at_the_start_of_a_block(spark, n):
     assert latent_decontam.drop_contaminated(frame, bench).count() == 0
 
 
+def test_decontamination_against_brute_force(spark, small, monkeypatch):
+    """Every place of every document is compared in plain Python: nothing else may be found, and at least nine tenths must be."""
+    rng = np.random.default_rng(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(48).collect()]
+    words = [t.split() for _, t in small if t and len(t.split()) > 300]
+    rows = list(small[:100])
+    for k, (_, text) in enumerate(items):  # exact, with words left out, replaced, put in
+        w, kind = text.split(), k % 4
+        if kind == 1:
+            w = [x for x in w if rng.random() > 0.15]
+        elif kind == 2:
+            w = [x if rng.random() > 0.2 else f"other{j}" for j, x in enumerate(w)]
+        elif kind == 3:
+            w = [y for x in w for y in ((x, "extra") if rng.random() < 0.2 else (x,))]
+        around = words[k % len(words)]
+        rows.append((50_000 + k, " ".join([*around[: 5 * k], *w, *around[5 * k : 5 * k + 40]])))
+    want = brute.contaminated(rows, items)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (4000, 20):
+        monkeypatch.setattr(latent_decontam, "ITEM_BLOCK", block)
+        got = {(r.doc_id, r.item_id): r.common for r in latent_decontam.find_matches(frame, bench).collect()}
+        assert set(got) <= set(want) and all(got[k] <= want[k] + 1e-9 for k in got)
+        assert len(got) >= 0.9 * len(want) and len(want) >= 40
+        left = {r.doc_id for r in latent_decontam.drop_contaminated(frame, bench).collect()}
+        assert left == {d for d, _ in rows} - {d for d, _ in got}
+
+
+def test_decontamination_of_short_long_and_tied_items(spark, edges):
+    long = " ".join(f"w{k}" for k in range(150))
+    rows = [(1, "one two three"), (2, "one two three"), (3, "two four"), (4, long), (None, "three four five six"), (5, "f"), (6, "x"), (7, None)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    extra = spark.createDataFrame([(100, "pre " * 40 + long + " post" * 30), (100, "pre " * 40 + long + " post" * 30), (None, "One, two; three!"), (101, "onetwo three one two")], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.common) for r in latent_decontam.find_matches(edges.select("doc_id", "text").unionByName(extra), bench).collect()]
+    docs_of = [(d, t) for d, t in [*EDGES[:-1], (100, "pre " * 40 + long + " post" * 30), (-1, "One, two; three!"), (101, "onetwo three one two")]]
+    want = brute.contaminated(docs_of, [(-1 if i is None else i, t) for i, t in rows])
+    mine = [(-1 if d is None else d, -1 if i is None else i, c) for d, i, c in got]
+    assert {(d, i): c for d, i, c in mine} == want and {(100, 4), (-1, 1), (-1, 2), (5, -1)} <= set(want)
+    assert len(mine) == len(want) + sum(d == 100 for d, _ in want)  # the repeated row has its rows again
+
+
 def test_longest_common_subsequence():
     space = np.ones((latent_decontam.TERMS + 1, 4), np.float32)
-    items = latent_decontam.Items([(1, "a b c d e f g h i j")], space, np.ones(latent_decontam.TERMS, bool))
-    codes = lambda t: latent_decontam.word_codes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()
-    assert items.common(0, codes("x a c b z d f e g j")).bit_count() == 6
-    assert items.common(0, codes("j i h")).bit_count() == 1
+    items = latent_decontam.Items([(1, "a b c d e f g h i j")], space)
+    codes = lambda t: latent_decontam.word_codes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+    assert items.common(0, codes("x a c b z d f e g j").tolist()).bit_count() == 6
+    assert items.common(0, codes("j i h").tolist()).bit_count() == 1
+    rng = np.random.default_rng(3)
+    for n in (8, 40, 64, 65, 90):  # all stretches together, and one by one beyond 64 words
+        item = [f"v{k}" for k in rng.integers(0, n, n)]
+        text = [f"v{k}" for k in rng.integers(0, n + 10, 3 * n)] + item[: n - 3]
+        items = latent_decontam.Items([(1, " ".join(item))], space)
+        lo = np.arange(0, 3 * n, 7)
+        hi = np.minimum(lo + 2 * n, len(text))
+        got = items.shares(codes(" ".join(text)), np.zeros(len(lo), int), lo, hi)
+        for a, b, share in zip(lo.tolist(), hi.tolist(), got.tolist(), strict=True):
+            found = brute.subsequence(item, text[a:b])
+            tail = max(1, int(n * 0.25))
+            good = sum(found) >= 0.6 * n - 1e-9 and items.covered(0, items.common(0, codes(" ".join(text[a:b])).tolist()))
+            assert np.isclose(share, sum(found) / n if good else 0.0), (n, a, tail)
 
 
 def test_pieces_round_trip(spark, edges):
