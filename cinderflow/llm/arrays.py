@@ -173,39 +173,80 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 class SpanCache:
-    """Integer sequences of spans seen before, sorted by the spans' hashes; emptied when it would hold more than `limit`."""
+    """Integer sequences of spans seen before, found by the spans' hashes in an open-addressing table; emptied when it would
+    hold more than `limit`. Hashes alone tell spans apart: with 2**21 spans held, a new one is taken for another with odds of 1e-13."""
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = self.size = np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self._table(1 << 16)
+        self.at = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int32)
+        self.flat, self.used, self.held = np.zeros(1 << 16, np.int32), 0, 0
+
+    def _table(self, slots: int) -> None:
+        self.shift = np.uint64(65 - slots.bit_length())
+        self.keys = np.zeros(slots, np.uint64)
+        self.entry = np.full(slots, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 where there is none."""
+        slot = (keys >> self.shift).view(np.int64)
+        found = self.entry[slot]
+        other = np.flatnonzero((self.keys[slot] != keys) & (found >= 0))
+        found[other] = -1
+        slot = slot[other]
+        while len(other):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            entry = self.entry[slot]
+            same = self.keys[slot] == keys[other]
+            found[other[same]] = entry[same]  # an empty slot's key, 0, may be asked for: its entry is -1
+            on = ~same & (entry >= 0)
+            other, slot = other[on], slot[on]
+        return found
+
+    def _insert(self, keys: np.ndarray, entry: np.ndarray) -> None:
+        slot = (keys >> self.shift).view(np.int64)
+        while len(keys):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = entry[free]  # of several keys for one slot the last stays
+            won = free & (self.entry[slot] == entry)
+            self.keys[slot[won]] = keys[won]
+            keys, entry, slot = keys[~won], entry[~won], (slot[~won] + 1) & (len(self.keys) - 1)
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Indexes of the sorted, distinct keys that `add` has to bring before `get` can be asked for all of them."""
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            new = np.flatnonzero(self.keys[place] != keys)
-            if len(self.keys) + len(new) <= self.limit:
-                return new
+        """Indexes of the distinct keys that `add` has to bring before `get` can be asked for all of them."""
+        new = np.flatnonzero(self.find(keys) < 0)
+        new = new[distinct(keys[new])[1]]
+        if self.held + len(new) > self.limit and self.held:
             self.reset()
-        return np.arange(len(keys))
+            return distinct(keys)[1]
+        return new
 
     def add(self, keys: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         while len(self.flat) < self.used + len(flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(flat)] = flat
-        where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, where, size)
-        self.keys = np.insert(self.keys, where, keys)
-        self.used += len(flat)
-
-    def get(self, keys: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sequences of keys[inverse] one after another, and the length of each."""
-        place = np.searchsorted(self.keys, keys)
-        size = self.size[place][inverse]
-        return self.flat[ragged(self.at[place][inverse], size)], size
+        n = self.held + len(keys)
+        while len(self.at) < n:
+            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+        self.at[self.held : n] = self.used + np.cumsum(size) - size
+        self.size[self.held : n] = size
+        entry = np.arange(self.held, n, dtype=np.int32)
+        self.names = np.append(self.names[: self.held], keys) if self.held else keys.copy()
+        self.held, self.used = n, self.used + len(flat)
+        if 4 * n > len(self.keys):
+            slots = len(self.keys)
+            while 4 * n > slots:
+                slots *= 2
+            self._table(2 * slots)
+            keys, entry = self.names, np.arange(n, dtype=np.int32)
+        self._insert(keys, entry)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of the keys one after another, and the length of each."""
+        entry = self.find(keys)
+        size = self.size[entry].astype(np.int64)
+        return self.flat[ragged(self.at[entry], size)], size

@@ -184,11 +184,10 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tuple
     start = np.flatnonzero(starts)
     end = np.append(start[1:], len(points))
     keys = span_hash(prefix_hash(point_codes(points)), start, end)
-    unique, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    new = pieces.cache.missing(unique)
+    new = pieces.cache.missing(keys)
     if len(new):
-        pieces.cache.add(unique[new], *encode_chunks(points, start[example[new]], (end - start)[example[new]], pieces))
-    ids, size = pieces.cache.get(unique, inverse)
+        pieces.cache.add(keys[new], *encode_chunks(points, start[new], (end - start)[new], pieces))
+    ids, size = pieces.cache.get(keys)
     return ids, sums(size, np.searchsorted(start, bounds, "left"))
 
 

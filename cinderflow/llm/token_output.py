@@ -15,6 +15,7 @@ an empty table gives an empty result; texts are encoded whole; other columns are
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODE, SPACE, SpanCache, blocks, distinct, prefix_hash, span_hash, sums
+from .arrays import BYTE_CODE, SPACE, SpanCache, blocks, prefix_hash, ragged, span_hash, sums
 from .tables import documents, work_path
 
 END_ID = 2
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: Replacement ends when no pair occurs this often.
 LEAST_COUNT = 2
 #: The threshold of pair counts falls to 1 / FALL from round to round.
@@ -36,6 +37,8 @@ FALL = 4
 #: Ids decoded at a time when a shard is read.
 RANGE_TOKENS = 1 << 17
 CACHE_PIECES = 1 << 21
+#: Pieces that go through the tokenizer as the lines of one text.
+JOINED = 200
 SHARD_SCHEMA = "part int, shard int, n_tokens long, base int, doc_ids array<long>, doc_tokens array<long>, rules binary, lengths binary, symbols binary"
 
 _UNKNOWN = np.iinfo(np.int32).max
@@ -77,22 +80,41 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.cache = SpanCache(CACHE_PIECES)
 
+    def tokenize(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has. Pieces without line breaks go through the tokenizer in
+        lines of one text: the pre-tokenizer parts a line break from a piece that has no white space but a space before it,
+        and the break's own id, which nothing else has, tells the pieces apart."""
+        blank = re.compile(r"(?!^ \S)\s")
+        alone = np.array([blank.search(p) is not None for p in pieces], bool)
+        lone = [pieces[k] for k in np.flatnonzero(alone).tolist()]
+        joined = [p for p, a in zip(pieces, alone.tolist(), strict=True) if not a]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(["\n".join(joined[i : i + JOINED]) + "\n" for i in range(0, len(joined), JOINED)] + lone, add_special_tokens=False)]
+        texts = -(-len(joined) // JOINED)
+        flat = np.fromiter(chain.from_iterable(found[:texts]), np.int32)
+        ends = np.flatnonzero(flat == self.line_break)
+        size = np.zeros(len(pieces), np.int64)
+        size[~alone] = np.diff(ends, prepend=-1) - 1
+        size[alone] = [len(f) for f in found[texts:]]
+        out = np.zeros(int(size.sum()), np.int32)
+        first = np.cumsum(size) - size
+        out[ragged(first[~alone], size[~alone])] = flat[flat != self.line_break]
+        out[ragged(first[alone], size[alone])] = np.fromiter(chain.from_iterable(found[texts:]), np.int32)
+        return out, size
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, and how many each document has."""
         start = piece_starts(data, offsets)
         end = np.append(start[1:], len(data))[: len(start)]
         keys = span_hash(prefix_hash(BYTE_CODE[data]), start, end)
-        unique, example, inverse = distinct(keys)
-        new = self.cache.missing(unique)
+        new = self.cache.missing(keys)
         if len(new):
             raw = data.tobytes()
-            pieces = [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.cache.add(unique[new], np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
-        ids, size = self.cache.get(unique, inverse)
+            pieces = [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self.cache.add(keys[new], *self.tokenize(pieces))
+        ids, size = self.cache.get(keys)
         return ids, sums(size, np.searchsorted(start, offsets, "left"))
 
 
@@ -234,18 +256,20 @@ def decode_range(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, ba
     if ends is None:
         ends = np.cumsum(size[symbols])
     i, j = np.searchsorted(ends, first, "right"), np.searchsorted(ends, last, "left") + 1
-    part = symbols[i:j]
-    place = ends[i:j] - size[part] - first
+    part = symbols[i:j].astype(np.int32)
+    place = (ends[i:j] - size[part] - first).astype(np.int32)
     width = max(0, last - first)
     out = np.zeros(width, np.uint32)
+    left, right, size = rules[:, 0].astype(np.int32), rules[:, 1].astype(np.int32), size.astype(np.int32)
     while len(part):
-        near = (place < width) & (place + size[part] > 0)
-        part, place = part[near], place[near]
+        if place.min() < 0 or int(place.max()) >= width:
+            near = (place < width) & (place + size[part] > 0)
+            part, place = part[near], place[near]
         plain = part < base
         out[place[plain]] = part[plain]
-        part, place = part[~plain], place[~plain]
-        two = rules[part - base]
-        part, place = two.ravel(), np.column_stack([place, place + size[two[:, 0]]]).ravel()
+        rule, place = part[~plain] - base, place[~plain]
+        first_part = left[rule]
+        part, place = np.concatenate([first_part, right[rule]]), np.concatenate([place, place + size[first_part]])
     return out
 
 
