@@ -9,7 +9,7 @@
 3. Overlapping passages of the documents and of the benchmark items are projected; passages whose cosine with an item's
    passage reaches `LEAST_COSINE` are candidates.
 4. A candidate counts if the longest common subsequence of the item and the text around the passage covers
-   `LEAST_COMMON` of the item's words, and the item's last words, its answer, are covered too: this bears paraphrases,
+   `LEAST_COMMON` of the item's words, and so are `LEAST_ANSWER` of its last words, its answer, taken alone: this bears paraphrases,
    insertions and gaps. Before a subsequence is computed two upper bounds of its length are, by bit signatures of stretches of
    text and by counting the item's words; they pass over only what can't reach `LEAST_COMMON`.
 
@@ -43,7 +43,7 @@ STRIDE = 12  # half a passage
 #: Terms in more passages than exp(-STOP_IDF) of them have no weight.
 STOP_IDF = 1.0
 ITEM_STRIDE = 6
-LEAST_COSINE = 0.55  # for items shorter than a passage times the square root of their share of it
+LEAST_COSINE = 0.5  # for items shorter than a passage times the square root of their share of it
 SIGNATURE_WORDS = 8  # of 64 bits
 CHUNK = 4_000_000
 OFTEN = 96
@@ -300,16 +300,17 @@ class Items:
         for c in codes:
             mask: dict[int, int] = {}
             for k, w in enumerate(c.tolist()):
-                mask[w] = mask.get(w, 0) | 1 << k
+                mask[w] = mask.get(w, 0) | 1 << (len(c) - 1 - k)
             self.masks.append(mask)
         #: The items' words in order, with the lowest 64 bits of their places.
         self.tables = [(np.array(sorted(m), np.uint32), np.array([m[w] & 0xFFFFFFFFFFFFFFFF for w in sorted(m)], np.uint64)) for m in self.masks]
 
     def common(self, item: int, region: list[int]) -> int:
-        """Bits set where the item's words belong to a longest common subsequence with the region."""
+        """Bits set where words of the item, bit 0 its last, belong to a longest common subsequence with the region. Both are
+        read from the end, so that the lowest k bits count what the item's last k words alone have in common with it."""
         full = (1 << len(self.codes[item])) - 1
         rest, mask = full, self.masks[item]
-        for w in region:
+        for w in reversed(region):
             if m := mask.get(w):
                 both = rest & m
                 rest = ((rest + both) | (rest - both)) & full
@@ -319,7 +320,7 @@ class Items:
         """Whether the item's words in `found`, bits of `common`, cover the item and its answer."""
         n = len(self.codes[item])
         tail = max(1, int(n * ANSWER_WORDS))
-        return found.bit_count() >= self.need[item] and (found >> (n - tail)).bit_count() >= LEAST_ANSWER * tail
+        return found.bit_count() >= self.need[item] and (found & (1 << tail) - 1).bit_count() >= LEAST_ANSWER * tail
 
     def shares(self, codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """For stretches codes[lo:hi], each with an item: the share of the item in common if item and answer are covered, else
@@ -354,12 +355,12 @@ class Items:
         for r, m in kept:
             table[: m.shape[1], i : i + len(r)] = m.T
             i += len(r)
-        for hits in table:
+        for hits in table[::-1]:
             both = rest & hits
             rest = ((rest + both) | (rest - both)) & full
         found = full & ~rest
         tail = np.maximum(1, (n * ANSWER_WORDS).astype(np.int64))
-        good = (np.bitwise_count(found) >= self.need[item[rows]]) & (np.bitwise_count(found >> (n - tail.astype(np.uint64))) >= LEAST_ANSWER * tail)
+        good = (np.bitwise_count(found) >= self.need[item[rows]]) & (np.bitwise_count(found & ((np.uint64(1) << tail.astype(np.uint64)) - np.uint64(1))) >= LEAST_ANSWER * tail)
         out[rows[good]] = np.bitwise_count(found[good]) / n[good]
         return out
 

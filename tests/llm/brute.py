@@ -171,6 +171,6 @@ def contaminated(rows: list[tuple[int, str | None]], items: list[tuple[int, str
                 hi = min(len(w), place * quarter + quarter + n + n // 2 + room)
                 if hi > lo and inside[hi] - inside[lo] >= least * n - 1e-9:
                     found = subsequence(item, w[lo:hi])
-                    if sum(found) >= least * n - 1e-9 and sum(found[n - tail :]) >= answer * tail:
+                    if sum(found) >= least * n - 1e-9 and sum(subsequence(item[n - tail :], w[lo:hi])) >= answer * tail:
                         out[d, i] = max(out.get((d, i), 0.0), sum(found) / n)
     return out
