@@ -30,12 +30,14 @@ from .tables import documents, work_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-#: Replacement ends when no pair occurs this often.
-LEAST_COUNT = 2
+#: Replacement ends when no pair occurs this often. A rule is two symbols, so one for a pair that occurs twice would store
+#: as many symbols as it saves, and its length besides.
+LEAST_COUNT = 3
 #: The threshold of pair counts falls to 1 / FALL from round to round.
 FALL = 4
 #: Ids decoded at a time when a shard is read.
 RANGE_TOKENS = 1 << 17
+BLOCK_BYTES = 1 << 19
 CACHE_PIECES = 1 << 21
 #: Pieces that go through the tokenizer as the lines of one text.
 JOINED = 200
@@ -302,7 +304,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(0)[0].as_py()
-            for i, j, data, offsets in blocks(batch.column(2)):
+            for i, j, data, offsets in blocks(batch.column(2), BLOCK_BYTES):
                 ids, counts = encoder.encode(data, offsets)
                 ends = np.cumsum(counts + 1) - 1
                 whole = np.full(len(ids) + len(counts), END_ID, np.int32)
