@@ -1,15 +1,18 @@
-"""Repeated byte strings by a suffix array built through induced sorting.
-
-Text is sorted in shards: the regions of some anchors (see `repeats`), brought together and sorted by Spark's external
-sort, which is the disk-backed queue of this operator: what doesn't fit a task's memory waits there, spilled, and a task
-takes from its front as many whole anchors as its memory should hold. So any number of suffixes, far more than memory,
-passes through. In a shard, suffixes are classified; those at local minima (LMS) are ranked by their substrings and, by
-doubling over the sequence of ranks, by themselves; from them a scan over the buckets in ascending order induces the
-L suffixes and one in descending order the S suffixes. All suffixes of a bucket that are known at a time move as one
-tuple array, so the scans take a step for each bucket and run length, not for each suffix. Common-prefix values of
-neighbours, counted up to the window size, then tell which windows occur again.
-
-Cases: null or empty text has no bytes; rows without doc_id are compared with nothing but their exact copies; an empty table
+"""Repeated byte strings by suffix arrays built through induced sorting.
+
+Text is sorted in shards: groups of regions with a common prefix (see `repeats`), brought together and ordered by Spark's
+external sort. What doesn't fit a task's memory waits there, spilled, and a task takes from its front as many whole groups as
+SHARD_BYTES allows, so any number of suffixes passes through. In a shard, suffixes are classified; those at local minima (LMS)
+are ranked by their substrings and, by doubling over the sequence of ranks, by themselves; from them a scan over the buckets in
+ascending order induces the L suffixes and one in descending order the S suffixes. All suffixes of a bucket that are known at a
+time move as one tuple array, so the scans take a step for each bucket and run length, not for each suffix. Common-prefix values
+of neighbours, counted up to the window size, then tell which windows occur again.
+
+This isn't one induction over all text with queues on disk: a task may keep no files that others need, and a Spark job for each
+bucket of each level would cost thousands of jobs. Parting by prefixes and the sort of the shuffle stand in for the queues, and
+doubling for the recursion on the reduced string, of which no more than a window's depth is wanted.
+
+Cases: null or empty text has no bytes; rows without doc_id are compared like all others; an empty table
 gives an empty result; texts are read whole; clashing columns are dropped before; rows that repeat doc_id and text are copies.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ragged
-from .repeats import INTERVAL, Windows, by_anchor, changed, copies, covered_mask, distinct_regions, hot_intervals, intervals, keyed, regions, sharing
+from .repeats import INTERVAL, Windows, by_prefix, changed, copies, covered_mask, distinct_regions, grouped, intervals, keyed, node_intervals, sharing, whole_windows
 
 WINDOW_BYTES = 200
 GRAM_BYTES = 64
@@ -172,10 +175,11 @@ def shard_intervals(table: pa.Table, size: int) -> pa.RecordBatch:
 
 def repeated_bytes(docs: DataFrame, size: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> tuple[DataFrame, DataFrame]:
     """(texts that share an anchor, byte intervals [start, stop) of strings that also start elsewhere)."""
-    windows = Windows(size, gram, 1, False)
+    windows = Windows(size, gram, 1, False, 8)
     texts = sharing(docs, windows, True)
-    cold = by_anchor(regions(texts, windows), lambda t: shard_intervals(t, size), INTERVAL, SHARD_BYTES)
-    return texts, cold.unionByName(hot_intervals(texts, windows, True))
+    groups, large = grouped(texts, windows)
+    found = by_prefix(groups, lambda t: shard_intervals(t, size), INTERVAL, SHARD_BYTES)
+    return texts, found.unionByName(node_intervals(whole_windows(large, windows), windows, True))
 
 
 def kept_bytes(text: str, spans: np.ndarray) -> tuple[int, int, str]:
@@ -189,12 +193,12 @@ def dedup_bytes(docs: DataFrame, size: int = WINDOW_BYTES, gram: int = GRAM_BYTE
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     texts, found = repeated_bytes(docs, size, gram)
     fewer = changed(texts, found, kept_bytes, RESULT)
-    rows = keyed(docs).select("doc", "th", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    rows = keyed(docs).select("doc_id", "doc", "th", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     all_rows = rows.join(copies(keyed(docs)), "text_key").join(fewer, ["doc", "th"], "left")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= size)
     zero = F.lit(0).cast("long")
     return all_rows.select(
-        F.col("doc").alias("doc_id"),
+        "doc_id",
         "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(copied, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),

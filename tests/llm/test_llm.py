@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinderflow.llm import arrays, induced_sort, latent_decontam, line_crf, pii, piece_viterbi, queries, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
+from cinderflow.llm import arrays, induced_sort, latent_decontam, line_crf, pii, piece_viterbi, queries, repeats, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
 
 from . import brute
 
@@ -169,12 +169,45 @@ def test_passages(spark, small, edges):
     assert suffix_trees.dedup_passages(empty(spark)).count() == 0
 
 
-def test_hot_anchors_take_the_exact_path(spark, small, monkeypatch):
-    from cinderflow.llm import repeats
-
-    monkeypatch.setattr(repeats, "MOST_REGIONS", 2)
-    assert by_id(suffix_trees.dedup_passages(docs(spark)), "n_words", "n_removed", "kept_sha256") == brute.repeats(small)
-    assert by_id(induced_sort.dedup_bytes(docs(spark)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.byte_repeats(small)
+@pytest.mark.parametrize("most", [2, 6])
+def test_frequent_anchors_take_longer_prefixes(spark, small, monkeypatch, most):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", most)
+    rng = np.random.default_rng(8)
+    common = [f"c{k}" for k in range(60)]  # a passage in many documents, in other surroundings each time, and one that repeats itself
+    more = [(90_000 + d, " ".join([f"p{d}_{k}" for k in range(rng.integers(0, 30))] + common[rng.integers(0, 8) :] + [f"q{d}_{k}" for k in range(20)])) for d in range(12)]
+    more += [(91_000 + d, "la le li " * (60 + d) + f"end{d}") for d in range(4)]
+    rows = small[:120] + more
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(suffix_trees.dedup_passages(frame), "n_words", "n_removed", "kept_sha256") == brute.repeats(rows)
+    assert by_id(induced_sort.dedup_bytes(frame), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.byte_repeats(rows)
+
+
+def test_suffix_tree_nodes():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        length = rng.integers(3, 30, rng.integers(1, 6))
+        units = rng.integers(0, 3, int(length.sum())).astype(np.uint64)
+        parts = np.split(units, np.cumsum(length)[:-1])
+        depth = int(rng.integers(1, 4))
+        suffixes = [(r, i) for r, p in enumerate(parts) for i in range(len(p) - depth + 1)]
+        first = np.cumsum(length + 1) - (length + 1)
+        tree = suffix_trees.suffix_tree(units, length, np.array([first[r] + i for r, i in suffixes]))
+        texts = [tuple(parts[r][i:].tolist()) for r, i in suffixes]
+
+        def shared(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+        ordered = [texts[k] for k in tree.order]
+        for k in range(1, len(ordered)):
+            d = shared(ordered[k - 1], ordered[k])
+            assert tree.common[k] == d
+            assert d in (len(ordered[k - 1]), len(ordered[k])) or ordered[k - 1][d] < ordered[k][d]
+        node, depths = tree.deep_nodes(depth)
+        for v in range(len(depths)):
+            leaves = [ordered[k] for k in np.flatnonzero(node == v)]
+            assert len({t[:depth] for t in leaves}) == 1
+            assert depths[v] == (min(shared(a, b) for a in leaves for b in leaves if a is not b) if len(leaves) > 1 else 0)
+        assert len({t[:depth] for t in texts}) == len(depths)
 
 
 def test_bytes(spark, small, edges):
@@ -462,6 +495,11 @@ def test_queries_are_registered():
 
 def test_nulls_in_doc_id(spark):
     frame = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (None, None)], "doc_id long, text string")
+    long = "null rows count too " * 40
+    twice = spark.createDataFrame([(None, long + "a"), (7, long + "b"), (None, "x" + long), (8, long + "b")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words): r.n_removed for r in suffix_trees.dedup_passages(twice).collect()}
+    assert got == {(None, 161): 0, (7, 161): 0, (8, 161): 161, (None, 160): 0}  # a row without doc_id is neither before nor after another
+    assert sorted(r.n_removed for r in induced_sort.dedup_bytes(twice).collect()) == [800, 800, 801, 801]
     assert suffix_trees.dedup_passages(frame).count() == 3 and induced_sort.dedup_bytes(frame).count() == 3
     assert setsketch.near_duplicates(frame).count() == 3 and setsketch.keep_one(frame).count() == 3
     assert token_output.document_digests(token_output.encode_to_shards(frame, public_tokenizers.path("byte_bpe_50k.json"))).count() == 3
