@@ -33,7 +33,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component) of each node that has an edge; component is the least id in reach. ids may be of any ordered type.
 
-    An edge with a null end is no edge, nor is one from a node to itself; repeated edges count once; no edges, no rows.
+    An edge with a null end is no edge, nor is one from a node to itself; repeated edges count once; no edges, no rows. Rounds grow with the logarithm
+    of the longest path; if they don't suffice an error is raised.
     """
     now = staged(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges")
     seen = _summary(now)
@@ -45,5 +46,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
         if new == seen:
             break
         seen = new
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     members = now.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("id"), "component")).distinct()
