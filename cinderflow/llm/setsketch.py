@@ -7,7 +7,7 @@ group; inside a group the likelihood of the three ways two registers compare, ta
 the Jaccard similarity, and pairs that it doesn't rule out are verified on full sets.
 
 Documents with equal sets are one class from the start. Groups are found by connected components over (member, least
-member) edges, and one larger than a task should hold is dealt out in pairs of blocks; so no pairs are emitted within a
+member) edges, and one with more bytes or pairs than a task should have is dealt out in pairs of blocks; so no pairs are emitted within a
 bucket and no group meets in one task without bound. With 32 bands of 5 registers a pair at 0.85 is missed with a
 probability of 7e-9.
 
@@ -37,6 +37,7 @@ BASE = 1.001
 LARGEST = 2.0  # points beyond it leave a register at 0
 MARGIN = 0.3  # pairs whose estimate is this much below the threshold aren't verified: over seven standard deviations
 GROUP_BYTES = 16_000_000
+GROUP_DOCS = 2000  # a group beyond either is dealt out, so that no task compares more than (2 * GROUP_DOCS)**2 / 2 pairs
 PROFILE = "doc_id long, n_shingles long, n_bytes long, signature binary, sketch binary"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xA0761D6478BD642F)
@@ -117,7 +118,8 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def band_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, class_id): a hash of each band's number and registers."""
+    """(bucket, class_id): a hash of each band's number and registers. A band that no shingle reached says nothing and has no
+    bucket; it comes up in tiny sets alone, where only equal sets are as similar as that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +128,8 @@ def band_buckets(classes: DataFrame) -> DataFrame:
                 prefix = prefix_hash(mix(rows.ravel() + np.uint64(1)))
                 start = np.arange(len(rows) * BANDS) * ROWS
                 key = mix(span_hash(prefix, start, start + ROWS) + (start // ROWS % BANDS).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], ["bucket", "class_id"])
+                told = rows.reshape(-1, ROWS).any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(key[told].view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)[told])], ["bucket", "class_id"])
 
     return classes.select("class_id", "sketch").mapInArrow(run, "bucket long, class_id long")
 
@@ -219,8 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     ties = buckets.join(least, "bucket").where("class_id <> least").select("class_id", "least").distinct()
     groups = connected_components(ties, "class_id", "least")
     sized = groups.join(classes, F.col("id") == F.col("class_id")).select("component", "class_id", "sketch", "n_bytes")
-    weight = sized.groupBy("component").agg(F.sum("n_bytes").alias("weight"))
-    parts = F.ceil(F.col("weight") / GROUP_BYTES).cast("int")
+    weight = sized.groupBy("component").agg(F.greatest(F.sum("n_bytes") / GROUP_BYTES, F.count("*") / GROUP_DOCS).alias("weight"))
+    parts = F.greatest(F.ceil("weight"), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
     dealt = sized.join(weight, "component").withColumn("parts", parts).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
