@@ -3,11 +3,12 @@
 Text becomes code points with U+2581 for each space and one more before a non-empty text. It is cut where no piece can
 reach across: before a run of spaces and around line breaks. Distinct chunks of equal length advance together: hashes of
 all their substrings probe the sorted hashes of the pieces, and for each end position one vectorised maximum over the
-piece lengths stores score and backpointer. A code point that no piece covers costs its bytes and becomes byte pieces.
+piece lengths stores score and backpointer. Chunks over LONG_CHUNK code points, as in text without spaces, go one by one, in
+stretches, to the same end. A code point that no piece covers costs its bytes and becomes byte pieces.
 
 A U+2581 that stands in the text itself is spelled in bytes, so decode(encode(text)) == text for every text.
 
-Cases: null or empty text has no ids (and decodes to the empty text); repeated rows are encoded alike; an empty table gives
+Cases: of equally good segmentations the one whose last piece is shorter counts, at every place; null or empty text has no ids (and decodes to the empty text); repeated rows are encoded alike; an empty table gives
 an empty result; texts are encoded whole; other columns stay out of it.
 """
 
@@ -32,6 +33,9 @@ BYTE_PENALTY = 10.0
 BLOCK_BYTES = 1 << 20
 GROUP_CELLS = 1_000_000
 CACHE_CHUNKS = 1 << 20
+SCALE = 1 << 20  # scores are multiples of 1 / SCALE, so sums are exact and equal ones are ties
+LONG_CHUNK = 1024  # code points; longer ones go alone
+STRETCH = 1 << 16
 ENCODED = "doc_id long, text string, ids array<int>"
 
 
@@ -85,6 +89,7 @@ def load(model_path: str) -> Pieces:
     ids = np.array(normal, np.int32)
     rank = np.argsort(np.argsort([-model.get_score(i) for i in normal], kind="stable"), kind="stable")
     scores = -np.log((rank + 1.0) * np.sum(1.0 / np.arange(1, len(rank) + 1)))
+    scores = np.round(scores * SCALE) / SCALE
     order = np.argsort(keys)
     size = np.array([len(r) for r in raw])
     found = Pieces(keys[order], ids[order], scores[order], int(length.max()), byte_ids, float(scores.min()) - BYTE_PENALTY, np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, SpanCache(CACHE_CHUNKS))
@@ -133,6 +138,51 @@ def viterbi(chunks: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
     return out, best[:, length + reach]
 
 
+def one_path(points: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """`viterbi` for one long chunk, whose code points can't advance beside others: STRETCH of them at a time are probed, and
+    only pieces that are there are compared. What is carried from stretch to stretch are scores and the last piece's length."""
+    length, reach = len(points), pieces.longest
+    best = [0.0] * (length + 1)
+    back = np.ones(length + 1, np.int16)
+    out = np.full(length, -1, np.int32)
+    for a in range(0, length, STRETCH):
+        b = min(length, a + STRETCH)
+        low = max(0, a - reach + 1)
+        prefix = prefix_hash(point_codes(points[low:b]))
+        end, size, place = [], [], []
+        for n in range(1, min(reach, b) + 1):
+            start = np.arange(max(low, a - n + 1), b - n + 1)
+            key = span_hash(prefix, start - low, start - low + n)
+            at = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            hit = pieces.keys[at] == key
+            end.append(start[hit] + n)
+            size.append(np.full(int(hit.sum()), n))
+            place.append(at[hit])
+        ends, sizes, places = (np.concatenate(x) for x in (end, size, place))
+        order = np.argsort(ends, kind="stable")  # sizes ascend for each end
+        first = np.searchsorted(ends[order], np.arange(a + 1, b + 2)).tolist()
+        sizes, scores, ids = sizes[order].tolist(), pieces.scores[places[order]].tolist(), pieces.ids[places[order]].tolist()
+        spelled = (utf8_length(points[a:b]) * pieces.byte_score).tolist()
+        for e in range(a + 1, b + 1):
+            i, j = first[e - a - 1], first[e - a]
+            value, n, which = best[e - 1] + spelled[e - a - 1], 1, -1
+            if i < j and sizes[i] == 1:  # a piece of its own in place of bytes
+                value, which = best[e - 1] + scores[i], ids[i]
+                i += 1
+            for k in range(i, j):
+                other = best[e - sizes[k]] + scores[k]
+                if other > value:
+                    value, n, which = other, sizes[k], ids[k]
+            best[e], back[e], out[e - 1] = value, n, which
+    ends = np.zeros(length + 1, bool)
+    e = length
+    steps = back.tolist()
+    while e:
+        ends[e] = True
+        e -= steps[e]
+    return np.where(ends[1:], out, -2)
+
+
 def encode_chunks(points: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all chunks one after another, and how many each has."""
     order = np.argsort(size, kind="stable")
@@ -145,7 +195,7 @@ def encode_chunks(points: np.ndarray, start: np.ndarray, size: np.ndarray, piece
         j = min(int(np.searchsorted(size[order], length, "right")), i + most)
         rows = order[i:j]
         chunk = points[start[rows][:, None] + np.arange(length)[None]]
-        ids, _ = viterbi(chunk, pieces)
+        ids = viterbi(chunk, pieces)[0] if length <= LONG_CHUNK else np.stack([one_path(c, pieces) for c in chunk])
         ends = ids != -2
         flat, at = ids[ends], chunk[ends]
         spelled = flat == -1

@@ -303,9 +303,11 @@ def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
         for k in rng.integers(0, 200, rng.integers(0, 7)):
             w[k] = f"x{d}_{k}"
         rows.append((d, " ".join(w)))
-    monkeypatch.setattr(setsketch, "GROUP_BYTES", 9000)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(setsketch.near_duplicates(frame, 85), "n_shingles", "component_id") == brute.near(rows, 85)
+    for name, most in (("GROUP_BYTES", 9000), ("GROUP_DOCS", 7)):
+        with monkeypatch.context() as m:
+            m.setattr(setsketch, name, most)
+            assert by_id(setsketch.near_duplicates(frame, 85), "n_shingles", "component_id") == brute.near(rows, 85)
 
 
 def test_sketches_merge_and_estimate():
@@ -444,6 +446,47 @@ def test_pieces_score_is_the_maximum():
         assert abs(piece_viterbi.viterbi(points[None], pieces)[1][0] - best[-1]) < 1e-9
 
 
+def plain_pieces(text, score, byte_ids, unknown):
+    """Ids of the best segmentation by a plain dynamic programme over the whole text; of equal ones that with the shorter last piece."""
+    points = ("▁" + "".join("▁" if c == " " else "\0" if c == "▁" else c for c in text)) if text else ""
+    best, back = [0.0], [0]
+    for e in range(1, len(points) + 1):
+        value, size = -np.inf, 1
+        for n in range(1, min(16, e) + 1):
+            piece = points[e - n : e]
+            own = score.get(piece, (None, len((piece if piece != "\0" else "▁").encode()) * unknown if n == 1 else -np.inf))[1]
+            if best[e - n] + own > value:
+                value, size = best[e - n] + own, n
+        best.append(value)
+        back.append(size)
+    out, e = [], len(points)
+    while e:
+        piece = points[e - back[e] : e]
+        out[:0] = [score[piece][0]] if piece in score else [byte_ids[b] for b in piece.replace("\0", "▁").encode()]
+        e -= back[e]
+    return out
+
+
+def test_piece_ids_against_a_plain_programme(spark, small, monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, model = piece_viterbi.load(path), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    by_id_ = dict(zip(pieces.ids.tolist(), pieces.scores.tolist(), strict=True))
+    score = {model.id_to_piece(i): (i, x) for i, x in by_id_.items()}
+    assert max(map(len, score)) == pieces.longest <= 16
+    rows = [(d, t) for d, t in small if t and len(t) < 1500][:15] + [(1000 + d, t) for d, t in EDGES if d != 9] + [(700, "日本語テキスト" * 300), (701, "aGVsbG8gd29ybGQ" * 200 + " x")]
+    want = {d: zlib.crc32(np.array(plain_pieces(t, score, pieces.byte_ids.tolist(), pieces.byte_score), "<u4").tobytes()) for d, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in piece_viterbi.encode(frame, path).collect():
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == want[r.doc_id], r.doc_id
+    assert {r.doc_id: r.ids_crc32 for r in piece_viterbi.round_trips(frame, path).collect()} == want
+    for text in ("日本語テキスト" * 50, "q" * 130, "▁aGVsbG8gd29ybGQ" * 20):  # one by one as all together
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        monkeypatch.setattr(piece_viterbi, "STRETCH", 37)
+        assert (piece_viterbi.one_path(points, pieces) == piece_viterbi.viterbi(points[None], pieces)[0][0]).all()
+
+
 def test_toxicity(spark, edges):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")  # sf0.01 has six toxic documents in the held-out fold
     marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
