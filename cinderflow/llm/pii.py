@@ -10,6 +10,8 @@ are read whole; no column but doc_id and text is read, and `redact` keeps all ot
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +34,52 @@ CONTEXT = {
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.85, "phone": 0.6, "iban": 0.95}
 CONTEXT_WEIGHT = 0.15
 CONTEXT_CHARS = 40
+STEP = 64
 SPAN = "array<struct<kind: string, start: bigint, end: bigint, score: double>>"
 
 
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values (long, none negative) what `add` makes of 0 and all before it. Totals of whole STEPs come first, so an array of n
+    costs n * STEP steps and not n * n."""
+    zero = F.lit(0).cast("bigint")
+
+    def over(part: Column) -> Column:
+        return F.aggregate(part, zero, add)
+
+    def totals_of(values: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / STEP), F.lit(0)).cast("int"))
+        return F.transform(steps, lambda k: over(F.slice(values, k * STEP + 1, F.lit(STEP))))
+
+    totals = F.get(F.transform(F.array(values), totals_of), F.lit(0))
+    grown = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def with_values(both: Column) -> Column:  # in an array of one, so that neither is computed for each element
+        return F.transform(both["values"], lambda _, i: add(F.get(both["grown"], F.floor(i / STEP).cast("int")), over(F.slice(both["values"], F.floor(i / STEP).cast("int") * STEP + 1, i % STEP))))
+
+    return F.get(F.transform(F.array(F.struct(values.alias("values"), grown.alias("grown"))), with_values), F.lit(0))
+
+
 def located(text: Column, pattern: str, may_match: Column) -> Column:
     """array<struct<start, end, match>> of the leftmost matches that don't overlap; start from 0, in code points."""
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, match: string>>)")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint"))
     lengths = F.transform(found, lambda m: F.length(m).cast("bigint"))
-    step = F.arrays_zip(gaps.alias("gap"), lengths.alias("len"), found.alias("match"))
-    at = F.struct(F.lit(0).cast("bigint").alias("end"), F.expr("cast(array() as array<struct<start: bigint, end: bigint, match: string>>)").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["end"] + x["0"]
-        end = start + F.coalesce(x["1"], F.lit(0).cast("bigint"))
-        item = F.struct(start.alias("start"), end.alias("end"), x["2"].alias("match"))
-        return F.struct(end.alias("end"), F.when(x["2"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
+    def places(both: Column) -> Column:  # both: lengths of gaps and matches, the matches
+        def with_starts(before: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = F.get(before, i) + F.get(both["gap"], i)
+                return F.struct(start.alias("start"), (start + F.get(both["len"], i)).alias("end"), m.alias("match"))
+
+            return F.transform(both["match"], one)
 
-    zipped = F.transform(step, lambda x: F.struct(x["gap"].alias("0"), x["len"].alias("1"), x["match"].alias("2")))
-    return F.when(may_match, F.aggregate(zipped, at, add, lambda acc: acc["out"])).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint, match: string>>)"))
+        before = running(F.transform(both["len"], lambda n, i: n + F.get(both["gap"], i)), lambda x, y: x + y)
+        return F.get(F.transform(F.array(before), with_starts), F.lit(0))
+
+    # a struct in an array of one, so that the parts are computed once
+    parts = F.array(F.struct(gaps.alias("gap"), lengths.alias("len"), found.alias("match")))
+    return F.when(may_match, F.flatten(F.transform(parts, places))).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -140,18 +169,17 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column, least: float) -> Column:
     """`text` with each span of score `least` or more replaced by <KIND>; spans that overlap become one, named after the first."""
     by_start = F.array_sort(F.transform(F.filter(spans, lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).cast("bigint").alias("end"), F.expr("cast(array() as array<string>)").alias("parts"))
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["end"] + 1).cast("int"), (s["start"] - acc["end"]).cast("int"))
-        more = F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(s["start"] < acc["end"], acc["parts"]).otherwise(F.concat(acc["parts"], more)).alias("parts"))
+    def masked(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+
+        def with_end(before: Column) -> Column:
+            pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(F.substring(text, (F.get(before, i) + 1).cast("int"), (s["start"] - F.get(before, i)).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit("")))
+            return F.concat(F.array_join(pieces, ""), F.substring(text, (F.array_max(ends) + 1).cast("int"), F.lit(2147483647)))
 
-    def finish(acc: Column) -> Column:
-        tail = F.substring(text, (acc["end"] + 1).cast("int"), F.lit(2147483647))
-        return F.concat(F.array_join(acc["parts"], ""), tail)
+        return F.get(F.transform(F.array(running(ends, lambda x, y: F.greatest(x, y))), with_end), F.lit(0))
 
-    return F.when(F.size(by_start) == 0, text).otherwise(F.aggregate(by_start, begin, add, finish))
+    return F.when(F.size(by_start) == 0, text).otherwise(F.get(F.transform(F.array(by_start), masked), F.lit(0)))
 
 
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -162,6 +162,23 @@ def test_pii(spark, small, edges):
     assert "PythonUDF" not in pii.redact(edges)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pii_with_many_matches(spark):
+    """Places far into a text, beyond several steps of the sums, and masking of spans that overlap."""
+    text = " ".join(f"u{k}@x{k}.org é +1 555 000 {1000 + k}, 10.0.{k % 256}.{k % 7}" for k in range(300)) + " 4111111111111111@a.b"
+    frame = spark.createDataFrame([(1, text), (2, text[:50]), (3, "x")], "doc_id long, text string")
+    got = by_id(pii.digest(pii.find_pii(frame)), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert got == {d: brute.private(t) for d, t in ((1, text), (2, text[:50]), (3, "x"))} and got[1][0] > 299
+    spans = {r.doc_id: r.spans for r in pii.find_pii(frame).collect()}
+    want, end = "", 0
+    for s in sorted((s.start, s.end, s.kind) for s in spans[1] if s.score >= 0.5):
+        if s[0] >= end:
+            want += text[end : s[0]] + f"<{s[2].upper()}>"
+        end = max(end, s[1])
+    assert {r.doc_id: r.text for r in pii.redact(frame).collect()}[1] == want + text[end:]
+    long = spark.createDataFrame([(1, "a@b.c " * 3000)], "doc_id long, text string")
+    assert pii.digest(pii.find_pii(long)).first().n_email == 3000
+
+
 def test_passages(spark, small, edges):
     columns = ("n_words", "n_removed", "kept_sha256")
     assert by_id(suffix_trees.dedup_passages(docs(spark)), *columns) == brute.repeats(small)
