@@ -38,8 +38,9 @@ def geo_context(points: DataFrame, features: DataFrame, search_m: float = SEARCH
 
 
 def weather_context(points: DataFrame, weather: DataFrame, key: str = "id") -> DataFrame:
-    """Weather of the point's grid cell (two decimals), with index, compass point and summary; nulls where there is none."""
-    grid = weather.groupBy("glat", "glon").agg(*(F.first(c).alias(c) for c in ("temperature", "humidity", "wind", "gust", "direction", "rain")))
+    """Weather of the point's grid cell (two decimals), with index, compass point and summary; nulls where there is none. Of several
+    rows of a cell one whole row counts, the greatest in the order of temperature, humidity and so on."""
+    grid = weather.groupBy("glat", "glon").agg(F.max(F.struct("temperature", "humidity", "wind", "gust", "direction", "rain")).alias("w")).select("glat", "glon", "w.*")
     cleaned = grid.select(
         "glat", "glon", "temperature",
         F.least(F.greatest("humidity", F.lit(0.0)), F.lit(100.0)).alias("humidity"),

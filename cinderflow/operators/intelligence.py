@@ -51,7 +51,7 @@ def features(rows: DataFrame) -> DataFrame:
         "f_brightness": bright,
         "f_confidence": confidence_score(c("confidence")),
         **{f"is_{k}": cover_flag(c("land_cover"), k) for k in ("vegetation", "industrial", "agricultural", "urban")},
-        "has_geo": any_known("land_cover", "distance_industrial_m", "distance_settlement_m", "distance_infrastructure_m", "is_protected", "slope"),
+        "has_geo": any_known("distance_industrial_m", "nearby_industrial", "distance_settlement_m", "distance_infrastructure_m", "is_protected", "land_cover"),
         "has_weather": any_known("temperature", "humidity", "wind", "rain", "fwi"),
         "has_history": any_known("prior_30d", "prior_90d", "is_recurrent", "persistence"),
         "protected": F.coalesce(c("is_protected"), F.lit(False)),

@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 
 def upserted(existing: DataFrame, new: DataFrame, key: str = "id", order: str = "batch_seq") -> DataFrame:
-    """Existing rows and new ones; of one key the new row with the greatest `order` wins."""
+    """Existing rows and new ones; of one key the new row with the greatest `order` wins, and of equal ones the greatest in the
+    order of its values, so that the result depends on the rows alone. Columns must be of ordered types."""
     columns = existing.columns
     both = existing.withColumn("__o", F.lit(-1).cast("long")).unionByName(new.select(*columns, F.col(order).cast("long").alias("__o")))
-    picked = both.groupBy(key).agg(F.max_by(F.struct(*columns), "__o").alias("row"))
+    picked = both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("__o", *columns)).alias("row"))
     return picked.select("row.*")
 
 
 def replace_snapshot(rows: DataFrame, path: str) -> int:
-    """Writes `rows` as a new version of the table and points CURRENT at it last, so that readers see the old or the new
-    rows and never part of them."""
-    version = f"v{time.time_ns()}"
+    """Writes `rows` as a new version of the table and then adds a line to CURRENT. Nothing is overwritten, so whenever a
+    writer stops readers see the old or the new rows, never part of them and never none."""
+    version = f"v{time.time_ns():020d}"
     rows.write.parquet(f"{path}/{version}")
     spark = rows.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/CURRENT")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/CURRENT")
     return spark.read.parquet(f"{path}/{version}").count()
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{path}/CURRENT").first().version
+    """The rows of the version that CURRENT names last."""
+    version = spark.read.schema("version string").json(f"{path}/CURRENT").agg(F.max("version").alias("version")).first().version
     return spark.read.parquet(f"{path}/{version}")
 
 

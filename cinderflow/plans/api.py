@@ -65,7 +65,9 @@ class Service:
         return True
 
     def generate_alerts(self) -> int:
+        """Makes the alerts of all hotspots, folds those of one event, and writes them, the gravest first."""
         made = alerts.from_hotspots(self._table("hotspots")).withColumn("seq", F.lit(0).cast("long"))
+        made = alerts.feed(alerts.deduplicated(made, "seq"))
         return store.replace_snapshot(made, f"{self.folder}/alerts")
 
     def refresh(self, raw_sources: list[tuple[DataFrame | None, str, str]], run_date: str, now: str) -> DataFrame:
@@ -75,10 +77,10 @@ class Service:
         raw, mode, message = ingest.fallback(raw_sources)
         ingested = 0
         if raw is not None:
-            new = ingest.normalized(raw, run_date, keep=("data_mode",))
+            new = ingest.normalized(raw.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("data_mode", "batch_seq"))
             ingested = new.select("id").distinct().count()
-            old = self._table("hotspots") if self._has("hotspots") else new.limit(0)
-            store.replace_snapshot(store.upserted(old, new.withColumn("batch_seq", F.monotonically_increasing_id())), f"{self.folder}/hotspots")
+            old = self._table("hotspots") if self._has("hotspots") else new.drop("batch_seq").limit(0)
+            store.replace_snapshot(store.upserted(old, new), f"{self.folder}/hotspots")
             entries = self.spark.createDataFrame([("data_mode", mode, 1), ("last_sync", now, 1)], "key string, value string, seq long")
             if self._has("meta"):
                 entries = entries.unionByName(self._table("meta").withColumn("seq", F.lit(0).cast("long")))

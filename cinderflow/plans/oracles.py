@@ -61,8 +61,8 @@ def fwi(t: str, rh: str, w: str, g: str, r: str) -> str:
 
 
 E_ = "event_id"
-SCORING = f"""{H}, s AS (SELECT *, CASE WHEN {E_} % 3 <> 0 THEN (({E_} * 13) % 4000)::double END AS d_ind, CASE WHEN {E_} % 3 <> 0 THEN {E_} % 5 END AS n_ind, CASE WHEN {E_} % 4 <> 0 THEN (({E_} * 29) % 12000)::double END AS d_set,
- CASE WHEN {E_} % 5 <> 0 THEN (({E_} * 17) % 6000)::double END AS d_inf, CASE WHEN {E_} % 6 <> 5 THEN {E_} % 6 = 0 END AS prot, CASE WHEN {E_} % 7 <> 0 THEN ({E_} % 60)::double END AS slope, CASE WHEN {E_} % 8 <> 0 THEN ({E_} % 45)::double END AS temp,
+SCORING = f"""{H}, s AS (SELECT * REPLACE (CASE WHEN {E_} % 60 <> 0 THEN land_cover END AS land_cover), CASE WHEN {E_} % 3 <> 0 THEN (({E_} * 13) % 4000)::double END AS d_ind, CASE WHEN {E_} % 3 <> 0 THEN {E_} % 5 END AS n_ind, CASE WHEN {E_} % 4 <> 0 THEN (({E_} * 29) % 12000)::double END AS d_set,
+ CASE WHEN {E_} % 5 <> 0 THEN (({E_} * 17) % 6000)::double END AS d_inf, CASE WHEN {E_} % 6 <> 5 AND {E_} % 60 <> 0 THEN {E_} % 6 = 0 END AS prot, CASE WHEN {E_} % 7 <> 0 THEN ({E_} % 60)::double END AS slope, CASE WHEN {E_} % 8 <> 0 THEN ({E_} % 45)::double END AS temp,
  CASE WHEN {E_} % 8 <> 0 THEN (({E_} * 7) % 101)::double END AS rh, CASE WHEN {E_} % 8 <> 0 THEN (({E_} * 3) % 70)::double END AS wind, CASE WHEN {E_} % 8 <> 0 THEN ({E_} % 3)::double END AS rain, CASE WHEN {E_} % 9 = 1 THEN ({E_} % 100)::double END AS fwi,
  CASE WHEN {E_} % 10 <> 9 THEN {E_} % 25 END AS n30, CASE WHEN {E_} % 10 <> 9 THEN {E_} % 25 + {E_} % 13 END AS n90, CASE WHEN {E_} % 10 <> 9 THEN {E_} % 25 >= 20 END AS rec, CASE WHEN {E_} % 11 = 0 THEN ({E_} % 100) / 100.0::double END AS pers FROM h)
 """
@@ -82,8 +82,8 @@ VEG = "'forest|woodland|trees|chaparral|shrub|bush|grass|grassland|jungle|taiga|
 IND = "'industrial|refinery|factory|plant|manufacturing|chemical|smelter|foundry|stack|quarry|mine|power_plant'"
 AGR = "'agri|crop|cropland|farmland|field|stubble|paddy|pasture'"
 URB = "'urban|residential|commercial|city|town|building'"
-X = f"""{SCORING}, x0 AS (SELECT *, {CONF} AS f_confidence, regexp_matches(land_cover, {VEG}) AS is_vegetation, regexp_matches(land_cover, {IND}) AS is_industrial, regexp_matches(land_cover, {AGR}) AS is_agricultural, regexp_matches(land_cover, {URB}) AS is_urban,
- true AS has_geo, (temp IS NOT NULL OR rh IS NOT NULL OR wind IS NOT NULL OR rain IS NOT NULL OR fwi IS NOT NULL) AS has_weather, (n30 IS NOT NULL OR n90 IS NOT NULL OR rec IS NOT NULL OR pers IS NOT NULL) AS has_history,
+X = f"""{SCORING}, x0 AS (SELECT *, {CONF} AS f_confidence, coalesce(regexp_matches(land_cover, {VEG}), false) AS is_vegetation, coalesce(regexp_matches(land_cover, {IND}), false) AS is_industrial, coalesce(regexp_matches(land_cover, {AGR}), false) AS is_agricultural, coalesce(regexp_matches(land_cover, {URB}), false) AS is_urban,
+ (d_ind IS NOT NULL OR n_ind IS NOT NULL OR d_set IS NOT NULL OR d_inf IS NOT NULL OR prot IS NOT NULL OR land_cover IS NOT NULL) AS has_geo, (temp IS NOT NULL OR rh IS NOT NULL OR wind IS NOT NULL OR rain IS NOT NULL OR fwi IS NOT NULL) AS has_weather, (n30 IS NOT NULL OR n90 IS NOT NULL OR rec IS NOT NULL OR pers IS NOT NULL) AS has_history,
  coalesce(prot, false) AS protected, coalesce(rec, false) OR coalesce(n30 >= 10, false) AS recurrent,
  least(1.0::double, {near("d_ind", 3000, 800)} + CASE WHEN n_ind > 0 THEN least(0.3::double, n_ind * 0.1::double) ELSE 0.0::double END) AS ip FROM s),
 x AS (SELECT *, {up(clamp("ln(1 + frp) / ln(251.0::double)", "0", "1"), 4)} AS frp_norm, {up(clamp("(brightness - 290) / 140", "0", "1"), 4)} AS brightness_norm, {up("CASE WHEN is_industrial THEN greatest(ip, 0.85::double) ELSE ip END", 4)} AS industrial_proximity,
@@ -107,9 +107,9 @@ c AS (SELECT *, CASE WHEN class = 'vegetation_fire' THEN 'wildfire' WHEN class I
 """
 A = f"""{C}, a AS (SELECT *, CASE WHEN usual THEN z >= 3 ELSE z >= 2 END AS is_outlier, {up("CASE WHEN usual AND z < 3 THEN least(greatest(0.10::double + 0.04::double * z, 0.05::double), 0.25::double) WHEN usual THEN least(greatest(0.5::double + 0.08::double * z, 0.65::double), 0.95::double) WHEN z >= 2 THEN least(greatest(0.5::double + 0.1::double * z, 0.65::double), 0.99::double) ELSE least(0.55::double, greatest(0.0::double, (z + 1) / 5)) END", 3)} AS outlier_score, {up("z", 2)} AS deviation FROM c)
 """
-R = f"""{A}, r0 AS (SELECT *, 100 * frp_norm AS rf, coalesce(100 * weather_score, 25.0::double) AS rw, {clamp("100 * (0.7::double * greatest(settlement_proximity, infrastructure_proximity) + 0.2::double * least(settlement_proximity, infrastructure_proximity)) + CASE WHEN protected THEN 10.0::double ELSE 0.0 END + 15 * slope_factor", "0", "100")} AS rp,
- CASE WHEN recurrent OR coalesce(n30, 0) >= 10 THEN 15.0::double WHEN coalesce(n30, 0) > 0 THEN least(80.0::double, 30 + 8.0::double * n30) ELSE 35.0::double END AS rh_, 100 * outlier_score AS ro, CASE WHEN has_weather THEN 0.25::double ELSE 0.0::double END AS ww, CASE WHEN has_history THEN 0.1::double ELSE 0.0::double END AS wh FROM a),
-r1 AS (SELECT *, ((rf * 0.35::double + rw * ww + rp * 0.2::double + rh_ * wh + ro * 0.1::double) / (0.35::double + ww + 0.2::double + wh + 0.1::double) + 8 * (f_confidence - 0.65::double)) * CASE source WHEN 'prescribed_burn' THEN 0.75::double WHEN 'agricultural' THEN 0.85::double ELSE 1.0::double END AS raw FROM r0),
+R = f"""{A}, r0 AS (SELECT *, 100 * frp_norm AS rf, coalesce(100 * weather_score, 25.0::double) AS rw, CASE WHEN has_geo THEN {clamp("100 * (0.7::double * greatest(settlement_proximity, infrastructure_proximity) + 0.2::double * least(settlement_proximity, infrastructure_proximity)) + CASE WHEN protected THEN 10.0::double ELSE 0.0 END + 15 * slope_factor", "0", "100")} ELSE 20.0::double END AS rp,
+ CASE WHEN recurrent OR coalesce(n30, 0) >= 10 THEN 15.0::double WHEN coalesce(n30, 0) > 0 THEN least(80.0::double, 30 + 8.0::double * n30) ELSE 35.0::double END AS rh_, 100 * outlier_score AS ro, CASE WHEN has_weather THEN 0.25::double ELSE 0.0::double END AS ww, CASE WHEN has_history THEN 0.1::double ELSE 0.0::double END AS wh, CASE WHEN has_geo THEN 0.2::double ELSE 0.0::double END AS wp FROM a),
+r1 AS (SELECT *, ((rf * 0.35::double + rw * ww + rp * wp + rh_ * wh + ro * 0.1::double) / (0.35::double + ww + wp + wh + 0.1::double) + 8 * (f_confidence - 0.65::double)) * CASE source WHEN 'prescribed_burn' THEN 0.75::double WHEN 'agricultural' THEN 0.85::double ELSE 1.0::double END AS raw FROM r0),
 r AS (SELECT *, {up(clamp("raw", "0", "100"), 1)} AS risk FROM r1)
 """
 FACTORS = f"""{R}, g AS (SELECT *, {level("risk")} AS level, CASE WHEN frp >= 100 THEN {{'w': 0.35::double, 'i': 'critical'}} WHEN frp >= 40 THEN {{'w': 0.30::double, 'i': CASE WHEN risk >= 50 THEN 'high' ELSE 'medium' END}} WHEN frp >= 15 THEN {{'w': 0.20::double, 'i': 'medium'}} ELSE {{'w': 0.15::double, 'i': 'low'}} END AS g1,
@@ -182,14 +182,13 @@ ORACLES: dict[str, str] = {
     "alerts_dedup": f"WITH {ALERTS} SELECT * FROM de",
     "alerts_feed": f"WITH {ALERTS} SELECT id, severity, risk_score, timestamp FROM de WHERE NOT is_acknowledged ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, risk_score DESC, timestamp DESC, id LIMIT 50",
     "alerts_unread": f"WITH {ALERTS} SELECT count_if(NOT is_acknowledged)::bigint AS unread FROM de",
-    "alert_acknowledge": f"WITH {ALERTS} SELECT id, is_acknowledged OR id = 'ALT-17' AS is_acknowledged FROM al WHERE id IN ('ALT-17', 'ALT-18')",
     "incident_edges": f"WITH {EDGES} SELECT * FROM ed",
     "incident_summary": f"""WITH {H}, hs AS (SELECT *, strptime(acq_date || ' ' || acq_time, '%Y-%m-%d %H%M') AS seen FROM h), p AS (SELECT user_id, id, source_type, risk_level, risk_score FROM hs QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY risk_score DESC, frp DESC, seen DESC, id) = 1),
  sc AS (SELECT user_id, source_type, count(*) AS k, max(risk_score) AS mr FROM hs GROUP BY ALL), so AS (SELECT sc.user_id, sc.source_type FROM sc JOIN p USING (user_id) QUALIFY row_number() OVER (PARTITION BY sc.user_id ORDER BY k DESC, (sc.source_type = p.source_type) DESC, mr DESC, sc.source_type DESC) = 1)
  SELECT 'INC-' || any_value(p.id) AS incident_id, any_value(p.id) AS primary_id, count(*) AS n, any_value(p.risk_score) AS risk_score, any_value(p.risk_level) AS risk_level, {up('max(frp)', 2)} AS peak_frp, {up('sum(floor(frp * 100 + 0.5)::bigint)::bigint / count(*) / 100.0::double', 2)} AS avg_frp, bool_or(is_anomaly) AS is_anomaly, any_value(so.source_type) AS source_type,
  {up('sum(floor(latitude * 1000000.0::double + 0.5)::bigint)::bigint / count(*) / 1000000.0::double', 4)} AS latitude, {up('sum(floor(longitude * 1000000.0::double + 0.5)::bigint)::bigint / count(*) / 1000000.0::double', 4)} AS longitude, strftime(min(seen), '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(max(seen), '%Y-%m-%dT%H:%M:%SZ') AS last_seen,
  CASE WHEN any_value(p.risk_level) IN ('critical', 'high') OR (any_value(p.risk_level) = 'medium' AND bool_or(is_anomaly)) THEN 'active' ELSE 'monitoring' END AS status FROM hs JOIN p USING (user_id) JOIN so USING (user_id) GROUP BY hs.user_id""",
-    "dossiers": f"""WITH {SCORING}, y AS (SELECT *, event_id % 3 = 0 AS gk, event_id % 3 = 0 AND event_id % 8 <> 0 AS wk, event_id % 3 = 0 AND event_id % 10 <> 9 AS hk FROM s) SELECT id, CASE WHEN gk THEN land_cover ELSE 'unclassified_terrain' END AS land_cover, CASE WHEN gk THEN NULL ELSE 'moderate' END AS fuel_load, CASE WHEN wk THEN temp ELSE 24.0::double END AS temperature, CASE WHEN wk THEN rh ELSE 35.0::double END AS humidity, CASE WHEN wk THEN NULL ELSE 'S' END AS cardinal,
+    "dossiers": f"""WITH {SCORING}, y AS (SELECT *, event_id % 3 = 0 AND event_id % 60 <> 0 AS gk, event_id % 3 = 0 AND event_id % 8 <> 0 AS wk, event_id % 3 = 0 AND event_id % 10 <> 9 AS hk FROM s) SELECT id, CASE WHEN gk THEN land_cover ELSE 'unclassified_terrain' END AS land_cover, CASE WHEN gk THEN NULL ELSE 'moderate' END AS fuel_load, CASE WHEN wk THEN temp ELSE 24.0::double END AS temperature, CASE WHEN wk THEN rh ELSE 35.0::double END AS humidity, CASE WHEN wk THEN NULL ELSE 'S' END AS cardinal,
  (CASE WHEN hk THEN n30 ELSE 0 END)::bigint AS prior_30d, CASE WHEN hk THEN NULL ELSE 'none' END AS pattern, acq_date AS first_date, gk AS geospatial_known, wk AS weather_known, hk AS historical_known FROM y""",
     "kv_meta": "SELECT 'k' || (event_id % 20)::varchar AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1",
     "cache_fresh_stale": "WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'osm' ELSE 'weather' END AS namespace, event_id % 300 AS key, max(ts) AS created FROM events WHERE event_id % 11 <> 0 GROUP BY ALL) SELECT namespace, floor(epoch(TIMESTAMP '2024-01-30 12:00:00')) - floor(epoch(created)) <= CASE namespace WHEN 'osm' THEN 86400 ELSE 3600 END AS is_fresh, count(*) AS n FROM e GROUP BY ALL",
@@ -198,5 +197,6 @@ ORACLES: dict[str, str] = {
     "display_format": f"WITH {H} SELECT id, printf('%.4f%s, %.4f%s', abs(latitude), CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END, abs(longitude), CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END) AS place, upper(source_type[1]) || source_type[2:] AS source, split_part(nearest_place, ',', 1) AS site, least(greatest(floor(frp * 45)::bigint, 1200), 8000)::bigint AS halo_m FROM h",
 }
 ORACLES["incident_components"] = f"""WITH RECURSIVE {EDGES}, sy AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), reach(id, c) AS (SELECT a, a FROM sy UNION SELECT sy.b, reach.c FROM reach JOIN sy ON reach.id = sy.a WHERE reach.c < sy.b) SELECT DISTINCT s.a AS id, least(s.a, coalesce((SELECT min(c) FROM reach WHERE reach.id = s.a), s.a)) AS component FROM sy s"""
-ORACLES["alert_acknowledge_all"] = f"WITH {ALERTS} SELECT id, is_acknowledged OR id = 'ALT-17' AS is_acknowledged FROM al"
-ORACLES["recurrence_90d"] = ORACLES["recurrence"].replace("age <= 30", "age <= 90").replace("age <= 7", "age <= 30")
+ORACLES["alert_acknowledge"] = ORACLES["alert_acknowledge_all"] = f"WITH {ALERTS} SELECT id, is_acknowledged OR id = 'ALT-17' AS is_acknowledged FROM al"
+ORACLES["recurrence_7_30"] = ORACLES["recurrence"]
+ORACLES["recurrence"] = ORACLES["recurrence_90d"] = ORACLES["recurrence_7_30"].replace("age <= 30", "age <= 90").replace("age <= 7", "age <= 30")

@@ -138,13 +138,19 @@ def weather_grid_join(spark, sf):
 
 @query
 def recurrence(spark, sf):
-    return history.recurrence(T.hotspots(spark, sf), Recurrence(short_days=7, long_days=30))
+    """With the default windows of 30 and 90 days."""
+    return history.recurrence(T.hotspots(spark, sf))
 
 
 @query
 def recurrence_90d(spark, sf):
-    """With the default windows of 30 and 90 days."""
-    return history.recurrence(T.hotspots(spark, sf))
+    return recurrence(spark, sf)
+
+
+@query
+def recurrence_7_30(spark, sf):
+    """With windows of 7 and 30 days, in the columns named after the default ones."""
+    return history.recurrence(T.hotspots(spark, sf), Recurrence(short_days=7, long_days=30))
 
 
 @query
@@ -227,13 +233,13 @@ def alerts_unread(spark, sf):
 
 @query
 def alert_acknowledge(spark, sf):
-    return alerts.acknowledged(T.alert_rows(spark, sf), "ALT-17").where("id in ('ALT-17', 'ALT-18')").select("id", "is_acknowledged")
+    """The whole alert table after one was acknowledged."""
+    return alerts.acknowledged(T.alert_rows(spark, sf), "ALT-17").select("id", "is_acknowledged")
 
 
 @query
 def alert_acknowledge_all(spark, sf):
-    """The whole alert table after one was acknowledged."""
-    return alerts.acknowledged(T.alert_rows(spark, sf), "ALT-17").select("id", "is_acknowledged")
+    return alert_acknowledge(spark, sf)
 
 
 @query

@@ -83,12 +83,12 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scoring_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hotspots with context by arithmetic, with gaps."""
+    """Hotspots with context by arithmetic, with gaps; one in sixty knows nothing of its place but the slope."""
     e = F.col("event_id")
     some = lambda test, value, kind="double": F.when(test, value.cast(kind))
     return hotspots(spark, sf_dir).withColumns({
         "distance_industrial_m": some(e % 3 != 0, (e * 13) % 4000), "nearby_industrial": some(e % 3 != 0, e % 5, "long"), "distance_settlement_m": some(e % 4 != 0, (e * 29) % 12000), "distance_infrastructure_m": some(e % 5 != 0, (e * 17) % 6000),
-        "is_protected": F.when(e % 6 != 5, e % 6 == 0), "slope": some(e % 7 != 0, e % 60), "temperature": some(e % 8 != 0, e % 45), "humidity": some(e % 8 != 0, (e * 7) % 101), "wind": some(e % 8 != 0, (e * 3) % 70), "rain": some(e % 8 != 0, e % 3),
+        "is_protected": F.when((e % 6 != 5) & (e % 60 != 0), e % 6 == 0), "land_cover": F.when(e % 60 != 0, F.col("land_cover")), "slope": some(e % 7 != 0, e % 60), "temperature": some(e % 8 != 0, e % 45), "humidity": some(e % 8 != 0, (e * 7) % 101), "wind": some(e % 8 != 0, (e * 3) % 70), "rain": some(e % 8 != 0, e % 3),
         "fwi": some(e % 9 == 1, e % 100), "prior_30d": some(e % 10 != 9, e % 25, "long"), "prior_90d": some(e % 10 != 9, e % 25 + e % 13, "long"), "is_recurrent": F.when(e % 10 != 9, e % 25 >= 20), "persistence": some(e % 11 == 0, (e % 100) / 100.0),
     })
 

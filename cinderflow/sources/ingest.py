@@ -11,6 +11,7 @@ from ..config import SATELLITES, SOURCES
 from ..functions.common import number
 from ..functions.geo import valid_point
 from ..functions.scores import baseline_risk
+from ..plans.lineage import staged
 
 ALIASES = {
     "latitude": ("latitude", "lat"),
@@ -95,47 +96,68 @@ def parsed(raw: DataFrame, run_date: str, keep: tuple[str, ...] = (), sequence:
 
     run_date stands in for a blank date. A numeric zero is a value, not a gap.
     """
-    lat, lon, bright = (number(_first(raw, *ALIASES[c])) for c in ("latitude", "longitude", "brightness"))
-    frp = F.greatest(F.coalesce(number(_first(raw, "frp")), F.lit(0.0)), F.lit(0.0))
-    name = satellite(_first(raw, "satellite"))
-    time = acq_time(_first(raw, "acq_time"))
-    date = F.coalesce(_first(raw, "acq_date"), F.lit(run_date))
-    instrument = F.coalesce(_first(raw, "instrument"), F.when(name.isin("Terra", "Aqua"), "MODIS").otherwise("VIIRS"))
+    read = {
+        "lat": number(_first(raw, *ALIASES["latitude"])),
+        "lon": number(_first(raw, *ALIASES["longitude"])),
+        "bright": number(_first(raw, *ALIASES["brightness"])),
+        "power": F.greatest(F.coalesce(number(_first(raw, "frp")), F.lit(0.0)), F.lit(0.0)),
+        "name": satellite(_first(raw, "satellite")),
+        "time": acq_time(_first(raw, "acq_time")),
+        "date": F.coalesce(_first(raw, "acq_date"), F.lit(run_date)),
+        "given_score": number(_first(raw, "risk_score")),
+        "given_level": F.lower(_first(raw, "risk_level")),
+        "given_anomaly": F.lower(_first(raw, "is_anomaly")),
+        "source": F.lower(_first(raw, "source_type")),
+        "own_id": _first(raw, "id"),
+        "own_instrument": _first(raw, "instrument"),
+        "scan": F.coalesce(number(_first(raw, "scan")), F.lit(0.375)),
+        "track": F.coalesce(number(_first(raw, "track")), F.lit(0.375)),
+        "confidence": confidence(_first(raw, "confidence")),
+        "version": F.coalesce(_first(raw, "version"), F.lit("2.0NRT")),
+        "t31": number(_first(raw, *ALIASES["bright_t31"])),
+        "own_daynight": _first(raw, "daynight"),
+        "cluster_id": _first(raw, "cluster_id"),
+        "cluster_size": F.coalesce(_first(raw, "cluster_size").try_cast("int"), F.lit(1)),
+        "place": _first(raw, "nearest_place"),
+        "updated": _first(raw, "last_updated"),
+    }
+    more = (sequence,) if sequence and sequence not in keep else ()
+    typed = raw.select(*(F.col(c) for c in keep + more), *(v.alias(f"__{k}") for k, v in read.items()))
+    lat, lon, bright, frp, name, time, date, given_score, given_level, source = (F.col(f"__{k}") for k in ("lat", "lon", "bright", "power", "name", "time", "date", "given_score", "given_level", "source"))
+    instrument = F.coalesce("__own_instrument", F.when(name.isin("Terra", "Aqua"), "MODIS").otherwise("VIIRS"))
     score, level, anomaly = baseline_risk(frp, bright)
-    given_score, given_level = number(_first(raw, "risk_score")), _first(raw, "risk_level")
     given = given_score.isNotNull() & given_level.isNotNull()
-    source = F.lower(_first(raw, "source_type"))
     made = sequence_id(instrument, name, date, F.col(sequence)) if sequence else digest_id(instrument, name, date, lat, lon, time)
     reason = (
         F.when(lat.isNull() | lon.isNull() | bright.isNull(), "missing")
         .when(~valid_point(lat, lon), "out of range")
         .when((bright <= 0) | (bright > 1000), "brightness")
     )
-    return raw.select(
+    return typed.select(
         *(F.col(c) for c in keep),
-        F.coalesce(_first(raw, "id"), made).alias("id"),
+        F.coalesce(F.col("__own_id"), made).alias("id"),
         lat.alias("latitude"),
         lon.alias("longitude"),
         bright.alias("brightness"),
-        F.coalesce(number(_first(raw, "scan")), F.lit(0.375)).alias("scan"),
-        F.coalesce(number(_first(raw, "track")), F.lit(0.375)).alias("track"),
+        F.col("__scan").alias("scan"),
+        F.col("__track").alias("track"),
         date.alias("acq_date"),
         time.alias("acq_time"),
         name.alias("satellite"),
         instrument.alias("instrument"),
-        confidence(_first(raw, "confidence")).alias("confidence"),
-        F.coalesce(_first(raw, "version"), F.lit("2.0NRT")).alias("version"),
-        number(_first(raw, *ALIASES["bright_t31"])).alias("bright_t31"),
+        F.col("__confidence").alias("confidence"),
+        F.col("__version").alias("version"),
+        F.col("__t31").alias("bright_t31"),
         frp.alias("frp"),
-        daynight(_first(raw, "daynight"), time).alias("daynight"),
+        daynight(F.col("__own_daynight"), time).alias("daynight"),
         F.when(source.isin(*SOURCES), source).otherwise("unknown").alias("source_type"),
         F.when(given, given_score).otherwise(score).alias("risk_score"),
-        F.when(given, F.when(F.lower(given_level).isin("low", "medium", "high", "critical"), F.lower(given_level)).otherwise("medium")).otherwise(level).alias("risk_level"),
-        F.when(given, F.lower(_first(raw, "is_anomaly")).isin("true", "1", "yes", "t")).otherwise(anomaly).alias("is_anomaly"),
-        _first(raw, "cluster_id").alias("cluster_id"),
-        F.coalesce(_first(raw, "cluster_size").try_cast("int"), F.lit(1)).alias("cluster_size"),
-        _first(raw, "nearest_place").alias("nearest_place"),
-        _first(raw, "last_updated").alias("last_updated"),
+        F.when(given, F.when(given_level.isin("low", "medium", "high", "critical"), given_level).otherwise("medium")).otherwise(level).alias("risk_level"),
+        F.when(given, F.col("__given_anomaly").isin("true", "1", "yes", "t")).otherwise(anomaly).alias("is_anomaly"),
+        F.col("__cluster_id").alias("cluster_id"),
+        F.col("__cluster_size").alias("cluster_size"),
+        F.col("__place").alias("nearest_place"),
+        F.col("__updated").alias("last_updated"),
         reason.alias("rejected"),
     )
 
@@ -160,8 +182,9 @@ def _pick(rows: DataFrame, which, order: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`sequence` from 1 in a declared order, contiguous. Rows are counted by range partition first, so no single task sorts all."""
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    """`sequence` from 1 in a declared order, contiguous. Rows are sorted and staged once, and counted by range partition, so no
+    single task sorts all and both uses see the same ranges."""
+    sorted_rows = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     counts = sorted_rows.groupBy("__part").count()
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = (F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)).alias("inside")

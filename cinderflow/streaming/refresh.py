@@ -37,11 +37,11 @@ def window_counts(rows: DataFrame, time: str, width: str, *keys: str) -> DataFra
 
 
 def upsert_each_batch(raw: DataFrame, path: str, run_date: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the snapshot at `path` current. A batch that is run again after a failure gives the same rows, for the
-    upsert depends on ids alone."""
+    """Keeps the snapshot at `path` current. Of rows of one id in a batch the last read wins. A batch that is run again after
+    a failure gives the same rows: the upsert depends on ids and on the order of the batch's files alone."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = normalized(batch, run_date).withColumn("batch_seq", F.lit(number))
+        rows = normalized(batch.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("batch_seq",))
         spark = batch.sparkSession
         try:
             current = snapshot(spark, path)

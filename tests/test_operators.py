@@ -295,3 +295,42 @@ def test_stream_upsert(spark, tmp_path):
     stream = refresh.read_stream(spark, str(feed), raw(spark).schema)
     refresh.upsert_each_batch(stream, str(tmp_path / "out"), "2026-10-02", str(tmp_path / "state")).awaitTermination()
     assert store.snapshot(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_a_crash_between_rows_and_pointer_loses_nothing(spark, tmp_path):
+    from cinderflow.operators import store
+
+    path = str(tmp_path / "table")
+    store.replace_snapshot(spark.createDataFrame([(1, "a")], "id long, v string"), path)
+    spark.createDataFrame([(2, "b")], "id long, v string").write.parquet(f"{path}/v{10**20 - 1}")  # written, but the writer stopped before CURRENT
+    assert [tuple(r) for r in store.snapshot(spark, path).collect()] == [(1, "a")]
+    store.replace_snapshot(spark.createDataFrame([(3, "c")], "id long, v string"), path)
+    assert [tuple(r) for r in store.snapshot(spark, path).collect()] == [(3, "c")]
+
+
+def test_upsert_of_equal_order_depends_on_rows_alone(spark):
+    from cinderflow.operators import store
+
+    old = spark.createDataFrame([(1, "old"), (2, "kept")], "id long, v string")
+    new = [(1, "x", 5), (1, "y", 5), (1, "z", 4), (3, "n", 0)]
+    for rows in (new, new[::-1]):
+        got = store.upserted(old, spark.createDataFrame(rows, "id long, v string, batch_seq long").repartition(3))
+        assert sorted(map(tuple, got.collect())) == [(1, "y"), (2, "kept"), (3, "n")]
+
+
+def test_place_is_known_by_industry_count_but_not_by_slope(spark):
+    from cinderflow.operators import intelligence
+
+    rows = [("a", 9.0, 310.0, "n", 3.0, None), ("b", 9.0, 310.0, "n", None, 0), ("c", 9.0, 310.0, "n", None, None)]
+    frame = spark.createDataFrame(rows, "id string, frp double, brightness double, confidence string, slope double, nearby_industrial long")
+    assert {r.id: r.has_geo for r in intelligence.features(frame).select("id", "has_geo").collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_weather_of_a_cell_with_several_rows_is_one_whole_row(spark):
+    from cinderflow.operators import enrich
+
+    points = spark.createDataFrame([("p", 30.0, -120.0)], "id string, latitude double, longitude double")
+    rows = [(3000, -12000, 10.0, None, 5.0, None, 10.0, 0.0), (3000, -12000, 20.0, 40.0, None, None, 90.0, 1.0), (3000, -12000, None, 99.0, 9.0, 9.0, 9.0, 9.0)]
+    weather = spark.createDataFrame(rows, "glat long, glon long, temperature double, humidity double, wind double, gust double, direction double, rain double")
+    got = enrich.weather_context(points, weather.repartition(3)).first()
+    assert (got.temperature, got.humidity, got.wind, got.rain) == (20.0, 40.0, 0.0, 1.0)  # an unknown wind counts as calm
