@@ -8,13 +8,12 @@ in one place.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EARTH_RADIUS_M, INCOMPATIBLE, Incidents
+from ..config import INCOMPATIBLE, Incidents
 from ..functions.common import half_up
 from ..functions.scores import level_rank
 from ..plans.lineage import staged
@@ -45,11 +44,6 @@ def edges(hotspots: DataFrame, config: Incidents = Incidents()) -> DataFrame:
     return near.select(c("id").alias("a"), c("r_id").alias("b")).unionByName(same.select(c("id").alias("a"), c("r_id").alias("b"))).distinct()
 
 
-def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    p, q = math.radians(lat1), math.radians(lat2)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * math.atan2(math.sqrt(min(1.0, h)), math.sqrt(max(0.0, 1 - h)))
-
 
 def greedy(ids: list[str], neighbours: dict[str, set[str]]) -> dict[str, str]:
     """id -> seed of its group. Seeds come in the given order; one pass over the later ids lets those join that are near

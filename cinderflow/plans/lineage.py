@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where that is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir, or, where that is unset and all runs on this machine (tests), a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cinderflow-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
