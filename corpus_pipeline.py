@@ -1,4 +1,10 @@
-"""From raw documents to training ids: STAGES, each a step over all documents that the one before kept."""
+"""From raw documents to training ids: STAGES, each a step over all documents that the one before kept.
+
+Cases: null and empty texts fail the quality rules and go, as do texts under 50 words; rows without doc_id are judged like any
+others but are no near duplicate of anything; of rows that repeat doc_id and text all stay or go; an empty table of documents or of
+benchmark items gives what there is to give; without labels the quality rules keep to their built-in weights; texts are read whole;
+further columns pass through, whatever their names, but piece_ids and round_trip, which the last stage writes anew.
+"""
 
 from __future__ import annotations
 
