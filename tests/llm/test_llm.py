@@ -631,6 +631,34 @@ def test_pipeline(spark):
     assert ids <= good
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage's decisions by plain Python over what the stage before kept."""
+    rows = {r.doc_id: r.text for r in line_crf.keep_good(docs(spark), line_crf.fit(docs(spark), spark.read.parquet(f"{DATA}/labels.parquet"))).collect()}
+    alone = {d for d, (_, c) in brute.near(sorted(rows.items()), corpus_pipeline.NEAR_PERCENT).items() if c == d}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    dirty = {d for d, _ in brute.contaminated([(d, rows[d]) for d in sorted(alone)], items)}
+    out = {r.doc_id: r.text for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert alone - dirty <= set(out) <= alone and len(set(out) & dirty) <= 0.1 * len(dirty)
+    for d, text in out.items():
+        assert brute.private(text)[:4] == (0, 0, 0, 0) or text == rows[d]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    prose = " ".join(f"word{k} and{k % 7}" for k in range(60))
+    rows = [(1, None, "a"), (2, "", "b"), (None, prose, "c"), (3, prose, "d"), (4, prose, "e"), (4, prose, "e"), (5, "long " + " ".join(f"w{k}" for k in range(40_000)), "f"), (6, prose.replace("word", "mail me@x.org word", 1).replace("and", "or"), "g")]
+    frame = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "doc_id long, text string, spans string, score double, piece_ids int")
+    tables = {"documents": frame, "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id long, text string")}
+    for name, table in tables.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in out) == [-1, 3, 5, 6]
+    assert all(r.round_trip and r.spans in "cdfg" for r in out) and "me@x.org" not in next(r.text for r in out if r.doc_id == 6)
+    frame.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        tables[name].write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
@@ -646,4 +674,13 @@ def test_nulls_in_doc_id(spark):
     assert setsketch.near_duplicates(frame).count() == 3 and setsketch.keep_one(frame).count() == 3
     assert token_output.document_digests(token_output.encode_to_shards(frame, public_tokenizers.path("byte_bpe_50k.json"))).count() == 3
     assert pii.find_pii(frame).count() == 3 and secret_scan.find_secrets(frame).count() == 3
-    assert weak_toxicity.held_out(F.col("doc_id")) is not None
+    marks = spark.createDataFrame([(None, 1, 1), (1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    for model in (line_crf.fit(frame, marks), line_crf.fit(frame, None)):
+        assert line_crf.score_lines(frame, model).count() == 3 and line_crf.keep_good(frame, model).count() == 0
+    scored = weak_toxicity.score(frame, weak_toxicity.fit(frame, marks)).collect()
+    assert len(scored) == 3 and [r.held_out for r in scored if r.doc_id is None] == [zlib.crc32(b"") % 5 == 0] * 2
+    item = spark.createDataFrame([(None, "c d e f")], "item_id long, text string")
+    found = latent_decontam.find_matches(frame, item).collect()
+    assert sorted((r.doc_id is None, r.item_id) for r in found) == [(False, None), (True, None)]
+    assert latent_decontam.drop_contaminated(frame, item).count() == 1
+    assert piece_viterbi.round_trips(frame, public_tokenizers.path("piece_bpe_32k.model")).where("round_trip").count() == 3
