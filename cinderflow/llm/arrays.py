@@ -235,14 +235,14 @@ class SpanCache:
         self.at[self.held : n] = self.used + np.cumsum(size) - size
         self.size[self.held : n] = size
         entry = np.arange(self.held, n, dtype=np.int32)
-        self.names = np.append(self.names[: self.held], keys) if self.held else keys.copy()
         self.held, self.used = n, self.used + len(flat)
-        if 4 * n > len(self.keys):
-            slots = len(self.keys)
-            while 4 * n > slots:
+        if 2 * n > len(self.keys):
+            full = np.flatnonzero(self.entry >= 0)
+            old_keys, old_entry, slots = self.keys[full], self.entry[full], len(self.keys)
+            while 2 * n > slots:
                 slots *= 2
-            self._table(2 * slots)
-            keys, entry = self.names, np.arange(n, dtype=np.int32)
+            self._table(slots)
+            self._insert(old_keys, old_entry)
         self._insert(keys, entry)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

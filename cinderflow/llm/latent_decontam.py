@@ -45,11 +45,11 @@ STOP_IDF = 1.0
 ITEM_STRIDE = 6
 LEAST_COSINE = 0.5  # for items shorter than a passage times the square root of their share of it
 SIGNATURE_WORDS = 8  # of 64 bits
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 OFTEN = 96
 SEGMENTS = 2048
 CODE_BYTES = 1 << 20
-VERIFIED = 20_000  # stretches verified together
+VERIFIED = 4000  # stretches verified together
 SALTS = 32
 LEAST_COMMON = 0.6
 ANSWER_WORDS = 0.25

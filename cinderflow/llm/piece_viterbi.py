@@ -31,8 +31,8 @@ FOREIGN_MARK = 0x110000  # a U+2581 of the text itself
 #: Score below the least of all pieces that each byte of an uncovered code point costs.
 BYTE_PENALTY = 10.0
 BLOCK_BYTES = 1 << 20
-GROUP_CELLS = 1_000_000
-CACHE_CHUNKS = 1 << 20
+GROUP_CELLS = 500_000
+CACHE_CHUNKS = 1 << 19
 SCALE = 1 << 20  # scores are multiples of 1 / SCALE, so sums are exact and equal ones are ties
 LONG_CHUNK = 1024  # code points; longer ones go alone
 STRETCH = 1 << 16
