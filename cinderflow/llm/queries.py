@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import induced_sort, latent_decontam, line_crf, pii, piece_viterbi, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity
+from . import (
+    conversation_repair, induced_sort, latent_decontam, line_crf, pii, piece_viterbi, quality_crf, secret_scan, setsketch, suffix_trees, token_output, weak_toxicity, whitening,
+)
 from .oracles import ORACLES
 from .tables import read
 
@@ -65,6 +67,21 @@ def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_toxicity.score(docs, weak_toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)
+
+
+def op12_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_crf.score(docs, quality_crf.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.whole_vectors(read(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_secret_scan": op2_secret_scan,
@@ -76,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_decontam": op8_latent_decontam,
     "op9_piece_viterbi": op9_piece_viterbi,
     "op10_weak_toxicity": op10_weak_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_crf": op12_quality_crf,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,3 +176,62 @@ def contaminated(rows: list[tuple[int, str | None]], items: list[tuple[int, str
                     if sum(found) >= least * n - 1e-9 and sum(subsequence(item[n - tail :], w[lo:hi])) >= answer * tail:
                         out[d, i] = max(out.get((d, i), 0.0), sum(found) / n)
     return out
+
+
+def damaged(rows: list[tuple]) -> list[tuple]:
+    """(conv_id, turn, role, text) with the planted faults."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            out += [(conv, turn, "user" if kind == 4 else role, text)] * (1 + (kind == 3))
+    return out
+
+
+def repaired(rows: list[tuple]) -> tuple:
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, digest) of one conversation's (turn, role, text), by trying each edit of
+    each row, with up to two inserted turns before it and at the end."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    faults, seen = [], set()
+    for _, role, text in rows:
+        bare = re.sub("[\x20\x09-\x0d]", "", text)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    ways = {((), ()): (0, "")}  # (last initial, turns left) -> (cost, audit): of ways that end alike only the least goes on
+    made = [((), 0, "")] + [(tuple((r, "") for r in rs), 2 * len(rs), "I" * len(rs)) for n in (1, 2) for rs in itertools.product(("user", "assistant"), repeat=n)]
+    legal_after = {(): "su", ("s",): "u", ("u",): "a", ("a",): "u"}
+
+    def options(fault, role, text):
+        if fault in ("blank", "duplicate"):
+            return [((), 3, "D")]
+        one = [(((role, text),), 0, "K"), ((("user", text),), 2, "R"), ((("assistant", text),), 2, "R")]
+        one = [(t, c + (fault == "truncated"), x) for t, c, x in one]
+        return [((), 3, "D"), *((a + t, b + c, x + y) for a, b, x in made for t, c, y in one)]
+
+    def step(ways, opts):
+        out = {}
+        for (last, left), (cost, audit) in ways.items():
+            for turns, more, letters in opts:
+                end, ok = last, True
+                for r, _ in turns:
+                    ok = ok and r[:1] != "" and r[:1] in legal_after[end]
+                    if not ok:
+                        break
+                    end = (r[:1],)
+                if ok:
+                    new = (cost + more, audit + letters, left + turns)
+                    if end not in out or new[:2] < out[end][:2]:
+                        out[end] = new
+        return {(k, v[2]): v[:2] for k, v in out.items()}
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        ways = step(ways, options(fault, role, text))
+    ways = step(ways, made)
+    cost, audit, left = min((c, a, left) for (last, left), (c, a) in ways.items() if last in ((), ("a",)))
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:], strict=False)]
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    n = Counter(faults)
+    return gaps, n["blank"], n["duplicate"], n["truncated"], sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, sha("\n".join(f"{r}:{t}" for r, t in left))

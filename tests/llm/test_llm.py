@@ -660,7 +660,7 @@ def test_pipeline_edges(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_nulls_in_doc_id(spark):
