@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import staged
+from .tables import work_path
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
@@ -70,6 +70,16 @@ def whole_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.size("x") == (usual.d if usual else 0))
 
 
+def apart(table: DataFrame) -> DataFrame:
+    """The table written once and read in a session of its own, in which a generated method that is too long for the JVM's
+    compiler is cut up instead: thousands of sums in one method would be interpreted."""
+    path = work_path(table.sparkSession, "whitening_fit")
+    table.write.parquet(path)
+    session = table.sparkSession.newSession()
+    session.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return session.read.schema(table.schema).parquet(path)
+
+
 def totals(fit: DataFrame, d: int) -> tuple[int, list[int]]:
     """The number of rows of x and their sums by dimension, exact."""
     row = fit.selectExpr("count(*) AS n", *(f"sum(cast(x[{i}] AS decimal(20, 0))) AS s{i}" for i in range(d))).first()
@@ -94,7 +104,7 @@ def fit(vectors: DataFrame, most: int = COMPONENTS) -> Whitening | None:
     if first is None:
         return None
     d = first.d
-    unique = staged(vectors.select("x").distinct(), "whitening_fit")
+    unique = apart(vectors.select("x").distinct())
     n, sums = totals(unique, d)
     v = covariance(unique.select(F.col("x").alias("v")), n, [s / n for s in sums])
     values, components = np.linalg.eigh(v)
