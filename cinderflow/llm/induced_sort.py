@@ -13,7 +13,8 @@ bucket of each level would cost thousands of jobs. Parting by prefixes and the s
 doubling for the recursion on the reduced string, of which no more than a window's depth is wanted.
 
 Cases: null or empty text has no bytes; rows without doc_id are compared like all others; an empty table
-gives an empty result; texts are read whole; clashing columns are dropped before; rows that repeat doc_id and text are copies.
+gives an empty result; texts are read whole; clashing columns are dropped before; rows that repeat
+doc_id and text are copies, each with a result of its own; of equal strings none is kept, so there are no ties.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ occurrences of a window meet where the rows of one anchor meet:
 4. a task takes whole groups, rows sorted by Spark's external sort, and sorts their suffixes.
 
 Only texts that hold a shared anchor are moved, once. Exact copies of a whole text are aggregated before all this: what holds
-for the windows of a text holds for those of its copies, and they all start in the first copy too. Units are compared by 64-bit
+for the windows of a text holds for those of its copies, and they all start in the first copy too. Rows that repeat doc_id and text are one
+text until the results, of which each of them gets its own. Units are compared by 64-bit
 hashes where they are words, and whole windows of the third kind of prefix by 128 bits.
 """
 
@@ -119,11 +120,11 @@ def sharing(docs: DataFrame, windows: Windows, within: bool) -> DataFrame:
     total = found.groupBy("anchor").agg(F.sum(F.col("times").cast("long")).alias("times"), F.max("times").alias("most"), *(f(c).alias(f"{n}_{c}") for c in ("doc", "th") for n, f in (("low", F.min), ("high", F.max))))
     differs = "low_th <> high_th or most > 1" if within else "low_th <> high_th and low_doc <> high_doc"
     total = total.where(differs).select("anchor", (F.col("times") > GROUP_ROWS).alias("hot"))
-    lists = found.join(total, "anchor").groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "hot")).alias("anchors"))
+    lists = found.join(total, "anchor").groupBy("doc", "th").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
     names = rows.select("doc", "th", "text_key")
     later = names.join(copies(names), "text_key").where("doc > first").select("doc", "th")
     lists = staged(lists.join(later, ["doc", "th"], "left_anti"), "lists")
-    texts = rows.select("doc", "th", "text").join(lists, ["doc", "th"])
+    texts = rows.groupBy("doc", "th").agg(F.first("text").alias("text")).join(lists, ["doc", "th"])  # equal rows are one text here
     return staged(texts, "sharing")
 
 

@@ -3,7 +3,7 @@ kinds that embed a checksum are kept only if it holds.
 
 A jwt begins where a run of its characters does, so a long run is tried once.
 
-Cases: null or empty text has no spans; a header that can't be read as JSON, however deep, is no jwt; repeated rows are scanned alike; an empty table gives an empty result; long
+Cases: null or empty text has no spans; a header that can't be read as JSON, however deep, is no jwt; repeated rows are scanned alike; spans that begin together are ordered as their kinds are listed; an empty table gives an empty result; long
 texts are scanned whole; columns other than doc_id and text are ignored.
 """
 

@@ -9,8 +9,8 @@ The topmost nodes at window depth or deeper stand for the repeats: such a node's
 longer to the right, and the windows at its leaves are equal. With leaves in several documents every one but those of the
 least doc_id goes.
 
-Cases: null or empty text has no words; rows without doc_id keep all words; of rows that repeat doc_id and text each gets
-the same result; an empty table gives an empty result; texts are read whole; clashing columns are dropped before.
+Cases: null or empty text has no words; rows without doc_id keep all words; each of the rows that repeat doc_id and text gets
+the same result; texts that share a doc_id keep what they have in common, none being before the other; an empty table gives an empty result; texts are read whole; clashing columns are dropped before.
 """
 
 from __future__ import annotations

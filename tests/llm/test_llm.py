@@ -48,8 +48,14 @@ def docs(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
-def by_id(frame, *columns):
-    return {r.doc_id: tuple(r[c] for c in columns) for r in frame.collect()}
+def results(frame, *columns):
+    """All rows, repeated ones too."""
+    return sorted((r.doc_id, *(r[c] for c in columns)) for r in frame.collect())
+
+
+def each(rows, wanted):
+    """What `wanted` has by doc_id, once for each row."""
+    return sorted((d, *wanted[d]) for d, _ in rows)
 
 
 def empty(spark):
@@ -151,8 +157,7 @@ def test_secret_checksums():
 def test_pii(spark, small, edges):
     names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256")
     for frame, rows in ((docs(spark), small), (edges, EDGES)):
-        got = by_id(pii.digest(pii.find_pii(frame)), *names)
-        assert got == {d: brute.private(t) for d, t in rows}
+        assert results(pii.digest(pii.find_pii(frame)), *names) == each(rows, {d: brute.private(t) for d, t in rows})
     spans = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(edges)).collect()}
     assert "iban:" in spans[14]
     assert pii.find_pii(empty(spark)).count() == 0
@@ -166,8 +171,8 @@ def test_pii_with_many_matches(spark):
     """Places far into a text, beyond several steps of the sums, and masking of spans that overlap."""
     text = " ".join(f"u{k}@x{k}.org é +1 555 000 {1000 + k}, 10.0.{k % 256}.{k % 7}" for k in range(300)) + " 4111111111111111@a.b"
     frame = spark.createDataFrame([(1, text), (2, text[:50]), (3, "x")], "doc_id long, text string")
-    got = by_id(pii.digest(pii.find_pii(frame)), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
-    assert got == {d: brute.private(t) for d, t in ((1, text), (2, text[:50]), (3, "x"))} and got[1][0] > 299
+    got = results(pii.digest(pii.find_pii(frame)), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert got == [(d, *brute.private(t)) for d, t in ((1, text), (2, text[:50]), (3, "x"))] and got[0][1] > 299
     spans = {r.doc_id: r.spans for r in pii.find_pii(frame).collect()}
     want, end = "", 0
     for s in sorted((s.start, s.end, s.kind) for s in spans[1] if s.score >= 0.5):
@@ -181,9 +186,8 @@ def test_pii_with_many_matches(spark):
 
 def test_passages(spark, small, edges):
     columns = ("n_words", "n_removed", "kept_sha256")
-    assert by_id(suffix_trees.dedup_passages(docs(spark)), *columns) == brute.repeats(small)
-    once = [r for i, r in enumerate(EDGES) if i < len(EDGES) - 1]
-    assert by_id(suffix_trees.dedup_passages(edges), *columns) == brute.repeats(once)
+    assert results(suffix_trees.dedup_passages(docs(spark)), *columns) == each(small, brute.repeats(small))
+    assert results(suffix_trees.dedup_passages(edges), *columns) == each(EDGES, brute.repeats(list(dict(EDGES).items())))
     assert suffix_trees.dedup_passages(empty(spark)).count() == 0
 
 
@@ -196,8 +200,25 @@ def test_frequent_anchors_take_longer_prefixes(spark, small, monkeypatch, most):
     more += [(91_000 + d, "la le li " * (60 + d) + f"end{d}") for d in range(4)]
     rows = small[:120] + more
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(suffix_trees.dedup_passages(frame), "n_words", "n_removed", "kept_sha256") == brute.repeats(rows)
-    assert by_id(induced_sort.dedup_bytes(frame), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.byte_repeats(rows)
+    assert results(suffix_trees.dedup_passages(frame), "n_words", "n_removed", "kept_sha256") == each(rows, brute.repeats(rows))
+    assert results(induced_sort.dedup_bytes(frame), "n_bytes", "n_removed", "n_spans", "kept_sha256") == each(rows, brute.byte_repeats(rows))
+
+
+@pytest.mark.parametrize("most", [2, 20_000])
+def test_repeated_rows_each_get_one_result(spark, monkeypatch, most):
+    """Rows that repeat doc_id and text, doc_ids with several texts, with and without frequent anchors."""
+    monkeypatch.setattr(repeats, "GROUP_ROWS", most)
+    passage = " ".join(f"w{k}" for k in range(70))
+    first, second, other = passage + " tail", "head words before " + passage, "no repeat " * 10
+    rows = [(1, first), (2, second), (2, second), (2, second), (2, second), (3, other), (3, other), (4, second), (None, second), (None, second)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in suffix_trees.dedup_passages(frame).collect()]
+    known = brute.repeats([(1, first), (2, second), (3, other), (4, second)])
+    assert sorted(r for r in got if r[0] is not None) == sorted((d, *known[d]) for d, _ in rows if d)
+    assert [r[:3] for r in got if r[0] is None] == [(None, 73, 0)] * 2
+    got = [tuple(r) for r in induced_sort.dedup_bytes(frame).collect()]
+    whole = [brute.byte_repeats(list(enumerate(t for _, t in rows)))[k] for k in range(len(rows))]
+    assert sorted((d or -1, *v) for d, *v in got) == sorted((d or -1, *v) for (d, _), v in zip(rows, whole, strict=True))
 
 
 def test_suffix_tree_nodes():
@@ -230,11 +251,11 @@ def test_suffix_tree_nodes():
 
 def test_bytes(spark, small, edges):
     columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert by_id(induced_sort.dedup_bytes(docs(spark)), *columns) == brute.byte_repeats(small)
+    assert results(induced_sort.dedup_bytes(docs(spark)), *columns) == each(small, brute.byte_repeats(small))
     rows = [r for r in EDGES if r[0] != 9]  # the long text is left to its copies: all of it repeats
-    got = by_id(induced_sort.dedup_bytes(edges), *columns)
-    assert got[9][:3] == (150_000, 150_000, 1)
-    assert {d: v for d, v in got.items() if d != 9} == brute.byte_repeats(rows)
+    got = results(induced_sort.dedup_bytes(edges), *columns)
+    assert [r[1:4] for r in got if r[0] == 9] == [(150_000, 150_000, 1)] * 2
+    assert [r for r in got if r[0] != 9] == each(rows, brute.byte_repeats(rows))
     assert induced_sort.dedup_bytes(empty(spark)).count() == 0
 
 
@@ -250,8 +271,8 @@ def test_line_crf(spark, small, edges, labels):
     model = line_crf.fit(docs(spark), labels)
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for frame, rows in ((docs(spark), small), (edges, EDGES)):
-        assert by_id(line_crf.score_lines(frame, model), *columns) == {d: brute.quality(t) for d, t in rows}
-    kept = by_id(line_crf.score_lines(docs(spark), model), "base_failed", "kept")
+        assert results(line_crf.score_lines(frame, model), *columns) == each(rows, {d: brute.quality(t) for d, t in rows})
+    kept = {d: v for d, *v in results(line_crf.score_lines(docs(spark), model), "base_failed", "kept")}
     truth = {r.doc_id: r.quality for r in labels.collect()}
     right = [kept[d][1] == (q == 1) for d, q in truth.items() if not kept[d][0]]
     assert np.mean(right) > 0.9
@@ -305,8 +326,8 @@ def test_viterbi_is_the_best_path():
 
 
 def test_near_duplicates(spark, small, edges):
-    assert by_id(setsketch.near_duplicates(docs(spark), 85), "n_shingles", "component_id") == brute.near(small)
-    assert by_id(setsketch.near_duplicates(edges, 80), "n_shingles", "component_id") == brute.near([r for i, r in enumerate(EDGES) if i < len(EDGES) - 1], 80)
+    assert results(setsketch.near_duplicates(docs(spark), 85), "n_shingles", "component_id") == each(small, brute.near(small))
+    assert results(setsketch.near_duplicates(edges, 80), "n_shingles", "component_id") == each(EDGES, brute.near(list(dict(EDGES).items()), 80))
     assert setsketch.near_duplicates(empty(spark)).count() == 0
     assert {r.doc_id for r in setsketch.keep_one(edges).collect()} == {d for d, _ in EDGES} - {7}
 
@@ -324,7 +345,7 @@ def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
     for name, most in (("GROUP_BYTES", 9000), ("GROUP_DOCS", 7)):
         with monkeypatch.context() as m:
             m.setattr(setsketch, name, most)
-            assert by_id(setsketch.near_duplicates(frame, 85), "n_shingles", "component_id") == brute.near(rows, 85)
+            assert results(setsketch.near_duplicates(frame, 85), "n_shingles", "component_id") == each(rows, brute.near(rows, 85))
 
 
 def test_sketches_merge_and_estimate():
