@@ -35,6 +35,7 @@ PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.85, "phone": 0.6, "iban": 0.95}
 CONTEXT_WEIGHT = 0.15
 CONTEXT_CHARS = 40
 STEP = 64
+CHUNK = 1024
 SPAN = "array<struct<kind: string, start: bigint, end: bigint, score: double>>"
 
 
@@ -130,18 +131,35 @@ def pii_spans(text: Column) -> Column:
     }
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}
 
-    def scored(kind: str) -> Column:
+    def confirmed(kind: str) -> Column:
         kept = F.filter(located(text, patterns[kind], may[kind]), lambda m: valid(kind, m["match"]))
+        return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
+    def scored(parts: Column) -> Column:  # parts: the spans, the text in chunks
         def out(m: Column) -> Column:
-            before = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0).cast("bigint"))
-            near = F.lower(F.substring(text, (before + 1).cast("int"), (m["end"] - before + CONTEXT_CHARS).cast("int")))
-            bonus = F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(CONTEXT_WEIGHT)).otherwise(F.lit(-CONTEXT_WEIGHT / 3))
-            return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.least(F.lit(1.0), F.lit(PRIOR[kind]) + bonus).alias("score"))
+            near = F.lower(part(parts["chunks"], F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0).cast("bigint")), m["end"] + CONTEXT_CHARS))
+            score = F.lit(0.0)
+            for kind in KINDS:
+                bonus = F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(CONTEXT_WEIGHT)).otherwise(F.lit(-CONTEXT_WEIGHT / 3))
+                score = F.when(m["kind"] == kind, F.least(F.lit(1.0), F.lit(PRIOR[kind]) + bonus)).otherwise(score)
+            return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"))
 
-        return F.transform(kept, out)
+        return F.transform(parts["spans"], out)
 
-    return F.concat(*[scored(k) for k in KINDS]).cast(SPAN)
+    with_chunks = F.transform(F.array(F.concat(*map(confirmed, KINDS))), lambda found: F.struct(found.alias("spans"), F.when(F.size(found) > 0, chunks(text)).alias("chunks")))
+    return F.flatten(F.transform(with_chunks, scored)).cast(SPAN)
+
+
+def chunks(text: Column) -> Column:
+    """The text cut into strings of CHUNK code points: each part of it is then found without a walk from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(cut: Column, start: Column, end: Column) -> Column:
+    """Code points from start up to end of the text that `chunks` has cut."""
+    first = F.floor(start / CHUNK)
+    held = F.slice(cut, (first + 1).cast("int"), (F.greatest(F.ceil(end / CHUNK), first + 1) - first).cast("int"))
+    return F.substring(F.array_join(held, ""), (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -170,16 +188,19 @@ def redacted(text: Column, spans: Column, least: float) -> Column:
     """`text` with each span of score `least` or more replaced by <KIND>; spans that overlap become one, named after the first."""
     by_start = F.array_sort(F.transform(F.filter(spans, lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def masked(spans: Column) -> Column:
-        ends = F.transform(spans, lambda s: s["end"])
+    def masked(both: Column) -> Column:  # both: the spans, the text in chunks
+        ends = F.transform(both["spans"], lambda s: s["end"])
 
         def with_end(before: Column) -> Column:
-            pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(before, i), F.concat(F.substring(text, (F.get(before, i) + 1).cast("int"), (s["start"] - F.get(before, i)).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit("")))
-            return F.concat(F.array_join(pieces, ""), F.substring(text, (F.array_max(ends) + 1).cast("int"), F.lit(2147483647)))
+            def piece(s: Column, i: Column) -> Column:
+                return F.when(s["start"] >= F.get(before, i), F.concat(part(both["chunks"], F.get(before, i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit(""))
+
+            return F.concat(F.array_join(F.transform(both["spans"], piece), ""), F.substring(text, (F.array_max(ends) + 1).cast("int"), F.lit(2147483647)))
 
         return F.get(F.transform(F.array(running(ends, lambda x, y: F.greatest(x, y))), with_end), F.lit(0))
 
-    return F.when(F.size(by_start) == 0, text).otherwise(F.get(F.transform(F.array(by_start), masked), F.lit(0)))
+    both = F.array(F.struct(by_start.alias("spans"), chunks(text).alias("chunks")))
+    return F.when(F.size(by_start) == 0, text).otherwise(F.get(F.transform(both, masked), F.lit(0)))
 
 
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
