@@ -127,7 +127,7 @@ de AS (SELECT k.id AS id, hotspot_id, severity, k.risk AS risk_score, k.ack AS i
 INC = "((h1.source_type = 'volcanic' AND h2.source_type IN ('agricultural', 'urban')) OR (h2.source_type = 'volcanic' AND h1.source_type IN ('agricultural', 'urban')) OR (h1.source_type = 'industrial' AND h2.source_type = 'wildfire') OR (h2.source_type = 'industrial' AND h1.source_type = 'wildfire'))"
 M12 = meters("h1.latitude", "h1.longitude", "h2.latitude", "h2.longitude")
 EDGES = f"""{H}, hh AS (SELECT *, strptime(acq_date || ' ' || acq_time, '%Y-%m-%d %H%M') AS at FROM h), pr AS (SELECT h1.id AS a, h2.id AS b, {M12} AS m, abs(epoch(h1.at) - epoch(h2.at)) / 3600.0 AS hrs, {INC} AS inc, coalesce(h1.cluster_id = h2.cluster_id, false) AS same
- FROM hh h1 JOIN hh h2 ON h1.user_id = h2.user_id AND h1.id < h2.id),
+ FROM hh h1 JOIN hh h2 ON h2.latitude BETWEEN h1.latitude - 0.05 AND h1.latitude + 0.05 AND h2.longitude BETWEEN h1.longitude - 0.07 AND h1.longitude + 0.07 AND h1.id < h2.id),
 ed AS (SELECT a, b FROM pr WHERE (m <= 1500 AND hrs <= 24 AND NOT (inc AND m > 300)) OR (same AND m <= 5000))
 """
 N_RAW = "CASE WHEN event_id % 20 = 3 THEN 0.0::double WHEN event_id % 20 = 4 THEN 0.0::double ELSE greatest(value, 0.0::double) END"
@@ -159,7 +159,7 @@ ORACLES: dict[str, str] = {
     "nearest_feature": f"WITH {PAIRS} SELECT id, category, fid AS feature_id, {up('m', 1)} AS distance_m FROM p WHERE m <= 5000 QUALIFY row_number() OVER (PARTITION BY id, category ORDER BY {up('m', 3)}, fid) = 1",
     "radius_counts": f"WITH {PAIRS} SELECT h.id, count_if(category = 'industrial' AND m <= 5000)::bigint AS n_industrial, count_if(category = 'infrastructure' AND m <= 5000)::bigint AS n_infrastructure, count_if(category = 'settlement' AND m <= 10000)::bigint AS n_settlement FROM h LEFT JOIN p ON h.id = p.id GROUP BY h.id",
     "weather_grid_join": f"WITH {H}, {WEATHER}, w AS (SELECT DISTINCT ON (glat, glon) glat, glon, temperature, least(greatest(humidity, 0), 100)::double AS humidity, wind, gust, direction, rain FROM w0) SELECT id, temperature, humidity, CASE WHEN temperature IS NOT NULL THEN {fwi('temperature', 'humidity', 'wind', 'gust', 'rain')} END AS fwi, CASE WHEN temperature IS NOT NULL THEN {COMPASS} END AS cardinal, CASE WHEN temperature IS NULL THEN 'unavailable' ELSE 'available' END AS weather_status FROM h LEFT JOIN w ON floor(latitude * 100 + 0.5) = glat AND floor(longitude * 100 + 0.5) = glon",
-    "recurrence": f"""WITH {H}, d AS (SELECT id, user_id, latitude, longitude, frp, acq_date::date AS day FROM h), j AS (SELECT h1.id, h1.day - h2.day AS age, h2.day AS rday, floor(h2.frp * 100 + 0.5)::bigint AS cents FROM d h1 JOIN d h2 ON h1.user_id = h2.user_id AND h1.id <> h2.id AND h2.day <= h1.day AND {M12} <= 1000),
+    "recurrence": f"""WITH {H}, d AS (SELECT id, user_id, latitude, longitude, frp, acq_date::date AS day FROM h), j AS (SELECT h1.id, h1.day - h2.day AS age, h2.day AS rday, floor(h2.frp * 100 + 0.5)::bigint AS cents FROM d h1 JOIN d h2 ON h2.latitude BETWEEN h1.latitude - 0.01 AND h1.latitude + 0.01 AND h2.longitude BETWEEN h1.longitude - 0.013 AND h1.longitude + 0.013 AND h1.id <> h2.id AND h2.day <= h1.day AND {M12} <= 1000),
  g AS (SELECT id, count_if(age <= 7)::bigint AS n30, count_if(age <= 30)::bigint AS n90, count(DISTINCT CASE WHEN age <= 7 THEN rday END) AS days, min(rday) AS f, max(rday) AS l, sum(CASE WHEN age <= 7 THEN cents END)::bigint / count_if(age <= 7) / 100.0::double AS mean FROM j GROUP BY id),
  o AS (SELECT d.id, d.frp, coalesce(n30, 0) AS n30, coalesce(n90, 0) AS n90, coalesce(days, 0) AS days, f, l, coalesce(mean, 0.0) AS mean FROM d LEFT JOIN g USING (id))
  SELECT id, n30 AS prior_30d, n90 AS prior_90d, n30 >= 3 OR n90 >= 6 AS is_recurrent, n30 >= 1 AS is_repeated, least(1.0::double, {up('n30 * 0.05::double + greatest(n90 - n30, 0) * 0.015::double', 2)}) AS frequency, least(1.0::double, {up('days / 7.0::double', 2)}) AS persistence, strftime(f, '%Y-%m-%d') AS first_date,
@@ -200,3 +200,12 @@ ORACLES["incident_components"] = f"""WITH RECURSIVE {EDGES}, sy AS (SELECT a, b
 ORACLES["alert_acknowledge"] = ORACLES["alert_acknowledge_all"] = f"WITH {ALERTS} SELECT id, is_acknowledged OR id = 'ALT-17' AS is_acknowledged FROM al"
 ORACLES["recurrence_7_30"] = ORACLES["recurrence"]
 ORACLES["recurrence"] = ORACLES["recurrence_90d"] = ORACLES["recurrence_7_30"].replace("age <= 30", "age <= 90").replace("age <= 7", "age <= 30")
+# Incidents: each detection belongs to the first one, in the order of gravity, from which edges lead down to it.
+CLUSTERS = f"""{EDGES}, rk AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, frp DESC, id) AS k FROM hh),
+down AS (SELECT least(x.k, y.k) AS above, greatest(x.k, y.k) AS below FROM ed JOIN rk x ON x.id = ed.a JOIN rk y ON y.id = ed.b),
+reach(k, top) AS (SELECT k, k FROM rk WHERE k NOT IN (SELECT below FROM down) UNION SELECT down.below, reach.top FROM reach JOIN down ON down.above = reach.k),
+cl AS (SELECT k, min(top) AS top FROM reach GROUP BY k)
+"""
+ORACLES["incident_clusters"] = f"WITH RECURSIVE {CLUSTERS} SELECT x.id, y.id AS seed FROM cl JOIN rk x ON x.k = cl.k JOIN rk y ON y.k = cl.top"
+ORACLES["incident_alerts"] = f"""WITH RECURSIVE {CLUSTERS}, pri AS (SELECT rk.* FROM cl JOIN rk USING (k) QUALIFY row_number() OVER (PARTITION BY top ORDER BY risk_score DESC, frp DESC, rk."at" DESC, ascii(id), id) = 1)
+SELECT 'ALT-' || id AS id, id AS hotspot_id, CASE WHEN risk_level = 'critical' OR risk_score >= 75 THEN 'critical' ELSE 'warning' END AS severity, {up('risk_score', 1)} AS risk_score FROM pri WHERE risk_level IN ('critical', 'high') OR risk_score >= 50"""
