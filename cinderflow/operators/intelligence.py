@@ -234,3 +234,29 @@ def analyzed(rows: DataFrame, config: Anomaly = Anomaly(), weights: Risk = Risk(
     scored = known.join(outliers, "id") if outliers is not None else anomaly_zscore(known, config)
     out = risk(scored, weights)
     return out.withColumns({"factors": factors(), "recommendation": recommendation(F.col("level"), F.col("source")), "probabilities": source_probabilities(), "importance": feature_importance()})
+
+
+def rationale(config: Anomaly = Anomaly()) -> Column:
+    """Why a row of `analyzed` is held usual or odd, of five kinds: a site that always burns (below or above its own bound), radiance above or
+    within its baseline, and, where a population was the measure (`population` true), by the forest's score."""
+    c = F.col
+    usual = F.coalesce(c("prior_30d") >= config.suppress_passes, F.lit(False)) | c("recurrent")
+    passes = F.coalesce("prior_30d", F.lit(0))
+    return (
+        F.when(c("population") & c("is_outlier"), F.format_string("Stands out from the population: score %.3f, %.2f deviations.", "outlier_score", "deviation"))
+        .when(c("population"), F.format_string("In line with the population: score %.3f.", "outlier_score"))
+        .when(usual & ~c("is_outlier"), F.format_string("Recurrent site (%d passes in 30 days) at its usual radiance.", passes))
+        .when(usual, F.format_string("Recurrent site far above its usual radiance: %.2f deviations.", "deviation"))
+        .when(c("is_outlier"), F.format_string("Radiance %.1f MW is %.2f deviations above the baseline.", "f_frp", "deviation"))
+        .otherwise(F.format_string("Radiance %.1f MW is within the baseline.", "f_frp"))
+    )
+
+
+def batch_analyzed(rows: DataFrame, config: Anomaly = Anomaly(), weights: Risk = Risk()) -> DataFrame:
+    """`analyzed` with the batch as population: one forest for all rows, or the fixed baseline for fewer than five rows or such as no forest
+    can be fitted on (column `population` tells which), and the rationale. What goes into the forest is computed once."""
+    from .forest import population_outliers
+
+    outliers, by_forest = population_outliers(features(rows), config)
+    out = analyzed(rows, config, weights, outliers).withColumn("population", F.lit(by_forest))
+    return out.withColumn("rationale", rationale(config))

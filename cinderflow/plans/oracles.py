@@ -209,3 +209,57 @@ cl AS (SELECT k, min(top) AS top FROM reach GROUP BY k)
 ORACLES["incident_clusters"] = f"WITH RECURSIVE {CLUSTERS} SELECT x.id, y.id AS seed FROM cl JOIN rk x ON x.k = cl.k JOIN rk y ON y.k = cl.top"
 ORACLES["incident_alerts"] = f"""WITH RECURSIVE {CLUSTERS}, pri AS (SELECT rk.* FROM cl JOIN rk USING (k) QUALIFY row_number() OVER (PARTITION BY top ORDER BY risk_score DESC, frp DESC, rk."at" DESC, ascii(id), id) = 1)
 SELECT 'ALT-' || id AS id, id AS hotspot_id, CASE WHEN risk_level = 'critical' OR risk_score >= 75 THEN 'critical' ELSE 'warning' END AS severity, {up('risk_score', 1)} AS risk_score FROM pri WHERE risk_level IN ('critical', 'high') OR risk_score >= 50"""
+
+# The isolation forest: samples by digest, trees grown level by level, then walked level by level. x is the table of features.
+def draw(what: str) -> str:
+    return f"('0x' || substr(md5('42:' || t::varchar || ':' || path || ':{what}'), 1, 8))::bigint / 4294967296.0::double"
+
+
+def forest_sql(features: str) -> str:
+    usual = lambda n: f"CASE WHEN {n} < 2 THEN 0.0::double WHEN {n} < 3 THEN 1.0::double ELSE 2 * (ln({n} - 1) + 0.5772156649::double) - 2 * ({n} - 1) / {n}::double END"
+    return f"""{features}, pop AS (SELECT id, frp AS v0, CASE WHEN coalesce(brightness, 0) = 0 THEN 310.0::double ELSE brightness END AS v1, persistence_score AS v2, md5('42:' || id) AS d FROM x),
+sam AS (SELECT t, v0, v1, v2 FROM (SELECT *, unnest(range(50)) AS t FROM pop) QUALIFY row_number() OVER (PARTITION BY t ORDER BY (('0x' || substr(d, 1, 8))::bigint % 2147483647 + ('0x' || substr(d, 9, 8))::bigint % 2147483647 * (t + 1)) % 2147483647, id, v0, v1, v2) <= 256),
+lim AS (SELECT least(count(*), 256) AS n, ceil(log2(greatest(2, least(count(*), 256))))::bigint AS depth FROM pop),
+lev AS (
+  SELECT t, '' AS path, v0, v1, v2 FROM sam
+  UNION ALL
+  SELECT t, path || CASE WHEN [v0, v1, v2][f] < lo[f] + u * (hi[f] - lo[f]) THEN 'L' ELSE 'R' END, v0, v1, v2
+  FROM (SELECT *, can[floor({draw('feature')} * len(can))::bigint + 1] AS f, {draw('cut')} AS u FROM (SELECT *, list_filter([1, 2, 3], lambda k: hi[k] > lo[k]) AS can FROM
+    (SELECT *, count(*) OVER w AS n, [min(v0) OVER w, min(v1) OVER w, min(v2) OVER w] AS lo, [max(v0) OVER w, max(v1) OVER w, max(v2) OVER w] AS hi FROM lev WINDOW w AS (PARTITION BY t, path))) WHERE n >= 2 AND len(can) > 0 AND len(path) < (SELECT depth FROM lim))),
+grp AS (SELECT *, list_filter([1, 2, 3], lambda k: hi[k] > lo[k]) AS can FROM (SELECT t, path, count(*) AS n, [min(v0), min(v1), min(v2)] AS lo, [max(v0), max(v1), max(v2)] AS hi FROM lev GROUP BY t, path)),
+nod AS (SELECT t, path, n, CASE WHEN inner_ THEN can[floor({draw('feature')} * len(can))::bigint + 1] END AS f, {draw('cut')} AS u, lo, hi, CASE WHEN NOT inner_ THEN len(path) * 1000000 + floor(({usual('n')}) * 1000000 + 0.5)::bigint END AS leaf FROM (SELECT *, n >= 2 AND len(can) > 0 AND len(path) < (SELECT depth FROM lim) AS inner_ FROM grp)),
+wlk AS (
+  SELECT id, v0, v1, v2, t, '' AS path, NULL::bigint AS leaf FROM pop, range(50) AS r(t)
+  UNION ALL
+  SELECT w.id, v0, v1, v2, w.t, w.path || CASE WHEN [v0, v1, v2][f] < lo[f] + u * (hi[f] - lo[f]) THEN 'L' ELSE 'R' END, NULL FROM wlk w JOIN nod ON nod.t = w.t AND nod.path = w.path AND nod.leaf IS NULL),
+sco AS (SELECT w.id, any_value(v0) AS frp0, pow(2.0::double, -(sum(nod.leaf)::bigint / (50 * 1000000.0::double)) / greatest(1e-9::double, (SELECT {usual('n')} FROM lim))) AS score FROM wlk w JOIN nod ON nod.t = w.t AND nod.path = w.path AND nod.leaf IS NOT NULL GROUP BY w.id),
+thr AS (SELECT quantile_cont(score, 0.9) AS cut, avg(frp0) AS m, greatest(stddev_pop(frp0), 1.0::double) AS sd FROM sco),
+fo AS (SELECT id AS oid, cut - score < 0 OR 1 / (1 + exp(6 * (cut - score))) >= 0.65::double OR (frp0 - m) / sd >= 2 AS o_odd, {up('1 / (1 + exp(6 * (cut - score)))', 3)} AS o_score, {up('(frp0 - m) / sd', 2)} AS o_dev FROM sco, thr)
+"""
+
+
+ORACLES["forest_nodes"] = f"WITH RECURSIVE {forest_sql(X)} SELECT t AS tree, path, n AS size, f - 1 AS feature, CASE WHEN f IS NOT NULL THEN lo[f] + u * (hi[f] - lo[f]) END AS cut, leaf AS depth FROM nod"
+ORACLES["anomaly_forest"] = f"WITH RECURSIVE {forest_sql(X)} SELECT oid AS id, o_odd AS is_outlier, o_score AS outlier_score, o_dev AS deviation FROM fo"
+BATCH = R.replace(A, forest_sql(C) + ", a AS (SELECT *, o_odd AS is_outlier, o_score AS outlier_score, o_dev AS deviation FROM c JOIN fo ON oid = id)\n")
+ORACLES["batch_analyze"] = f"""WITH RECURSIVE {BATCH} SELECT id, source, is_outlier, outlier_score, deviation, risk, {level("risk")} AS level,
+ CASE WHEN is_outlier THEN printf('Stands out from the population: score %.3f, %.2f deviations.', outlier_score, deviation) ELSE printf('In line with the population: score %.3f.', outlier_score) END AS rationale FROM r"""
+
+# The chain from end to end: all three contexts by joins, then the scoring of `s`.
+ENRICHED = f"""{PAIRS}, {WEATHER},
+gq AS (SELECT *, CASE WHEN category IN ('protected_area', 'natural') THEN 'protected' ELSE category END AS kind FROM p WHERE m <= 10000),
+gg AS (SELECT id, min(m) FILTER (kind = 'industrial') AS mi, min(m) FILTER (kind = 'infrastructure') AS mf, min(m) FILTER (kind = 'settlement') AS ms, min(m) FILTER (kind = 'protected' AND m <= 3000) AS mp, count_if(kind = 'industrial' AND m <= 5000)::bigint AS ni FROM gq GROUP BY id),
+ww AS (SELECT glat, glon, max({{'temp': temperature, 'rh': humidity, 'wind': wind, 'gust': gust, 'direction': direction, 'rain': rain}}) AS v FROM w0 GROUP BY glat, glon),
+w AS (SELECT glat, glon, v.temp AS temperature, least(greatest(v.rh, 0), 100)::double AS humidity, greatest(v.wind, 0)::double AS wind, v.gust AS gust, greatest(v.rain, 0)::double AS rain FROM ww),
+d AS (SELECT id, latitude, longitude, acq_date::date AS day FROM h),
+j AS (SELECT h1.id, h1.day - h2.day AS age, h2.day AS rday FROM d h1 JOIN d h2 ON h2.latitude BETWEEN h1.latitude - 0.01 AND h1.latitude + 0.01 AND h2.longitude BETWEEN h1.longitude - 0.013 AND h1.longitude + 0.013 AND h1.id <> h2.id AND h2.day <= h1.day AND {M12} <= 1000),
+hi AS (SELECT id, count_if(age <= 30)::bigint AS a, count_if(age <= 90)::bigint AS b, count(DISTINCT CASE WHEN age <= 30 THEN rday END) AS days FROM j GROUP BY id),
+s AS (SELECT h.* REPLACE (CASE WHEN mi <= 400 THEN 'industrial_site' WHEN mp <= 1000 THEN 'dense_coniferous_forest' WHEN ms <= 1000 THEN 'urban_wildland_interface' ELSE 'chaparral_scrubland' END AS land_cover),
+  {up('mi', 1)} AS d_ind, coalesce(ni, 0) AS n_ind, {up('ms', 1)} AS d_set, {up('mf', 1)} AS d_inf, coalesce(mp <= 1500, false) AS prot, NULL::double AS slope, temperature AS temp, humidity AS rh, wind, rain, CASE WHEN temperature IS NOT NULL THEN {fwi('temperature', 'humidity', 'wind', 'gust', 'rain')} END AS fwi,
+  coalesce(hi.a, 0) AS n30, coalesce(hi.b, 0) AS n90, coalesce(hi.a, 0) >= 3 OR coalesce(hi.b, 0) >= 6 AS rec, least(1.0::double, {up('coalesce(days, 0) / 7.0::double', 2)}) AS pers
+ FROM h LEFT JOIN gg ON gg.id = h.id LEFT JOIN w ON floor(h.latitude * 100 + 0.5) = glat AND floor(h.longitude * 100 + 0.5) = glon LEFT JOIN hi ON hi.id = h.id)
+"""
+ADVICE = """CASE WHEN level = 'critical' AND source = 'wildfire' THEN 'Critical: send air and ground crews now and prepare evacuation within 5 km.' WHEN level = 'critical' AND source = 'industrial' THEN 'Critical: call hazardous-materials response and the site''s emergency manager.'
+ WHEN level = 'critical' THEN 'Critical: send a field team to verify the source and secure the perimeter.' WHEN level = 'high' AND source = 'wildfire' THEN 'High: inform the regional duty officer, task the next overpass, ready suppression.' WHEN level = 'high' AND source = 'industrial' THEN 'High: compare with the site''s permits and ask the plant for its status.'
+ WHEN level = 'high' THEN 'High: plan a surveillance flight and check local sensors.' WHEN level = 'medium' THEN 'Routine: keep tracking; look up burn permits of the district.' ELSE 'Log only: consistent with normal operations.' END"""
+ORACLES["analyzed_end_to_end"] = f"""WITH {R.replace(SCORING, ENRICHED)}, z AS (SELECT *, {level("risk")} AS level FROM r)
+SELECT id, CASE WHEN temp IS NULL THEN 'partial' ELSE 'complete' END AS enrichment, source, class_confidence, is_outlier, risk, level, {ADVICE} AS recommendation FROM z"""

@@ -198,6 +198,20 @@ def anomaly_forest(spark, sf):
     return forest.anomalies(intelligence.features(T.scoring_input(spark, sf)))
 
 
+@query
+def forest_nodes(spark, sf):
+    """The fitted forest, node by node."""
+    trees, _ = forest.fit(intelligence.features(T.scoring_input(spark, sf)))
+    return forest.node_table(spark, trees)
+
+
+@query
+def batch_analyze(spark, sf):
+    """The scoring chain with the batch itself as the population of the anomaly model."""
+    rows = T.scoring_input(spark, sf)
+    return intelligence.batch_analyzed(rows).select("id", "source", "is_outlier", "outlier_score", "deviation", "risk", "level", "rationale")
+
+
 @query
 def risk_score(spark, sf):
     return intelligence.analyzed(T.scoring_input(spark, sf)).select("id", "risk_frp", "risk_weather", "risk_place", "risk_past", "risk_odd", "risk", "level")
