@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,28 +79,33 @@ def from_incidents(incidents: DataFrame, hotspots: DataFrame, config: Alerts = A
     ).where("severity is not null")
 
 
-def deduplicated(alerts: DataFrame, order: str) -> DataFrame:
-    """Folds the alerts of one (hotspot_id, severity) in `order`:
+#: Rows of one (hotspot_id, severity) are dealt into this many parts before their partial results meet.
+SALTS = 16
+
+
+def deduplicated(alerts: DataFrame, order: str, salts: int = SALTS) -> DataFrame:
+    """What is left of the alerts of one (hotspot_id, severity), folded in `order`:
 
     an acknowledged one gives way to a graver new one, which stays acknowledged; a new one gives way to an acknowledged
-    one; else the strictly graver wins. The lists that are folded hold one hotspot's alerts of one severity.
+    one; else the strictly graver wins. So once one is acknowledged all before it is forgotten: the fold is the gravest from the first
+    acknowledged one on (from the beginning, if none is), the earlier of equals, acknowledged if any was. That is two aggregates whose
+    partial results merge in any order: the first acknowledged one, then the gravest not before it, by key and part and then by key.
+
+    An unknown risk is below all others, an unknown acknowledgement is none; rows of equal order go by their other values.
     """
     keys = ["hotspot_id", "severity"]
     others = [c for c in alerts.columns if c not in keys]
-    item = F.struct(F.col(order).alias("__o"), *others)
-    lists = alerts.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
-
-    def step(now: Column, new: Column) -> Column:
-        raised = new.withField("is_acknowledged", F.lit(True))
-        return (
-            F.when(now["is_acknowledged"] & ~new["is_acknowledged"] & (new["risk_score"] > now["risk_score"]), raised)
-            .when(~now["is_acknowledged"] & new["is_acknowledged"], new)
-            .when(new["risk_score"] > now["risk_score"], new)
-            .otherwise(now)
-        )
-
-    kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.col("all")[0], step)
-    return lists.select(*keys, kept.alias("k")).select(*(c if c in keys else F.col(f"k.{c}").alias(c) for c in alerts.columns))
+    risk = F.coalesce(F.col("risk_score"), F.lit(float("-inf")))
+    rows = alerts.select(*keys, F.struct(F.col(order).alias("__o"), *others).alias("item"), (-risk).alias("less"), F.coalesce("is_acknowledged", F.lit(False)).alias("known"))
+    first = rows.where("known").groupBy(*(F.col(k).alias(f"f_{k}") for k in keys)).agg(F.min("item").alias("since"))
+    first = first.withColumn("f_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in (*keys, "part")))
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("item.__o"), F.lit(salts)).cast("int"))
+    from_it = parted.join(first, same, "left").where("since is null or item >= since")
+    gravest = F.min(F.struct("less", "item")).alias("best")
+    partial = from_it.groupBy(*keys, "part").agg(gravest, F.bool_or(F.col("since").isNotNull()).alias("known"))
+    whole = partial.groupBy(*keys).agg(F.min("best").alias("best"), F.bool_or("known").alias("known"))
+    return whole.select(*(F.col("known").alias(c) if c == "is_acknowledged" else c if c in keys else F.col(f"best.item.{c}").alias(c) for c in alerts.columns))
 
 
 def feed(alerts: DataFrame, severity_is: str | None = None, unread_only: bool = False, limit: int | None = None) -> DataFrame:

@@ -263,3 +263,9 @@ ADVICE = """CASE WHEN level = 'critical' AND source = 'wildfire' THEN 'Critical:
  WHEN level = 'high' THEN 'High: plan a surveillance flight and check local sensors.' WHEN level = 'medium' THEN 'Routine: keep tracking; look up burn permits of the district.' ELSE 'Log only: consistent with normal operations.' END"""
 ORACLES["analyzed_end_to_end"] = f"""WITH {R.replace(SCORING, ENRICHED)}, z AS (SELECT *, {level("risk")} AS level FROM r)
 SELECT id, CASE WHEN temp IS NULL THEN 'partial' ELSE 'complete' END AS enrichment, source, class_confidence, is_outlier, risk, level, {ADVICE} AS recommendation FROM z"""
+ORACLES["stream_sessions"] = """WITH e AS (SELECT user_id, ts, value, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS new FROM events),
+n AS (SELECT *, sum(new::int) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+g AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, count(*) AS n, sum(floor(value * 100 + 0.5)::bigint)::bigint AS cents FROM n GROUP BY user_id, k)
+SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, user_id, n, cents FROM g WHERE b <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events)"""
+ORACLES["stream_first_seen"] = "SELECT DISTINCT 'S' || user_id::varchar AS id FROM events"
+ORACLES["stream_alerts"] = f"WITH {ALERTS.replace('ORDER BY seq', 'ORDER BY timestamp, seq')} SELECT hotspot_id, severity, id, risk_score, is_acknowledged, seq FROM de"

@@ -14,7 +14,7 @@ from ..operators import alerts, dossier, enrich, forest, history, incidents, int
 from ..operators.filters import HotspotFilter, page
 from ..operators.graph import connected_components
 from ..sources import ingest, osm
-from ..streaming import refresh
+from ..streaming import alert_state, refresh
 from . import testdata as T
 
 RUN_DATE = "2024-02-01"
@@ -333,5 +333,29 @@ def stream_window_counts(spark, sf):
     return refresh.run_to_end(refresh.window_counts(events, "ts", "1 day", "event_type"))
 
 
+@query
+def stream_sessions(spark, sf):
+    """Sessions by site of detections less than six hours apart, as far as the watermark has closed them."""
+    events = refresh.read_stream(spark, sf, T.table(spark, sf, "events").schema, "events.parquet")
+    return refresh.appended(refresh.sessions(events, "ts", "6 hours", "user_id"))
+
+
+@query
+def stream_first_seen(spark, sf):
+    """Each site once, by a stream that forgets old ones."""
+    events = refresh.read_stream(spark, sf, T.table(spark, sf, "events").schema, "events.parquet")
+    rows = events.select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("event_time"))
+    return refresh.appended(refresh.first_seen(rows)).select("id")
+
+
+@query
+def stream_alerts(spark, sf):
+    """Deduplicated alerts in the order of their time, kept as state by a stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", alert_state.STORE)
+    events = refresh.read_stream(spark, sf, T.table(spark, sf, "events").schema, "events.parquet")
+    rows = T.alerts_of(T.hotspots_of(events)).withColumn("at", F.to_timestamp("timestamp"))
+    return refresh.latest(alert_state.alert_state(rows), "hotspot_id", "severity").select("hotspot_id", "severity", "id", "risk_score", "is_acknowledged", "seq")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_breakdown(spark, sf_dir)

@@ -31,11 +31,15 @@ def positions() -> tuple[Column, Column]:
 
 
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hotspots_of(table(spark, sf_dir, "events"))
+
+
+def hotspots_of(events: DataFrame) -> DataFrame:
     lat, lon = positions()
     e, u, frp = F.col("event_id"), F.col("user_id"), F.greatest(F.col("value"), F.lit(0.0))
     bright = 300 + F.col("value") * 0.4
     score, level, anomaly = baseline_risk(frp, bright)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("EV-"), F.lpad(e.cast("string"), 9, "0")).alias("id"), "event_id", "user_id", lat.alias("latitude"), lon.alias("longitude"), bright.alias("brightness"),
         F.date_format("ts", "yyyy-MM-dd").alias("acq_date"), F.date_format("ts", "HHmm").alias("acq_time"), F.lit("Suomi-NPP").alias("satellite"), F.regexp_extract("props", "([0-9]+)", 1).alias("confidence"), frp.alias("frp"),
         choose(F.col("event_type"), SOURCE_OF).alias("source_type"), choose(F.col("event_type"), COVER_OF).alias("land_cover"), score.alias("risk_score"), level.alias("risk_level"), anomaly.alias("is_anomaly"),
@@ -105,8 +109,12 @@ def as_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several alerts for each of the sites' hotspots, some acknowledged, in order of seq."""
+    return alerts_of(hotspots(spark, sf_dir))
+
+
+def alerts_of(hotspots: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    return hotspots(spark, sf_dir).select(
+    return hotspots.select(
         F.concat(F.lit("ALT-"), e.cast("string")).alias("id"), F.concat(F.lit("H"), (e % 700).cast("string")).alias("hotspot_id"), F.when(e % 3 == 0, "critical").when(e % 3 == 1, "warning").otherwise("info").alias("severity"),
         "risk_score", ((e * 7) % 5 == 0).alias("is_acknowledged"), F.concat("acq_date", F.lit("T"), F.substring("acq_time", 1, 2), F.lit(":"), F.substring("acq_time", 3, 2), F.lit(":00")).alias("timestamp"), e.alias("seq"),
     )

@@ -36,6 +36,40 @@ def window_counts(rows: DataFrame, time: str, width: str, *keys: str) -> DataFra
     return sums.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n", "cents")
 
 
+def sessions(rows: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
+    """Sessions by keys: rows less than `gap` apart. A session comes out once the watermark has passed its end, and then doesn't
+    change; a row later than that is dropped, one that comes in time may join two sessions."""
+    timed = rows.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withWatermark(time, LATENESS)
+    sums = timed.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("cents"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return sums.select(stamp("w.start").alias("session_start"), stamp("w.end").alias("session_end"), *keys, "n", "cents")
+
+
+def appended(rows: DataFrame) -> DataFrame:
+    """Runs a query of final rows (append mode) over all that is there now and returns them."""
+    return _run(rows, "append")
+
+
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """Runs a query of updates over all that is there now and returns the last one of each key."""
+    rows = _run(updates, "update")
+    others = [c for c in updates.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*")
+
+
+def _run(rows: DataFrame, mode: str) -> DataFrame:
+    spark = rows.sparkSession
+    path = work_path(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/{number}")  # a batch that is run again replaces itself
+
+    done = rows.writeStream.outputMode(mode).foreachBatch(write).queryName(f"w{uuid.uuid4().hex}").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    out = spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{path}/rows/*")
+    return out if mode == "update" else out.drop("batch")
+
+
 def upsert_each_batch(raw: DataFrame, path: str, run_date: str, checkpoint: str) -> StreamingQuery:
     """Keeps the snapshot at `path` current. Of rows of one id in a batch the last read wins. A batch that is run again after
     a failure gives the same rows: the upsert depends on ids and on the order of the batch's files alone."""
