@@ -18,7 +18,7 @@ def valid_point(lat: Column, lon: Column) -> Column:
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres; equal points are exactly 0 apart."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
-    a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
+    a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * (F.sin(dlon) * F.sin(dlon))
     a = F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))
     return F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(2 * EARTH_RADIUS_M * F.atan2(F.sqrt(a), F.sqrt(1 - a)))
 
@@ -38,19 +38,31 @@ def degrees_of(radius_m: float) -> float:
     return radius_m / (EARTH_RADIUS_M * math.pi / 180) * 1.001
 
 
-def lon_cell(band: Column, lon: Column, radius_m: float) -> Column:
-    """Cells of a band, at least `radius_m` wide at the band's edge and its neighbours' that is nearer to a pole. The
-    last cell before the date line may be narrower; `neighbour_cells` looks one further there."""
-    edge = F.least((F.greatest(F.abs(band - 1), F.abs(band + 2)) * degrees_of(radius_m)), F.lit(89.9))
-    width = F.least(degrees_of(radius_m) / F.cos(F.radians(edge)), F.lit(360.0))
-    return F.floor((lon + 180) / width).cast("long")
+def lat_bands_around(lat: Column, radius_m: float) -> Column:
+    """All bands that hold points within `radius_m` of a latitude."""
+    return F.sequence(lat_cell(lat - degrees_of(radius_m), radius_m), lat_cell(lat + degrees_of(radius_m), radius_m))
 
 
-def lon_cells_around(band: Column, lon: Column, radius_m: float) -> Column:
-    """All cells of a band that hold points within `radius_m` of a longitude, across the date line too."""
+def lon_width(band: Column, radius_m: float) -> Column:
+    """Degrees of longitude of a band's cells: at least `radius_m` at the edge of the band, or of a neighbour, that is nearest to a pole."""
     edge = F.least((F.greatest(F.abs(band - 1), F.abs(band + 2)) * degrees_of(radius_m)), F.lit(89.9))
-    width = F.least(degrees_of(radius_m) / F.cos(F.radians(edge)), F.lit(360.0))
+    return F.least(degrees_of(radius_m) / F.cos(F.radians(edge)), F.lit(360.0))
+
+
+def lon_cell(band: Column, lon: Column, radius_m: float) -> Column:
+    """Cells of a band. The last one before the date line may be narrower."""
+    return F.floor((lon + 180) / lon_width(band, radius_m)).cast("long")
+
+
+def lon_cells_around(band: Column, lat: Column, lon: Column, radius_m: float) -> Column:
+    """All cells of a band that hold points within `radius_m` of a point, across the date line too. No point of the circle is further
+    off in longitude than `reach`; a circle that holds a pole, or nearly, has all longitudes."""
+    width = lon_width(band, radius_m)
     count = F.floor(F.lit(360.0) / width).cast("long") + 1
-    mine = F.floor((lon + 180) / width).cast("long")
-    near = F.array(*(F.pmod(mine + d, count) for d in (-2, -1, 0, 1, 2)))
-    return F.array_distinct(near)
+    far = F.sin(F.radians(F.lit(degrees_of(radius_m)))) / F.cos(F.radians(F.least(F.abs(lat), F.lit(89.9))))
+    reach = F.when(F.abs(lat) + degrees_of(radius_m) >= 89.9, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(far, F.lit(1.0)))) * 1.001)
+    low, high = lon + 180 - reach, lon + 180 + reach
+    cells = lambda a, b: F.sequence(F.floor(F.greatest(a, F.lit(0.0)) / width).cast("long"), F.floor(F.least(b, F.lit(360.0)) / width).cast("long"))
+    none = F.array().cast("array<long>")
+    wrapped = F.concat(cells(low, high), F.when(low < 0, cells(low + 360, F.lit(360.0))).otherwise(none), F.when(high > 360, cells(F.lit(0.0), high - 360)).otherwise(none))
+    return F.array_distinct(F.filter(wrapped, lambda c: c < count))

@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from ..config import Recurrence
 from ..functions.common import half_up
-from ..functions.geo import compass
+from ..functions.geo import compass, haversine_m
 from ..functions.scores import fire_weather_index, forecast
+from ..sources.ingest import numbered
 from .history import recurrence
-from .spatial import as_right, within
+from .spatial import as_right, closer, coded, named, within
 
 SEARCH_M = 10_000.0
 
 
 def geo_context(points: DataFrame, features: DataFrame, search_m: float = SEARCH_M, key: str = "id") -> DataFrame:
-    """Nearest features and counts by category, protection and land cover, from one candidate join and one aggregate."""
-    pairs = within(points.select(key, "latitude", "longitude"), as_right(features, "id", "name", "category"), max(search_m, 10_000.0))
+    """Nearest features and counts by category, protection and land cover, from one candidate join and one aggregate of longs."""
+    known = numbered(features.select("id", "name", "category", "latitude", "longitude"), ["id"])
+    pairs = within(points.select(key, "latitude", "longitude"), as_right(known, "sequence", "category"), max(search_m, 10_000.0), chords=True)
     kind = F.when(F.col("r_category").isin("protected_area", "natural"), "protected").otherwise(F.col("r_category"))
-    pairs = pairs.withColumn("kind", kind)
-    near = F.struct(half_up(F.col("distance_m"), 3).alias("d"), F.col("r_id").alias("f"), F.col("r_name").alias("name"), F.col("distance_m").alias("m"))
-    best = {k: F.min(F.when((F.col("kind") == k) & (F.col("distance_m") <= most), near)).alias(k) for k, most in (("industrial", search_m), ("infrastructure", search_m), ("settlement", search_m), ("protected", 3000.0))}
-    counts = [F.count_if((F.col("kind") == k) & (F.col("distance_m") <= r)).alias(f"nearby_{k}") for k, r in (("industrial", 5000.0), ("infrastructure", 5000.0), ("settlement", 10_000.0))]
-    found = points.select(key).join(pairs.groupBy(key).agg(*best.values(), *counts), key, "left")
+    pairs = pairs.withColumns({"kind": kind, "code": coded(F.col("distance_m"), F.col("r_sequence"))})
+    reach = {"industrial": search_m, "infrastructure": search_m, "settlement": search_m, "protected": 3000.0}
+    best = [F.min(F.when((F.col("kind") == k) & closer(most), F.col("code"))).alias(f"c_{k}") for k, most in reach.items()]
+    counts = [F.count_if((F.col("kind") == k) & closer(r)).alias(f"nearby_{k}") for k, r in (("industrial", 5000.0), ("infrastructure", 5000.0), ("settlement", 10_000.0))]
+    found = points.select(key, "latitude", "longitude").join(pairs.groupBy(key).agg(*best, *counts), key, "left")
+    for k in reach:
+        found = named(found, known, f"c_{k}", "id", "name", "latitude", "longitude")
+        metres = haversine_m(F.col("latitude"), F.col("longitude"), F.col(f"c_{k}_latitude"), F.col(f"c_{k}_longitude"))
+        found = found.withColumn(k, F.when(F.col(f"c_{k}").isNotNull(), F.struct(F.col(f"c_{k}_id").alias("f"), F.col(f"c_{k}_name").alias("name"), metres.alias("m"))))
+    best = reach
     ind, prot, town = F.col("industrial.m") <= 400, F.col("protected.m") <= 1000, F.col("settlement.m") <= 1000
     return found.select(
         key,

@@ -1,16 +1,31 @@
 """Proximity joins: an equi-join on grid cells with the exact distance as the residual, never a nested loop.
 
-Cells are as high as the search radius and as wide as it is at the band's latitude, so a point looks into three bands
-and five cells of each. The side that is replicated is the features' (or the later point's), which carries few columns.
+Cells are as high as the search radius and at least as wide as it is at the band's latitude, so a point looks into the two or three
+bands that its circle touches and two or three cells of each. The side that is replicated is the features' (or the later point's), which
+carries few columns. Points get unit vectors before the join: for a candidate the squared chord decides, and trigonometry is left to the
+few whose chord is within a billionth of the radius' and to pairs whose distance is asked for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import EARTH_RADIUS_M
 from ..functions.common import half_up
-from ..functions.geo import haversine_m, lat_cell, lon_cell, lon_cells_around
+from ..functions.geo import haversine_m, lat_bands_around, lat_cell, lon_cell, lon_cells_around
+from ..sources.ingest import numbered
+
+#: A code of a distance in millimetres and a feature's number has this many bits for the number: up to 268 million features.
+NUMBER_BITS = 28
+
+
+def vectored(points: DataFrame, prefix: str = "") -> DataFrame:
+    """Points with their unit vectors."""
+    lat, lon = F.radians(f"{prefix}latitude"), F.radians(f"{prefix}longitude")
+    return points.withColumns({f"__{prefix}x": F.cos(lat) * F.cos(lon), f"__{prefix}y": F.cos(lat) * F.sin(lon), f"__{prefix}z": F.sin(lat)})
 
 
 def celled(points: DataFrame, radius_m: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -20,17 +35,37 @@ def celled(points: DataFrame, radius_m: float, lat: str = "latitude", lon: str =
 
 def spread(points: DataFrame, radius_m: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Points once for each cell in which a point within `radius_m` can lie."""
-    bands = points.withColumn("__band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: lat_cell(F.col(lat), radius_m) + d)))
-    return bands.withColumn("__cell", F.explode(lon_cells_around(F.col("__band"), F.col(lon), radius_m)))
+    bands = points.withColumn("__band", F.explode(lat_bands_around(F.col(lat), radius_m)))
+    return bands.withColumn("__cell", F.explode(lon_cells_around(F.col("__band"), F.col(lat), F.col(lon), radius_m)))
+
+
+def distance() -> Column:
+    """Metres between the two points of a pair of `within`."""
+    return haversine_m(F.col("latitude"), F.col("longitude"), F.col("r_latitude"), F.col("r_longitude"))
+
 
+def chord() -> Column:
+    """Squared chord between the unit vectors of a pair."""
+    x, y, z = (F.col(f"__{c}") - F.col(f"__r_{c}") for c in "xyz")
+    return x * x + y * y + z * z
 
-def within(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None) -> DataFrame:
-    """Pairs of left (latitude, longitude) and right (r_latitude, r_longitude) rows up to `radius_m` apart, with `distance_m`."""
-    near = spread(right, radius_m, "r_latitude", "r_longitude")
-    pairs = celled(left, radius_m).join(near, ["__band", "__cell"])
+
+def closer(radius_m: float, squared: Column | None = None) -> Column:
+    """Whether a pair of `within` is up to `radius_m` apart, the same as by `distance`, mostly without trigonometry."""
+    squared = F.col("__chord") if squared is None else squared
+    bound = (2 * math.sin(min(radius_m / EARTH_RADIUS_M, math.pi) / 2)) ** 2
+    return (squared < bound * (1 - 1e-9)) | ((squared <= bound * (1 + 1e-9) + 1e-30) & (distance() <= radius_m))
+
+
+def within(left: DataFrame, right: DataFrame, radius_m: float, condition: Column | None = None, on: tuple[str, ...] = (), chords: bool = False) -> DataFrame:
+    """Pairs of left (latitude, longitude) and right (r_latitude, r_longitude) rows up to `radius_m` apart, with `distance_m`.
+    on: further columns of both sides that must be equal; with `chords`, `closer` can be asked about the pairs."""
+    near = spread(vectored(right, "r_"), radius_m, "r_latitude", "r_longitude")
+    pairs = celled(vectored(left), radius_m).join(near, ["__band", "__cell", *on])
     pairs = pairs if condition is None else pairs.where(condition)
-    distance = haversine_m(F.col("latitude"), F.col("longitude"), F.col("r_latitude"), F.col("r_longitude"))
-    return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).drop("__band", "__cell")
+    pairs = pairs.where(closer(radius_m, chord())).withColumn("distance_m", distance())
+    pairs = pairs.withColumn("__chord", chord()) if chords else pairs
+    return pairs.drop("__band", "__cell", *(f"__{side}{c}" for side in ("", "r_") for c in "xyz"))
 
 
 def as_right(features: DataFrame, *columns: str) -> DataFrame:
@@ -38,20 +73,34 @@ def as_right(features: DataFrame, *columns: str) -> DataFrame:
     return features.select(*(F.col(c).alias(f"r_{c}") for c in ("latitude", "longitude", *columns)))
 
 
+def coded(metres: Column, number: Column) -> Column:
+    """A long in the order of the distance in whole millimetres and then of the number: its minimum needs no sorting."""
+    return F.shiftleft(F.floor(metres * 1000 + 0.5).cast("long"), NUMBER_BITS) + number
+
+
+def named(rows: DataFrame, features: DataFrame, code: str, *columns: str) -> DataFrame:
+    """`rows` with the given columns of the feature (of `numbered` ones) whose number a code holds, as <code>_<column>; nulls for a null code."""
+    chosen = features.select(F.col("sequence").alias("__no"), *(F.col(c).alias(f"{code}_{c}") for c in columns))
+    return rows.join(chosen, F.col(code).bitwiseAND((1 << NUMBER_BITS) - 1) == F.col("__no"), "left").drop("__no")
+
+
 def nearest(points: DataFrame, features: DataFrame, radius_m: float, key: str = "id") -> DataFrame:
     """For each point and category the nearest feature up to `radius_m`: key, category, feature_id, distance_m (0.1 m).
-    Equal distances (to the millimetre) go to the lesser feature id. An aggregate, not a window, so that partial sums
-    shrink the pairs before they move."""
-    pairs = within(points.select(key, "latitude", "longitude"), as_right(features, "id", "category"), radius_m)
-    best = F.min(F.struct(half_up(F.col("distance_m"), 3).alias("d"), F.col("r_id").alias("f"), F.col("distance_m").alias("m")))
-    found = pairs.groupBy(key, F.col("r_category").alias("category")).agg(best.alias("b"))
-    return found.select(key, "category", F.col("b.f").alias("feature_id"), half_up(F.col("b.m"), 1).alias("distance_m"))
+    Equal distances (to the millimetre) go to the lesser feature id. Features are numbered by id, so that an aggregate of longs finds
+    them, whose partial results shrink the pairs before they move."""
+    known = numbered(features.select("id", "category", "latitude", "longitude"), ["id"])
+    pairs = within(points.select(key, "latitude", "longitude"), as_right(known, "sequence", "category"), radius_m)
+    found = pairs.groupBy(key, "latitude", "longitude", F.col("r_category").alias("category")).agg(F.min(coded(F.col("distance_m"), F.col("r_sequence"))).alias("best"))
+    out = named(found, known, "best", "id", "latitude", "longitude")
+    metres = haversine_m(F.col("latitude"), F.col("longitude"), F.col("best_latitude"), F.col("best_longitude"))
+    return out.select(key, "category", F.col("best_id").alias("feature_id"), half_up(metres, 1).alias("distance_m"))
 
 
 def radius_counts(points: DataFrame, features: DataFrame, radii: dict[str, float], key: str = "id") -> DataFrame:
     """key and n_<category>: features of each category within its radius; points without any have zeros."""
-    pairs = within(points.select(key, "latitude", "longitude"), as_right(features, "category"), max(radii.values()))
-    counts = [F.count_if((F.col("r_category") == c) & (F.col("distance_m") <= r)).alias(f"n_{c}") for c, r in radii.items()]
+    wanted = features.where(F.col("category").isin(*radii))
+    pairs = within(points.select(key, "latitude", "longitude"), as_right(wanted, "category"), max(radii.values()), chords=True)
+    counts = [F.count_if((F.col("r_category") == c) & closer(r)).alias(f"n_{c}") for c, r in radii.items()]
     found = pairs.groupBy(key).agg(*counts)
     return points.select(key).join(found, key, "left").na.fill(0)
 

@@ -29,3 +29,10 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(scan: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores is dealt out to all of them (one small file is one task, however much
+    is computed from it); any other is left as it is. For scans alone: asking any other plan for its partitions would run it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import baseline_risk
+from .lineage import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def positions() -> tuple[Column, Column]:
 
 
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hotspots_of(table(spark, sf_dir, "events"))
+    return hotspots_of(dealt(table(spark, sf_dir, "events")))
 
 
 def hotspots_of(events: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lon = positions()
     e, k = F.col("event_id"), F.regexp_extract("props", "([0-9]+)", 1)
     pick = lambda n, *xs: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), (e % n + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
+    return dealt(table(spark, sf_dir, "events")).select(
         "event_id",
         F.when(e % 50 == 0, "95.0").otherwise(lat.cast("string")).alias("LATITUDE"),
         F.when(e % 50 == 2, "abc").otherwise(lon.cast("string")).alias("lon"),
