@@ -11,7 +11,7 @@ from ..functions.geo import compass, haversine_m
 from ..functions.scores import fire_weather_index, forecast
 from ..sources.ingest import numbered
 from .history import recurrence
-from .spatial import as_right, closer, coded, named, within
+from .spatial import as_right, coded, named, within
 
 SEARCH_M = 10_000.0
 
@@ -19,12 +19,12 @@ SEARCH_M = 10_000.0
 def geo_context(points: DataFrame, features: DataFrame, search_m: float = SEARCH_M, key: str = "id") -> DataFrame:
     """Nearest features and counts by category, protection and land cover, from one candidate join and one aggregate of longs."""
     known = numbered(features.select("id", "name", "category", "latitude", "longitude"), ["id"])
-    pairs = within(points.select(key, "latitude", "longitude"), as_right(known, "sequence", "category"), max(search_m, 10_000.0), chords=True)
+    pairs = within(points.select(key, "latitude", "longitude"), as_right(known, "sequence", "category"), max(search_m, 10_000.0))
     kind = F.when(F.col("r_category").isin("protected_area", "natural"), "protected").otherwise(F.col("r_category"))
     pairs = pairs.withColumns({"kind": kind, "code": coded(F.col("distance_m"), F.col("r_sequence"))})
     reach = {"industrial": search_m, "infrastructure": search_m, "settlement": search_m, "protected": 3000.0}
-    best = [F.min(F.when((F.col("kind") == k) & closer(most), F.col("code"))).alias(f"c_{k}") for k, most in reach.items()]
-    counts = [F.count_if((F.col("kind") == k) & closer(r)).alias(f"nearby_{k}") for k, r in (("industrial", 5000.0), ("infrastructure", 5000.0), ("settlement", 10_000.0))]
+    best = [F.min(F.when((F.col("kind") == k) & (F.col("distance_m") <= most), F.col("code"))).alias(f"c_{k}") for k, most in reach.items()]
+    counts = [F.count_if((F.col("kind") == k) & (F.col("distance_m") <= r)).alias(f"nearby_{k}") for k, r in (("industrial", 5000.0), ("infrastructure", 5000.0), ("settlement", 10_000.0))]
     found = points.select(key, "latitude", "longitude").join(pairs.groupBy(key).agg(*best, *counts), key, "left")
     for k in reach:
         found = named(found, known, f"c_{k}", "id", "name", "latitude", "longitude")

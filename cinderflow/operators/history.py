@@ -10,27 +10,47 @@ from ..functions.common import half_up
 from .spatial import as_right, within
 
 
+def first_days(dated: DataFrame, radius_m: float) -> DataFrame:
+    """(latitude, longitude, own, several, others): of each place with detections its first day, whether more than one id was seen on that
+    day, and the first day of all other places within `radius_m`. Places meet here, not detections: a place that burns for years is one
+    row, whatever its age."""
+    days = dated.where("day is not null").groupBy("latitude", "longitude", "day").agg((F.min("id") != F.max("id")).alias("several"))
+    number = F.unix_date("day").cast("long") * 2 + F.col("several").cast("long")  # orders by day; a long, whose minimum needs no sorting
+    places = days.groupBy("latitude", "longitude").agg(F.min(number).alias("first")).select("latitude", "longitude", F.date_from_unix_date(F.floor(F.col("first") / 2).cast("int")).alias("own"), (F.col("first") % 2 != 0).alias("several"))
+    elsewhere = (F.col("latitude") != F.col("r_latitude")) | (F.col("longitude") != F.col("r_longitude"))
+    near = within(places, as_right(places, "own"), radius_m, elsewhere)
+    return places.join(near.groupBy("latitude", "longitude").agg(F.min("r_own").alias("others")), ["latitude", "longitude"], "left")
+
+
 def recurrence(rows: DataFrame, config: Recurrence = Recurrence()) -> DataFrame:
     """For every hotspot the earlier detections within `radius_m`: counts over the short and the long window, recurrence
     flag, frequency and persistence scores, first date and pattern. Rows without a valid date have no history.
 
-    A cell join with the pairs summed at once by id; what moves after the join is one partial row an id and task.
+    A join on cell and stretch of days, so that no detection older than the long window meets another, with the pairs summed at once by id;
+    the first date, which has no window, comes from the places (`first_days`). Ids are taken to be those of single detections.
     """
     dated = rows.select("id", "latitude", "longitude", "frp", F.substring("acq_date", 1, 10).try_cast("date").alias("day"))
+    stretch = F.floor(F.unix_date("day") / (config.long_days + 1)).cast("long")  # a detection counts for this stretch of days and the next
     earlier = as_right(dated.where("day is not null"), "id", "frp", "day")
-    near = within(dated, earlier, config.radius_m, (F.col("r_id") != F.col("id")) & (F.col("r_day") <= F.col("day")))
+    earlier = earlier.withColumn("__days", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(F.unix_date("r_day") / (config.long_days + 1)).cast("long") + k)))
     age = F.datediff("day", "r_day")
-    short, long = age <= config.short_days, age <= config.long_days
+    recent = (F.col("r_id") != F.col("id")) & (F.col("r_day") <= F.col("day")) & (age <= config.long_days)
+    near = within(dated.withColumn("__days", stretch), earlier, config.radius_m, recent, on=("__days",))
+    short = age <= config.short_days
     cents = F.floor(F.col("r_frp") * 100 + 0.5).cast("long")
+    # the days of the short window as bits, where they fit
+    days = F.bit_count(F.bit_or(F.when(short, F.expr("shiftleft(1L, datediff(day, r_day))")))).cast("long") if config.short_days <= 62 else F.count_distinct(F.when(short, F.col("r_day")))
     sums = near.groupBy("id").agg(
         F.count_if(short).alias("n30"),
-        F.count_if(long).alias("n90"),
-        F.count_distinct(F.when(short, F.col("r_day"))).alias("days30"),
-        F.min("r_day").alias("first_day"),
+        F.count("*").alias("n90"),
+        F.coalesce(days, F.lit(0)).alias("days30"),
         F.max("r_day").alias("last_day"),
         (F.sum(F.when(short, cents)) / F.count_if(short) / 100.0).alias("mean30"),
     )
-    found = dated.select("id", "frp").join(sums, "id", "left").na.fill(0, ["n30", "n90", "days30"])
+    own = F.when((F.col("own") < F.col("day")) | ((F.col("own") == F.col("day")) & F.col("several")), F.col("own"))
+    first = F.least(own, F.when(F.col("others") <= F.col("day"), F.col("others")))
+    dated = dated.join(first_days(dated, config.radius_m), ["latitude", "longitude"], "left").select("id", "frp", first.alias("first_day"))
+    found = dated.join(sums, "id", "left").na.fill(0, ["n30", "n90", "days30"])
     n30, n90 = F.col("n30"), F.col("n90")
     mean, span = F.coalesce("mean30", F.lit(0.0)), F.datediff("last_day", "first_day")
     pattern = (

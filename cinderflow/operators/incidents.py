@@ -30,39 +30,32 @@ def incompatible(a: Column, b: Column) -> Column:
 
 
 def edges(hotspots: DataFrame, config: Incidents = Incidents()) -> DataFrame:
-    """(a, b), a < b, of proximate detections: near in place and time, or of one given cluster within its envelope."""
+    """(a, b), a < b, of proximate detections: near in place and time, or of one given cluster within its envelope.
+
+    Cells have three parts, band, cell and stretch of time as long as the window: a later detection looks for earlier ones into its own
+    stretch and the one before. Those of one cluster, whatever their times, meet by cluster and cell instead."""
     c = F.col
-    rows = hotspots.select("id", "latitude", "longitude", detection_time().alias("at"), "source_type", "cluster_id")
-    km = config.distance_km * 1000
-    hours = F.abs(F.unix_timestamp("at") - F.unix_timestamp("r_at")) / 3600.0
-    right = as_right(rows, "id", "at", "source_type")
-    near = within(rows, right, km, (c("id") < c("r_id")) & (hours <= config.window_hours))
+    rows = hotspots.select("id", "latitude", "longitude", F.unix_timestamp(detection_time()).alias("at"), "source_type", "cluster_id")
+    seconds = int(config.window_hours * 3600)
+    timed = rows.where("at is not null").withColumn("__span", F.floor(c("at") / seconds))
+    later = as_right(timed, "id", "at", "source_type").withColumn("__span", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.floor(c("r_at") / seconds) - k)))
+    order = F.struct("at", "id") < F.struct(c("r_at").alias("at"), c("r_id").alias("id"))
+    near = within(timed, later, config.distance_km * 1000, order & (c("r_at") - c("at") <= config.window_hours * 3600), on=("__span",))
     near = near.where(~(incompatible(c("source_type"), c("r_source_type")) & (c("distance_m") > config.incompatible_km * 1000)))
     envelope = max(2.5 * config.distance_km, config.envelope_km) * 1000
     tagged = rows.where("cluster_id is not null")
-    same = within(tagged, as_right(tagged, "id", "cluster_id"), envelope, (c("id") < c("r_id")) & (c("cluster_id") == c("r_cluster_id")))
-    return near.select(c("id").alias("a"), c("r_id").alias("b")).unionByName(same.select(c("id").alias("a"), c("r_id").alias("b"))).distinct()
-
+    same = within(tagged, as_right(tagged, "id", "cluster_id").withColumnRenamed("r_cluster_id", "cluster_id"), envelope, c("id") < c("r_id"), on=("cluster_id",))
+    both = near.select("id", "r_id").unionByName(same.select("id", "r_id")).where("id <> r_id")
+    return both.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
 
 
-def greedy(ids: list[str], neighbours: dict[str, set[str]]) -> dict[str, str]:
-    """id -> seed of its group. Seeds come in the given order; one pass over the later ids lets those join that are near
-    any member so far; who was passed over isn't asked again."""
-    group: dict[str, str] = {}
-    for i, seed in enumerate(ids):
-        if seed in group:
-            continue
-        group[seed] = seed
-        reach = set(neighbours.get(seed, ()))
-        for other in ids[i + 1 :]:
-            if other not in group and other in reach:
-                group[other] = seed
-                reach |= neighbours.get(other, set())
-    return group
+#: Rounds of `first_seeds`; what a node knows reaches twice as far in each, so 40 do for chains of 2**40 detections.
+ROUNDS = 40
 
 
 def first_seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, seed) of each node with an edge: what `greedy` gives over nodes (id, key) in the order of their keys.
+    """(id, seed) of each node with an edge, for nodes (id, key): seeds are taken in the order of their keys, and one pass over the
+    later nodes lets those join that are near any member so far.
 
     Seeds are the nodes without a neighbour before them, and a node's group is that of the first node from which edges
     lead down to it. Every round passes the first known along each edge, then takes over what that one knows.
@@ -73,7 +66,7 @@ def first_seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     down = staged(keyed.select(F.when(before, c("a")).otherwise(c("b")).alias("above"), F.when(before, c("b")).otherwise(c("a")).alias("below")), "incident-edges")
     ends = down.select(c("above").alias("id")).unionByName(down.select(c("below").alias("id"))).distinct()
     now, seen = staged(nodes.join(ends, "id").select("id", c("key").alias("top")), "incident-seeds"), None
-    while True:
+    for _ in range(ROUNDS):
         passed = down.join(now, c("above") == c("id")).groupBy("below").agg(F.min("top").alias("top")).select(c("below").alias("id"), "top")
         after = staged(now.unionByName(passed).groupBy("id").agg(F.min("top").alias("top")), "incident-seeds")
         known = after.select(c("id").alias("at"), c("top").alias("further"))
@@ -82,6 +75,7 @@ def first_seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         if new == seen:
             return now.select("id", c("top.id").alias("seed"))
         seen = new
+    raise RuntimeError(f"groups not settled after {ROUNDS} rounds")
 
 
 def clusters(hotspots: DataFrame, config: Incidents = Incidents()) -> DataFrame:

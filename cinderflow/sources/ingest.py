@@ -122,7 +122,8 @@ def parsed(raw: DataFrame, run_date: str, keep: tuple[str, ...] = (), sequence:
         "updated": _first(raw, "last_updated"),
     }
     more = (sequence,) if sequence and sequence not in keep else ()
-    typed = raw.select(*(F.col(c) for c in keep + more), *(v.alias(f"__{k}") for k, v in read.items()))
+    # a generator of one row: a filter on what is parsed isn't pushed below it, where every row would be parsed again
+    typed = raw.select(*(F.col(c) for c in keep + more), F.inline(F.array(F.struct(*(v.alias(f"__{k}") for k, v in read.items())))))
     lat, lon, bright, frp, name, time, date, given_score, given_level, source = (F.col(f"__{k}") for k in ("lat", "lon", "bright", "power", "name", "time", "date", "given_score", "given_level", "source"))
     instrument = F.coalesce("__own_instrument", F.when(name.isin("Terra", "Aqua"), "MODIS").otherwise("VIIRS"))
     score, level, anomaly = baseline_risk(frp, bright)

@@ -193,9 +193,25 @@ def test_incidents(spark):
     assert incidents.aggregated(spots(spark, two).limit(0)).count() == 0
 
 
+def greedy(ids, neighbours):
+    """id -> seed of its group, by one global fold: seeds come in the given order; one pass over the later ids lets those join
+    that are near any member so far; who was passed over isn't asked again."""
+    group = {}
+    for i, seed in enumerate(ids):
+        if seed in group:
+            continue
+        group[seed] = seed
+        reach = set(neighbours.get(seed, ()))
+        for other in ids[i + 1 :]:
+            if other not in group and other in reach:
+                group[other] = seed
+                reach |= neighbours.get(other, set())
+    return group
+
+
 def test_greedy_is_not_components():
     near = {"A": {"C"}, "C": {"A", "B"}, "B": {"C"}}
-    assert incidents.greedy(["A", "B", "C"], near) == {"A": "A", "C": "A", "B": "B"}  # B was passed over before C joined
+    assert greedy(["A", "B", "C"], near) == {"A": "A", "C": "A", "B": "B"}  # B was passed over before C joined
 
 
 def test_clusters_equal_one_global_fold(spark):
@@ -206,7 +222,7 @@ def test_clusters_equal_one_global_fold(spark):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     order = [r.id for r in rows.orderBy(F.desc("risk_score"), F.desc("frp"), "id").collect()]
-    assert {r.id: r.seed for r in incidents.clusters(rows).collect()} == incidents.greedy(order, near)
+    assert {r.id: r.seed for r in incidents.clusters(rows).collect()} == greedy(order, near)
 
 
 def test_clusters_hold_no_component_in_one_place(spark):
@@ -221,7 +237,7 @@ def test_clusters_hold_no_component_in_one_place(spark):
         near.setdefault(r.b, set()).add(r.a)
     order = [r.id for r in rows.orderBy(F.desc("risk_score"), F.desc("frp"), "id").collect()]
     found = incidents.clusters(rows)
-    assert {r.id: r.seed for r in found.collect()} == incidents.greedy(order, near)
+    assert {r.id: r.seed for r in found.collect()} == greedy(order, near)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "collect_set" not in plan
 
