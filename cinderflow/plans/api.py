@@ -12,23 +12,20 @@ from ..operators.filters import HotspotFilter, page
 from ..sources import ingest
 
 
+KEYS = {"hotspots": "id", "alerts": "id", "details": "id", "meta": "key"}
+
+
 class Service:
-    """Tables hotspots, alerts, details and meta below one folder."""
+    """Tables hotspots, alerts, details and meta in one store."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.store = spark, store.Store(spark, folder)
 
     def _table(self, name: str) -> DataFrame:
-        return store.snapshot(self.spark, f"{self.folder}/{name}")
+        return self.store.read(name)
 
     def _has(self, name: str) -> bool:
-        try:
-            self._table(name)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return False
-        return True
+        return self.store.has(name)
 
     def hotspots(self, filters: HotspotFilter = HotspotFilter(), number: int = 1, size: int = 50) -> tuple[DataFrame, DataFrame]:
         """A page, and one row with the number of all matches and the data mode."""
@@ -58,41 +55,50 @@ class Service:
         return alerts.feed(kept, severity, unread_only), alerts.unread(kept)
 
     def acknowledge(self, alert: str) -> bool:
-        rows = self._table("alerts")
-        if rows.where(F.col("id") == alert).isEmpty():
+        """Rewrites the bucket of that alert alone."""
+        mine = self._table("alerts").where(F.col("id") == alert)
+        if mine.isEmpty():
             return False
-        store.replace_snapshot(alerts.acknowledged(rows, alert), f"{self.folder}/alerts")
+        self.store.commit(KEYS, {"alerts": alerts.acknowledged(mine, alert).withColumn("batch_seq", F.lit(0))})
         return True
 
     def generate_alerts(self) -> int:
-        """Makes the alerts of all hotspots, folds those of one event, and writes them, the gravest first."""
+        """Makes the alerts of all hotspots, folds those of one event, and writes them; how many."""
         made = alerts.from_hotspots(self._table("hotspots")).withColumn("seq", F.lit(0).cast("long"))
-        made = alerts.feed(alerts.deduplicated(made, "seq"))
-        return store.replace_snapshot(made, f"{self.folder}/alerts")
+        self.store.commit(KEYS, wholes={"alerts": alerts.deduplicated(made, "seq")})
+        return self._table("alerts").count()
 
     def refresh(self, raw_sources: list[tuple[DataFrame | None, str, str]], run_date: str, now: str) -> DataFrame:
-        """Takes the first source that has rows (live, cache, demo), normalizes, upserts and notes the sync. One row:
-        status, message, ingested, seconds. The same feed twice leaves the same rows."""
+        """Takes the first source that has rows (live, cache, demo), normalizes, upserts and notes the sync, in one commit. One row:
+        status, message, ingested, seconds. The same feed twice leaves the same rows. If anything fails on the way, the last source, the
+        sample, is loaded instead; if that fails too, the store is as it was and the status is error."""
         began = time.perf_counter()
-        raw, mode, message = ingest.fallback(raw_sources)
-        ingested = 0
-        if raw is not None:
-            new = ingest.normalized(raw.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("data_mode", "batch_seq"))
-            ingested = new.select("id").distinct().count()
-            old = self._table("hotspots") if self._has("hotspots") else new.drop("batch_seq").limit(0)
-            store.replace_snapshot(store.upserted(old, new), f"{self.folder}/hotspots")
-            entries = self.spark.createDataFrame([("data_mode", mode, 1), ("last_sync", now, 1)], "key string, value string, seq long")
-            if self._has("meta"):
-                entries = entries.unionByName(self._table("meta").withColumn("seq", F.lit(0).cast("long")))
-            store.replace_snapshot(store.latest_values(entries), f"{self.folder}/meta")
-        status = "success" if mode == "live" else "fallback_sample" if raw is not None else "empty"
+        try:
+            mode, message, ingested = self._sync(raw_sources, run_date, now)
+        except Exception as problem:  # whatever a feed has in store for us
+            try:
+                mode, message, ingested = self._sync(raw_sources[-1:], run_date, now)
+                mode, message = "demo", f"sample reloaded after {type(problem).__name__}"
+            except Exception as second:
+                mode, message, ingested = "error", f"{type(problem).__name__}, then {type(second).__name__}", 0
+        status = {"live": "success", "none": "empty", "error": "error"}.get(mode, "fallback_sample")
         return self.spark.createDataFrame([(status, message, ingested, round(time.perf_counter() - began, 3))], "status string, message string, ingested long, seconds double")
 
+    def _sync(self, raw_sources: list[tuple[DataFrame | None, str, str]], run_date: str, now: str) -> tuple[str, str, int]:
+        raw, mode, message = ingest.fallback(raw_sources)
+        if raw is None:
+            return mode, message, 0
+        new = ingest.normalized(raw.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("data_mode", "batch_seq"))
+        ingested = new.select("id").distinct().count()
+        meta = self.spark.createDataFrame([("data_mode", mode, 1), ("last_sync", now, 1)], "key string, value string, batch_seq long")
+        self.store.commit(KEYS, {"hotspots": new, "meta": meta})
+        return mode, message, ingested
+
     def clear(self) -> int:
         """Empties the hotspots; the number that there were."""
         rows = self._table("hotspots")
         n = rows.count()
-        store.replace_snapshot(store.emptied(rows), f"{self.folder}/hotspots")
+        self.store.commit(KEYS, wholes={"hotspots": store.emptied(rows)})
         return n
 
     def health(self) -> DataFrame:

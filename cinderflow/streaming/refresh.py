@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.store import replace_snapshot, snapshot, upserted
+from ..operators.store import Store
 from ..plans.lineage import work_path
 from ..sources.ingest import normalized
 
@@ -71,19 +71,13 @@ def _run(rows: DataFrame, mode: str) -> DataFrame:
 
 
 def upsert_each_batch(raw: DataFrame, path: str, run_date: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the snapshot at `path` current. Of rows of one id in a batch the last read wins. A batch that is run again after
-    a failure gives the same rows: the upsert depends on ids and on the order of the batch's files alone."""
+    """Keeps table hotspots of the store at `path` current, rewriting only the buckets that a batch touches. Of rows of one id in a batch the
+    last read wins. A batch that is run again after a failure gives the same rows: the upsert depends on ids and on the order of the
+    batch's files alone."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = normalized(batch.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("batch_seq",))
-        spark = batch.sparkSession
-        try:
-            current = snapshot(spark, path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            current = rows.drop("batch_seq").limit(0)
-        replace_snapshot(upserted(current, rows), path)
+        Store(batch.sparkSession, path).commit({"hotspots": "id"}, {"hotspots": rows})
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -31,7 +31,13 @@ def test_service(spark, tmp_path):
     one = s.detail(rows.first().id).first()
     assert one.land_cover == "unclassified_terrain" and one.timeline[0].type == "detection"
     assert s.detail("nobody").count() == 0
-    assert s.clear() == 3 and s.hotspots()[1].first().total == 0
+    broken = raw(spark).withColumn("frp", F.raise_error(F.lit("broken feed")).cast("string"))
+    sample = (raw(spark, latitude="37"), "demo", "sample")
+    reloaded = s.refresh([(broken, "live", ""), sample], "2026-10-02", "2026-10-04T00:00:00Z").first()
+    assert (reloaded.status, reloaded.ingested) == ("fallback_sample", 1) and "reloaded" in reloaded.message and s.health().first().data_mode == "demo"
+    failed = s.refresh([(broken, "live", "")], "2026-10-02", "2026-10-05T00:00:00Z").first()
+    assert failed.status == "error" and s.health().first().last_sync == "2026-10-04T00:00:00Z"  # nothing half done
+    assert s.clear() == 4 and s.hotspots()[1].first().total == 0
 
 
 def test_context_names(spark):

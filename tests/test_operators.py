@@ -215,7 +215,7 @@ def test_greedy_is_not_components():
 
 
 def test_clusters_equal_one_global_fold(spark):
-    rows = queries.T.hotspots(spark, DATA).limit(300)
+    rows = queries.T.hotspots(spark, DATA).orderBy("id").limit(300)
     edges = [(r.a, r.b) for r in incidents.edges(rows).collect()]
     near: dict = {}
     for a, b in edges:
@@ -287,14 +287,54 @@ def test_page_limits(spark):
 
 
 def test_store(spark, tmp_path):
-    old = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, frp double")
+    keys = {"t": "id", "m": "key"}
+    box = store.Store(spark, str(tmp_path), 4)
+    assert not box.has("t")
+    old = spark.createDataFrame([("a", 1.0, 0), ("b", 2.0, 0)], "id string, frp double, batch_seq long")
     new = spark.createDataFrame([("b", 3.0, 1), ("b", 4.0, 2), ("c", 5.0, 1)], "id string, frp double, batch_seq long")
-    path = str(tmp_path / "t")
-    assert store.replace_snapshot(store.upserted(old, new), path) == 3
-    first = sorted(map(tuple, store.snapshot(spark, path).collect()))
-    assert first == [("a", 1.0), ("b", 4.0), ("c", 5.0)]
-    store.replace_snapshot(store.upserted(store.snapshot(spark, path), new), path)
-    assert sorted(map(tuple, store.snapshot(spark, path).collect())) == first
+    for rows in (old, new, new):
+        box.commit(keys, {"t": rows})
+    assert sorted(map(tuple, box.read("t").collect())) == [("a", 1.0), ("b", 4.0), ("c", 5.0)]
+    box.commit(keys, wholes={"t": box.read("t").limit(0)})
+    assert box.read("t").count() == 0 and box.read("t").columns == ["id", "frp"]
+
+
+def test_store_leaves_untouched_buckets(spark, tmp_path):
+    keys = {"t": "id"}
+    box = store.Store(spark, str(tmp_path), 8)
+    box.commit(keys, {"t": spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v"), F.lit(0).alias("batch_seq"))})
+    before = box.state()[1]["t"]
+    box.commit(keys, {"t": spark.createDataFrame([("7", 1, 1)], "id string, v int, batch_seq long")})
+    after = box.state()[1]["t"]
+    assert sum(before[b] != after[b] for b in range(8)) == 1 and box.read("t").agg(F.sum("v")).first()[0] == 1 and box.read("t").count() == 200
+    number = box.compact()
+    assert box.state() == (number, {"t": after}) and len(box._log()) == 1
+    gone = box.vacuum()
+    assert any(g.startswith("t/") for g in gone) and not set(gone) & set(after.values()) and box.read("t").count() == 200
+
+
+def test_a_commit_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A writer that stops before its log file, or within it, leaves both tables as they were; of two writers one wins."""
+    keys = {"t": "id", "m": "key"}
+    box = store.Store(spark, str(tmp_path), 2)
+    rows = lambda v: {"t": spark.createDataFrame([("a", v, v)], "id string, v int, batch_seq long"), "m": spark.createDataFrame([("k", v, v)], "key string, v int, batch_seq long")}
+    seen = lambda: (box.read("t").first().v, box.read("m").first().v)
+    box.commit(keys, rows(1))
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_publish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            box.commit(keys, rows(2))
+    assert seen() == (1, 1)
+    (tmp_path / "log" / f"{2:020d}.json").write_text('{"tables": {"t"')  # cut off
+    assert seen() == (1, 1) and box.state()[0] == 2
+    assert box.commit(keys, rows(3)) == 3 and seen() == (3, 3)
+    other = store.Store(spark, str(tmp_path), 2)
+    now = other.state()
+    box.commit(keys, rows(4))
+    monkeypatch.setattr(other, "state", lambda: now)
+    with pytest.raises(store.Conflict):
+        other.commit(keys, rows(5))
+    assert seen() == (4, 4)
 
 
 def test_weather_without_data_has_nulls_inside_and_zeros_outside(spark):
@@ -310,18 +350,7 @@ def test_stream_upsert(spark, tmp_path):
     raw(spark, frp="99").write.mode("append").parquet(str(feed))
     stream = refresh.read_stream(spark, str(feed), raw(spark).schema)
     refresh.upsert_each_batch(stream, str(tmp_path / "out"), "2026-10-02", str(tmp_path / "state")).awaitTermination()
-    assert store.snapshot(spark, str(tmp_path / "out")).count() == 1
-
-
-def test_a_crash_between_rows_and_pointer_loses_nothing(spark, tmp_path):
-    from cinderflow.operators import store
-
-    path = str(tmp_path / "table")
-    store.replace_snapshot(spark.createDataFrame([(1, "a")], "id long, v string"), path)
-    spark.createDataFrame([(2, "b")], "id long, v string").write.parquet(f"{path}/v{10**20 - 1}")  # written, but the writer stopped before CURRENT
-    assert [tuple(r) for r in store.snapshot(spark, path).collect()] == [(1, "a")]
-    store.replace_snapshot(spark.createDataFrame([(3, "c")], "id long, v string"), path)
-    assert [tuple(r) for r in store.snapshot(spark, path).collect()] == [(3, "c")]
+    assert store.Store(spark, str(tmp_path / "out")).read("hotspots").count() == 1
 
 
 def test_upsert_of_equal_order_depends_on_rows_alone(spark):
