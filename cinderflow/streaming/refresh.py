@@ -38,7 +38,7 @@ def window_counts(rows: DataFrame, time: str, width: str, *keys: str) -> DataFra
 
 def sessions(rows: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
     """Sessions by keys: rows less than `gap` apart. A session comes out once the watermark has passed its end, and then doesn't
-    change; a row later than that is dropped, one that comes in time may join two sessions."""
+    change; a row that is late by the watermark of the batch before is dropped, one that comes in time may join two sessions."""
     timed = rows.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull()).withWatermark(time, LATENESS)
     sums = timed.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("cents"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
