@@ -122,8 +122,8 @@ def test_sessions_join_and_late_rows_go(spark, tmp_path):
 
 def test_first_seen_within_the_watermark(spark, tmp_path):
     at = lambda hours: BEGIN + timedelta(hours=hours)
-    for k, part in enumerate([[("a", at(0))], [("a", at(1)), ("b", at(2))], [("c", at(200))], [("a", at(201))]]):
+    for k, part in enumerate([[("a", at(0))], [("a", at(1)), ("b", at(2))], [("c", at(200))], [("d", at(201))], [("a", at(202))]]):
         spark.createDataFrame(part, "id string, event_time timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:04d}"))
     stream = spark.readStream.schema("id string, event_time timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     got = sorted(map(tuple, refresh.appended(refresh.first_seen(stream)).select("id", F.col("event_time")).collect()))
-    assert got == [("a", at(0)), ("a", at(201)), ("b", at(2)), ("c", at(200))]
+    assert got == [("a", at(0)), ("a", at(202)), ("b", at(2)), ("c", at(200)), ("d", at(201))]
