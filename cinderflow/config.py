@@ -24,18 +24,20 @@ SOURCES = {
 }
 # Substrings of a land cover that make it one of four kinds.
 COVER_WORDS = {
-    "vegetation": "forest woodland trees chaparral shrub bush grass grassland jungle taiga savanna scrub",
-    "industrial": "industrial refinery factory plant manufacturing chemical smelter foundry stack quarry mine power_plant",
-    "agricultural": "agri crop cropland farmland field stubble paddy pasture",
-    "urban": "urban residential commercial city town building",
+    "vegetation": ("forest", "woodland", "trees", "chaparral", "shrub", "bush", "grass", "grassland", "jungle", "taiga", "savanna", "scrub"),
+    "industrial": ("industrial", "refinery", "factory", "plant", "manufacturing", "chemical", "smelter", "foundry", "stack", "quarry", "mine", "power_plant"),
+    "agricultural": ("agri", "crop", "cropland", "farmland", "field", "stubble", "paddy", "pasture"),
+    "urban": ("urban", "residential", "commercial", "city", "town", "building"),
 }
 LEVELS = ("low", "medium", "high", "critical")
-COMPASS = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
+# Compass points from north, clockwise.
+COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 # Source pairs that don't join one incident beyond 300 m.
 INCOMPATIBLE = (("volcanic", "agricultural"), ("volcanic", "urban"), ("industrial", "wildfire"))
 EARTH_RADIUS_M = 6_371_000.0
 
 
+# All figures of the dataclasses below.
 @dataclass(frozen=True)
 class Recurrence:
     radius_m: float = 1000.0

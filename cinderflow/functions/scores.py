@@ -45,7 +45,7 @@ def proximity(distance: Column, most: float, near: float) -> Column:
 
 
 def cover_flag(land_cover: Column, kind: str) -> Column:
-    return F.coalesce(F.lower(F.trim(land_cover)).rlike("|".join(COVER_WORDS[kind].split())), F.lit(False))
+    return F.coalesce(F.lower(F.trim(land_cover)).rlike("|".join(COVER_WORDS[kind])), F.lit(False))
 
 
 def weather_score(temp: Column, humidity: Column, wind: Column, rain: Column, fwi: Column) -> Column:

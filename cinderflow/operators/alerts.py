@@ -108,6 +108,24 @@ def deduplicated(alerts: DataFrame, order: str, salts: int = SALTS) -> DataFrame
     return whole.select(*(F.col("known").alias(c) if c == "is_acknowledged" else c if c in keys else F.col(f"best.item.{c}").alias(c) for c in alerts.columns))
 
 
+def priority(prefix: str = "") -> Column:
+    """What alerts are compared by: severity, risk, time, id; the greater struct is the more urgent alert. (A list breaks ties of all but
+    the id by the lesser id instead: `feed`.)"""
+    c = lambda name: F.col(f"{prefix}{name}")
+    when = F.coalesce(F.unix_timestamp(F.try_to_timestamp(c("timestamp"))), F.lit(0))
+    return F.struct(severity_rank(c("severity")).alias("severity"), c("risk_score").alias("risk"), when.alias("at"), c("id").alias("id"))
+
+
+def compared(a: str, b: str) -> Column:
+    """1, -1 or 0: whether the alert in the columns that begin with `a` goes before that of `b`, after it, or is the same."""
+    return F.when(priority(a) > priority(b), 1).when(priority(a) < priority(b), -1).otherwise(0)
+
+
+def incident_feed(incidents: DataFrame, hotspots: DataFrame, config: Alerts = Alerts()) -> DataFrame:
+    """The alerts of incidents, those of one hotspot and severity folded, the gravest first."""
+    return feed(deduplicated(from_incidents(incidents, hotspots, config), "id"))
+
+
 def feed(alerts: DataFrame, severity_is: str | None = None, unread_only: bool = False, limit: int | None = None) -> DataFrame:
     """Filtered after deduplication, the gravest first: severity, risk, time, id."""
     if severity_is:

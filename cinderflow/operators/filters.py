@@ -26,10 +26,13 @@ class HotspotFilter:
     cluster_id: str | None = None
     text: str | None = None
     region: str | None = None
+    fold_case: bool = False  # compare levels, sources and confidences without regard to case
 
     def apply(self, rows: DataFrame) -> DataFrame:
         """All given conditions. Each is a plain predicate, so those on stored columns reach the Parquet scan."""
-        tests: list[Column] = [F.col(c) == v for c in ("risk_level", "source_type", "confidence", "is_anomaly", "cluster_id") if (v := getattr(self, c)) is not None]
+        tests: list[Column] = [F.col(c) == v for c in ("is_anomaly", "cluster_id") if (v := getattr(self, c)) is not None]
+        folded = [(c, v) for c in ("risk_level", "source_type", "confidence") if (v := getattr(self, c)) is not None]
+        tests += [F.lower(c) == v.lower() if self.fold_case else F.col(c) == v for c, v in folded]
         if self.min_frp is not None:
             tests.append(F.col("frp") >= self.min_frp)
         if self.text:
@@ -63,3 +66,12 @@ def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     if number < 1 or not 1 <= size <= 500:
         raise ValueError("page numbers start at 1 and a page has 1 to 500 rows")
     return rows.orderBy(F.desc("frp"), F.desc("acq_date"), F.desc("acq_time"), "id").offset((number - 1) * size).limit(size)
+
+
+FEED_ORDERS = {"risk": ("risk_score",), "frp": ("frp",), "time": ("acq_date", "acq_time")}
+
+
+def feed(rows: DataFrame, by: str = "risk", limit: int | None = None) -> DataFrame:
+    """The client's list: by risk, frp or time, descending, ties by id."""
+    ordered = rows.orderBy(*(F.desc(c) for c in FEED_ORDERS[by]), "id")
+    return ordered.limit(limit) if limit else ordered

@@ -269,3 +269,18 @@ g AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, count(*) AS
 SELECT strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, user_id, n, cents FROM g WHERE b <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY FROM events)"""
 ORACLES["stream_first_seen"] = "SELECT DISTINCT 'S' || user_id::varchar AS id FROM events"
 ORACLES["stream_alerts"] = f"WITH {ALERTS.replace('ORDER BY seq', 'ORDER BY timestamp, seq')} SELECT hotspot_id, severity, id, risk_score, is_acknowledged, seq FROM de"
+
+SERIES = """p AS (SELECT s_suppkey AS k, unnest(range(s_suppkey % 24 + 1)) AS h FROM supplier WHERE s_suppkey % 17 <> 0)"""
+ORACLES["weather_hourly"] = f"""WITH {SERIES} SELECT k AS site, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(h), '%Y-%m-%d %H:%M') AS at, CASE WHEN (h + k) % 5 <> 0 THEN (h + k % 30)::double END AS temperature, least(greatest((h * 7 + k) % 130 - 10, 0), 100)::double AS humidity,
+ CASE WHEN h < 8 AND (h + k) % 7 <> 0 THEN greatest((h + k) % 40 - 2, 0)::double END AS wind, CASE WHEN k % 3 <> 0 THEN (h * 50 % 720 % 360)::double END AS direction FROM p WHERE h % 13 <> 12"""
+ORACLES["weather_current"] = "SELECT s_suppkey AS site, (s_suppkey % 40)::double AS temperature, CASE WHEN s_suppkey % 5 <> 0 THEN least(s_suppkey % 120, 100) ELSE 50 END::double AS humidity, greatest(s_suppkey % 33 - 3, 0)::double AS wind, (s_suppkey * 37 % 720 % 360)::double AS direction, 0.0::double AS rain FROM supplier WHERE s_suppkey % 17 <> 0 AND s_suppkey % 4 <> 0"
+ORACLES["zip_contexts"] = f"WITH {FEATURES}, l AS (SELECT s_suppkey AS site, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier), r AS (SELECT fid, category, row_number() OVER (ORDER BY fid) AS n FROM f) SELECT coalesce(l.n, r.n) AS sequence, site, fid AS feature, category FROM l FULL JOIN r ON l.n = r.n"
+ORACLES["source_counts"] = f"WITH {H} SELECT source_type, count(*) AS n FROM h GROUP BY 1"
+ORACLES["feeds"] = " UNION ALL ".join(f"(WITH {H} SELECT '{by}' AS feed, id FROM h WHERE risk_level = 'high' AND source_type = 'industrial' ORDER BY {order}, id LIMIT 40)" for by, order in (("risk", "risk_score DESC"), ("frp", "frp DESC"), ("time", "acq_date DESC, acq_time DESC")))
+# `incident_summary` with the clusters in place of the sites
+SUMMARY_TAIL = ORACLES["incident_summary"].split("SELECT user_id, id, source_type", 1)[1].replace("hs", "cs").replace("user_id", "top")
+ORACLES["incident_table"] = f'''WITH RECURSIVE {CLUSTERS}, cs AS (SELECT rk.* EXCLUDE (user_id, "at"), "at" AS seen, top FROM rk JOIN cl USING (k)), p AS (SELECT top, id, source_type{SUMMARY_TAIL}'''
+ORACLES["incident_feed"] = f"""WITH RECURSIVE {CLUSTERS}, pri AS (SELECT rk.*, max(rk."at") OVER (PARTITION BY top) AS last_at, top FROM cl JOIN rk USING (k) QUALIFY row_number() OVER (PARTITION BY top ORDER BY risk_score DESC, frp DESC, rk."at" DESC, ascii(id), id) = 1)
+SELECT 'ALT-' || id AS id, id AS hotspot_id, CASE WHEN risk_level = 'critical' OR risk_score >= 75 THEN 'critical' ELSE 'warning' END AS severity, {up('risk_score', 1)} AS risk_score, strftime(last_at, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM pri WHERE risk_level IN ('critical', 'high') OR risk_score >= 50"""
+ORACLES["alert_order"] = f"""WITH {ALERTS}, pr AS (SELECT *, {{'s': CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END, 'r': risk_score, 't': timestamp, 'id': id}} AS p FROM al), mx AS (SELECT hotspot_id, max(p) AS m FROM pr GROUP BY 1)
+SELECT id, CASE WHEN p > m THEN 1 WHEN p < m THEN -1 ELSE 0 END::bigint AS "order" FROM pr JOIN mx USING (hotspot_id)"""

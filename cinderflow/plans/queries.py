@@ -11,9 +11,9 @@ from ..config import Recurrence
 from ..functions import geo, scores, text
 from ..functions.common import half_up, title_case
 from ..operators import alerts, dossier, enrich, forest, history, incidents, intelligence, spatial, store, summary
-from ..operators.filters import HotspotFilter, page
+from ..operators.filters import HotspotFilter, feed, page
 from ..operators.graph import connected_components
-from ..sources import ingest, osm
+from ..sources import ingest, osm, weather
 from ..streaming import alert_state, refresh
 from . import testdata as T
 
@@ -333,6 +333,61 @@ def stream_window_counts(spark, sf):
     return refresh.run_to_end(refresh.window_counts(events, "ts", "1 day", "event_type"))
 
 
+@query
+def weather_hourly(spark, sf):
+    return weather.hourly(T.payloads(spark, sf)).select("site", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), "temperature", "humidity", "wind", "direction")
+
+
+@query
+def weather_current(spark, sf):
+    return weather.current(T.payloads(spark, sf)).select("site", "temperature", "humidity", "wind", "direction", "rain")
+
+
+@query
+def zip_contexts(spark, sf):
+    """Suppliers' sites and customers' features side by side by position, the shorter table padded."""
+    sites = ingest.numbered(T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site")), ["site"])
+    places = ingest.numbered(T.features(spark, sf).select(F.col("id").alias("feature"), "category"), ["feature"])
+    return weather.zipped(sites, places)
+
+
+@query
+def source_counts(spark, sf):
+    """The map of sources and their counts in the key figures, one row a source."""
+    return summary.kpis(T.hotspots(spark, sf)).select(F.explode("source_counts").alias("source_type", "n"))
+
+
+@query
+def feeds(spark, sf):
+    """The first rows of the client's list in each of its orders, over matches whatever their case."""
+    rows = HotspotFilter(risk_level="HIGH", source_type="Industrial", fold_case=True).apply(T.hotspots(spark, sf))
+    parts = [feed(rows, by, 40).select(F.lit(by).alias("feed"), "id") for by in ("risk", "frp", "time")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def incident_table(spark, sf):
+    """Incidents over the clusters themselves."""
+    return incidents.aggregated(T.hotspots(spark, sf)).drop("hotspot_ids")
+
+
+@query
+def incident_feed(spark, sf):
+    """Alerts of incidents, folded."""
+    rows = T.hotspots(spark, sf)
+    return alerts.incident_feed(incidents.aggregated(rows), rows).select("id", "hotspot_id", "severity", "risk_score", "timestamp")
+
+
+@query
+def alert_order(spark, sf):
+    """Each alert of a hotspot compared with the hotspot's gravest."""
+    rows = T.alert_rows(spark, sf).select(*(F.col(c).alias(f"a_{c}") for c in ("hotspot_id", "id", "severity", "risk_score", "timestamp")))
+    top = rows.groupBy("a_hotspot_id").agg(F.max(alerts.priority("a_")).alias("p"))
+    back = {1: "info", 2: "warning", 3: "critical"}
+    top = top.select("a_hotspot_id", F.col("p.id").alias("b_id"), F.element_at(F.create_map(*[F.lit(x) for pair in back.items() for x in pair]), F.col("p.severity")).alias("b_severity"), F.col("p.risk").alias("b_risk_score"), F.date_format(F.timestamp_seconds("p.at"), "yyyy-MM-dd'T'HH:mm:ss").alias("b_timestamp"))
+    return rows.join(top, "a_hotspot_id").select(F.col("a_id").alias("id"), alerts.compared("a_", "b_").cast("long").alias("order"))
+
+
 @query
 def stream_sessions(spark, sf):
     """Sessions by site of detections less than six hours apart, as far as the watermark has closed them."""

@@ -119,3 +119,19 @@ def alerts_of(hotspots: DataFrame) -> DataFrame:
         F.concat(F.lit("ALT-"), e.cast("string")).alias("id"), F.concat(F.lit("H"), (e % 700).cast("string")).alias("hotspot_id"), F.when(e % 3 == 0, "critical").when(e % 3 == 1, "warning").otherwise("info").alias("severity"),
         "risk_score", ((e * 7) % 5 == 0).alias("is_acknowledged"), F.concat("acq_date", F.lit("T"), F.substring("acq_time", 1, 2), F.lit(":"), F.substring("acq_time", 3, 2), F.lit(":00")).alias("timestamp"), e.alias("seq"),
     )
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather payloads by supplier: an hourly series with gaps (an array that is shorter, one that is absent, values that are null or no
+    numbers), a current block, and now and then broken text."""
+    k = F.col("s_suppkey")
+    hours = F.sequence(F.lit(0), (k % 24).cast("int"))
+    each = lambda f: F.transform(hours, f)
+    times = each(lambda h: F.when(h % 13 != 12, F.concat(F.lit("2024-01-01T"), F.lpad(h.cast("string"), 2, "0"), F.lit(":00"))))
+    series = F.struct(
+        times.alias("time"), each(lambda h: F.when((h + k) % 5 != 0, (h + k % 30).cast("string"))).alias("temperature_2m"), each(lambda h: ((h * 7 + k) % 130 - 10).cast("string")).alias("relative_humidity_2m"),
+        F.slice(each(lambda h: F.when((h + k) % 7 == 0, "calm").otherwise(((h + k) % 40 - 2).cast("string"))), 1, 8).alias("wind_speed_10m"), F.when(k % 3 != 0, each(lambda h: (h * 50 % 720).cast("string"))).alias("wind_direction_10m"),
+    )
+    now = F.struct(F.when(k % 4 != 0, (k % 40).cast("string")).alias("temperature_2m"), F.when(k % 5 != 0, (k % 120).cast("string")).alias("relative_humidity_2m"), (k % 33 - 3).cast("string").alias("wind_speed_10m"), (k * 37 % 720).cast("string").alias("wind_direction_10m"))
+    text = F.when(k % 17 == 0, "<html>busy</html>").otherwise(F.to_json(F.struct(series.alias("hourly"), now.alias("current"))))
+    return table(spark, sf_dir, "supplier").select(k.alias("site"), text.alias("payload"))
