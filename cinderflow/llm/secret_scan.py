@@ -62,8 +62,10 @@ def checksum_holds(kind: str, match: re.Match) -> bool:
         except (ValueError, RecursionError):  # no JSON, or nested beyond what a header can be
             return False
     if kind == "pem":
-        body = "".join(match[0].split("-----")[2].split())
-        return len(body) % 4 == 0
+        try:
+            return bool(base64.b64decode("".join(match[0].split("-----")[2].split()), validate=True))
+        except ValueError:  # no whole bytes
+            return False
     return True
 
 

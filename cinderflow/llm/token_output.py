@@ -367,8 +367,9 @@ def document_ids(shards: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 rules, lengths, symbols = symbols_of(row)
-                doc_ids, end = np.array(row["doc_ids"], float), np.cumsum(row["doc_tokens"])  # a null is nan
-                for k in np.flatnonzero(np.isin(doc_ids, row["wanted"])).tolist():
+                known = np.array([d is not None for d in row["doc_ids"]], bool)
+                doc_ids, end = np.array([d or 0 for d in row["doc_ids"]], np.int64), np.cumsum(row["doc_tokens"])
+                for k in np.flatnonzero(known & np.isin(doc_ids, np.array(row["wanted"], np.int64))).tolist():
                     ids = decode_range(rules, lengths, symbols, row["base"], int(end[k]) - row["doc_tokens"][k], int(end[k]))
                     yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k]], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
 

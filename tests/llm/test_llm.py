@@ -96,6 +96,14 @@ def test_token_ids_by_document(spark, small, edges, monkeypatch):
     assert sorted((r.doc_id, r.ids) for r in got) == sorted((d, [*t.encode(x, add_special_tokens=False).ids, 2]) for d, x in EDGES if d in (5, 9, 11))
 
 
+def test_token_ids_of_large_doc_ids(spark):
+    """Ids beyond what a double tells apart."""
+    rows = [(2**53, "one"), (2**53 + 1, "two words"), (2**62 + 1, "three"), (2**62, "four"), (0, "nought"), (None, "no id")]
+    shards = token_output.encode_to_shards(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+    one = {d: token_output.document_ids(shards, spark.createDataFrame([(d,)], "doc_id long")).collect() for d, _ in rows if d is not None}
+    assert all([r.doc_id for r in found] == [d] for d, found in one.items()) and len({tuple(found[0].ids) for found in one.values()}) == 5
+
+
 def pair_counts(symbols, closes):
     """How often each pair occurs without overlapping itself, pairs across a document's end left out."""
     count, i = {}, 0
@@ -152,7 +160,7 @@ def test_secret_checksums():
     assert scan(f"x {deep}.eyJz.abc") == [] and scan("eyJ" * 100_000 + ".eyJz.abc") == []
     assert scan(f"npm_{body}{check}") == ["npm"] and scan(f"npm_{body}00000A") == []
     pem = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
-    assert scan(pem.format("QUJD\nREVG")) == ["pem"] and scan(pem.format("QUJDR")) == []
+    assert scan(pem.format("QUJD\nREVG")) == ["pem"] and scan(pem.format("QUJDR")) == [] and scan(pem.format("A===")) == [] and scan(pem.format("QUJ=REVG")) == []
 
 
 def test_pii(spark, small, edges):
