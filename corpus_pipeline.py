@@ -15,20 +15,30 @@ from cinderflow.llm.queries import vocabulary
 from cinderflow.llm.tables import read, staged
 
 NEAR_PERCENT = 80
+#: Bytes of text that go to a Python worker at a time: with whole texts in the rows the usual 64 MB are held by the JVM, twice, and by
+#: the worker, for each task.
+BATCH_BYTES = "8m"
+
+
+def batched(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line labelling rejects go."""
+    batched(spark)
     return line_crf.keep_good(docs, line_crf.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays."""
+    batched(spark)
     return setsketch.keep_one(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    batched(spark)
     return latent_decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +49,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts get their piece ids, and whether these decode to the text."""
+    batched(spark)
     return piece_viterbi.with_ids(docs, vocabulary("piece_bpe_32k.model"))
 
 
