@@ -284,3 +284,11 @@ ORACLES["incident_feed"] = f"""WITH RECURSIVE {CLUSTERS}, pri AS (SELECT rk.*, m
 SELECT 'ALT-' || id AS id, id AS hotspot_id, CASE WHEN risk_level = 'critical' OR risk_score >= 75 THEN 'critical' ELSE 'warning' END AS severity, {up('risk_score', 1)} AS risk_score, strftime(last_at, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM pri WHERE risk_level IN ('critical', 'high') OR risk_score >= 50"""
 ORACLES["alert_order"] = f"""WITH {ALERTS}, pr AS (SELECT *, {{'s': CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END, 'r': risk_score, 't': timestamp, 'id': id}} AS p FROM al), mx AS (SELECT hotspot_id, max(p) AS m FROM pr GROUP BY 1)
 SELECT id, CASE WHEN p > m THEN 1 WHEN p < m THEN -1 ELSE 0 END::bigint AS "order" FROM pr JOIN mx USING (hotspot_id)"""
+ORACLES["area_request"] = f"WITH {H} SELECT id, latitude, longitude, acq_date FROM h WHERE latitude BETWEEN 30.5 AND 31.5 AND longitude BETWEEN -119.99 AND -119.85 AND acq_date >= '2024-01-10'"
+ORACLES["region_features"] = f"WITH {H}, {FEATURES}, b AS (SELECT min(latitude) a, max(latitude) b, min(longitude) c, max(longitude) d FROM h), w AS (SELECT a, b, c, d, 6.0::double / 111 AS y, 6.0::double / (111.0::double * greatest(0.01::double, abs(cos(radians((a + b) / 2))))) AS x FROM b) SELECT fid AS id, category FROM f, w WHERE flat BETWEEN a - y AND b + y AND flon BETWEEN c - x AND d + x"
+ORACLES["class_margin"] = f"WITH {C} SELECT id, {up('margin', 4)} AS margin, frp_norm AS v0, brightness_norm AS v1, f_confidence AS v2, industrial_proximity AS v3, settlement_proximity AS v4, coalesce(weather_score, 0.35::double) AS v5, persistence_score AS v6, slope_factor AS v7 FROM c"
+ORACLES["source_probabilities"] = f"""WITH {C}, sp AS (SELECT id, class, has_weather, [{{'n': 'wildfire', 'x': 0.9::double * p1 + 0.1::double * p3}}, {{'n': 'industrial', 'x': 0.85::double * p2 + 0.85::double * p4}}, {{'n': 'agricultural', 'x': p3 * CASE WHEN is_agricultural THEN 0.65::double ELSE 0.2::double END}},
+ {{'n': 'prescribed_burn', 'x': p3 * CASE WHEN protected THEN 0.7::double ELSE 0.15::double END}}, {{'n': 'urban', 'x': CASE WHEN is_urban THEN p5 * 0.15::double ELSE 0.01::double END}}, {{'n': 'volcanic', 'x': 0.005::double}}, {{'n': 'unknown', 'x': 0.8::double * p5}}] AS l FROM c),
+fl AS (SELECT id, class, has_weather, unnest(l) AS e, greatest(0.001::double, l[1].x) + greatest(0.001::double, l[2].x) + greatest(0.001::double, l[3].x) + greatest(0.001::double, l[4].x) + greatest(0.001::double, l[5].x) + greatest(0.001::double, l[6].x) + greatest(0.001::double, l[7].x) AS total FROM sp)
+SELECT id, e.n AS source, {up('greatest(0.001::double, e.x) / total', 4)} AS p, CASE class WHEN 'vegetation_fire' THEN 'fire_radiative_power' WHEN 'controlled_heat_source' THEN 'land_management_status' WHEN 'unknown' THEN 'satellite_confidence' ELSE 'industrial_proximity' END AS driver,
+ CASE class WHEN 'vegetation_fire' THEN 0.35::double WHEN 'controlled_heat_source' THEN 0.35::double ELSE 0.40::double END AS driver_weight FROM fl"""

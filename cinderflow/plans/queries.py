@@ -388,6 +388,36 @@ def alert_order(spark, sf):
     return rows.join(top, "a_hotspot_id").select(F.col("a_id").alias("id"), alerts.compared("a_", "b_").cast("long").alias("order"))
 
 
+@query
+def area_request(spark, sf):
+    """A request's box and first date as predicates."""
+    return ingest.area_filter(T.hotspots(spark, sf), south=30.5, north=31.5, west=-119.99, east=-119.85, since="2024-01-10").select("id", "latitude", "longitude", "acq_date")
+
+
+@query
+def region_features(spark, sf):
+    """The features that a batch of hotspots can need."""
+    box = spatial.extent(T.hotspots(spark, sf), 6.0)
+    return spatial.region_features(T.features(spark, sf), box).select("id", "category")
+
+
+@query
+def class_margin(spark, sf):
+    """How far the most probable class is ahead, and what the model reads."""
+    rows = intelligence.classified(intelligence.features(T.scoring_input(spark, sf)))
+    v = intelligence.ml_vector()
+    return rows.select("id", half_up(F.col("margin"), 4).alias("margin"), *(v[k].alias(f"v{k}") for k in range(8)))
+
+
+@query
+def source_probabilities(spark, sf):
+    """One row for each source type of each hotspot, and what drove its class most."""
+    rows = intelligence.classified(intelligence.features(T.scoring_input(spark, sf)))
+    rows = rows.select("id", intelligence.feature_importance().alias("drivers"), F.explode(F.map_filter(intelligence.source_probabilities(), lambda k, _: ~k.startswith("class:"))).alias("source", "p"))
+    top = F.array_max(F.transform(F.map_entries("drivers"), lambda e: F.struct(e["value"].alias("w"), e["key"].alias("k"))))
+    return rows.select("id", "source", "p", top["k"].alias("driver"), top["w"].alias("driver_weight"))
+
+
 @query
 def stream_sessions(spark, sf):
     """Sessions by site of detections less than six hours apart, as far as the watermark has closed them."""

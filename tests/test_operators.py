@@ -99,6 +99,28 @@ def test_plans_have_no_nested_loop(spark):
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
 
 
+def test_a_hot_site_is_split(spark):
+    """A third of all points in one cell: its partition is dealt to several tasks, and no pair is lost or doubled."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        n = 3000
+        points = spark.range(0, n, 1, 8).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, 34.0 + F.col("id") * 1e-7).otherwise(34.0 + F.col("id") * 0.01 % 20).alias("latitude"), F.lit(-118.0).alias("longitude"))
+        right = spatial.as_right(points.where("id % 30 = 0"), "id")
+        found = spatial.within(points, right, 500.0)
+        got = sorted((r.id, r.r_id) for r in found.select("id", "r_id").collect())
+        distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("r_latitude"), F.col("r_longitude"))
+        assert got == sorted((r.id, r.r_id) for r in points.crossJoin(right).where(distance <= 500).select("id", "r_id").collect()) and len(got) > 100_000
+        counted = found.select("id", "r_id")
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_fire_weather(spark):
     f = lambda *x: one(spark, scores.fire_weather_index(*map(F.lit, map(float, x))))
     assert f(32, 12, 40, 60, 0) >= 80 and f(14, 85, 8, 12, 5) <= 20
@@ -180,6 +202,41 @@ def test_forest_flags_the_share_of_all_rows_and_every_tree_has_its_own_sample(sp
     assert forest.sub_samples(rows.limit(20), 256, 2, 42)[0].shape == (20, 3)
 
 
+def test_forest_falls_back(spark):
+    """Where a value isn't finite no forest is fitted; the fixed baseline decides."""
+    rows = [(f"n{i}", 20.0 + i, 320.0 + i, "nominal") for i in range(8)]
+    frame = intelligence.features(spark.createDataFrame([*rows, ("odd", 280.0, float("nan"), "nominal")], "id string, frp double, brightness double, confidence string"))
+    with pytest.raises(forest.Unfit):
+        forest.anomaly_forest(frame)
+    got = {r.id: (r.is_outlier, r.deviation) for r in forest.anomalies(frame).collect()}
+    assert got == {r.id: (r.is_outlier, r.deviation) for r in intelligence.anomaly_zscore(frame).collect()} and got["odd"][0]
+    assert forest.anomalies(frame.limit(0)).count() == 0
+
+
+def test_batch_of_three_takes_the_baseline_and_a_larger_one_the_forest(spark):
+    rows = [(f"n{i}", x, 320.0, "nominal") for i, x in enumerate((12.0, 22.0, 28.0))]
+    three = intelligence.batch_analyzed(spark.createDataFrame(rows, "id string, frp double, brightness double, confidence string")).collect()
+    assert len(three) == 3 and not any(r.population for r in three) and all("baseline" in r.rationale for r in three)
+    many = [(f"n{i}", 20.0 + i, 320.0 + i, "nominal") for i in range(8)] + [("odd", 280.0, 450.0, "nominal")]
+    got = {r.id: r for r in intelligence.batch_analyzed(spark.createDataFrame(many, "id string, frp double, brightness double, confidence string")).collect()}
+    assert all(r.population for r in got.values()) and got["odd"].is_outlier and got["odd"].rationale.startswith("Stands out") and got["odd"].outlier_score >= 0.65
+
+
+def test_forest_nodes_lead_every_row_to_a_leaf(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for x in (rng.random((256, 3)), np.repeat(rng.random((4, 3)), 20, 0), np.ones((9, 3)), rng.integers(0, 2, (50, 3)).astype(float)):
+        tree = forest.grow(x, 3, 42, 8)
+        inner = tree.feature >= 0
+        assert (tree.left[inner] > 0).all() and (tree.right[inner] > 0).all() and tree.size[0] == len(x)
+        assert all(tree.size[k] == tree.size[tree.left[k]] + tree.size[tree.right[k]] for k in np.flatnonzero(inner))
+        depth = forest.walk(tree, x)
+        assert (depth >= 0).all() and depth.max() <= 8 * forest.UNIT + forest.usual_depth(len(x)) * forest.UNIT + 1
+    table = forest.node_table(spark, [forest.grow(rng.random((256, 3)), 0, 42, 8)])
+    assert table.where("feature is null and depth is null").count() == 0 and table.where("path = ''").first().size == 256
+
+
 def spots(spark, rows):
     return spark.createDataFrame(rows, "id string, latitude double, longitude double, acq_date string, acq_time string, source_type string, cluster_id string, risk_score double, risk_level string, frp double, is_anomaly boolean").withColumn("last_updated", F.lit(None).cast("string"))
 
