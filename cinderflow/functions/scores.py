@@ -70,4 +70,4 @@ def fire_weather_index(temp: Column, humidity: Column, wind: Column, gust: Colum
 
 def forecast(fwi: Column, temp: Column, humidity: Column, wind: Column, cardinal: Column) -> Column:
     band = F.when(fwi >= 80, "Critical fire weather").when(fwi >= 60, "Elevated fire danger").when(fwi >= 35, "Moderate conditions").otherwise("Low hazard")
-    return F.concat(band, F.format_string(": %.1f C, humidity %.0f %%, wind %.1f km/h %s", temp, humidity, wind, cardinal))
+    return F.concat(band, F.format_string(": %.1f C, humidity %.0f %%, wind %.1f km/h %s", half_up(temp, 1), half_up(humidity, 0), half_up(wind, 1), cardinal))

@@ -50,8 +50,8 @@ def from_hotspots(rows: DataFrame, config: Alerts = Alerts()) -> DataFrame:
         .when(sev == "warning", F.concat(F.lit("High risk: "), title_case(source)))
         .otherwise(F.concat(F.lit("Notice: "), title_case(source)))
     )
-    wind_text = F.concat(F.format_string("Wind %.1f km/h", wind), F.coalesce(F.concat(F.lit(" "), c("cardinal")), F.lit("")), F.when(c("gust") > wind, F.format_string(", gusts %.1f km/h", c("gust"))).otherwise(""), F.lit("."))
-    message = F.concat_ws(" ", F.format_string("FRP %.1f MW.", "frp"), F.when(town.isNotNull(), F.format_string("Settlement at %.1f km.", town / 1000)), F.when(wind.isNotNull(), wind_text), F.when(c("humidity") <= 20, F.format_string("Very dry air (%.0f %%).", "humidity")))
+    wind_text = F.concat(F.format_string("Wind %.1f km/h", half_up(wind, 1)), F.coalesce(F.concat(F.lit(" "), c("cardinal")), F.lit("")), F.when(c("gust") > wind, F.format_string(", gusts %.1f km/h", half_up(c("gust"), 1))).otherwise(""), F.lit("."))
+    message = F.concat_ws(" ", F.format_string("FRP %.1f MW.", half_up(c("frp"), 1)), F.when(town.isNotNull(), F.format_string("Settlement at %.1f km.", half_up(town / 1000, 1))), F.when(wind.isNotNull(), wind_text), F.when(c("humidity") <= 20, F.format_string("Very dry air (%.0f %%).", half_up(c("humidity"), 0))))
     tags = F.array_compact(F.array(source, F.when(c("is_protected"), "protected_area"), F.when(c("frp") >= 100, "critical_frp"), F.when(c("is_anomaly"), "statistical_anomaly"), F.when(close, "settlement_proximity"), F.when(wind >= 30, "high_wind")))
     return rows.select(
         alert_id(c("id")).alias("id"), c("id").alias("hotspot_id"), sev.alias("severity"), F.concat(head, F.lit(" - "), place).alias("title"), message.alias("message"),
@@ -72,7 +72,7 @@ def from_incidents(incidents: DataFrame, hotspots: DataFrame, config: Alerts = A
     return joined.select(
         alert_id(c("incident_id")).alias("id"), c("primary_id").alias("hotspot_id"), sev.alias("severity"),
         F.coalesce("title", F.concat(F.lit("Incident: "), title_case(c("source_type")))).alias("title"),
-        F.coalesce("message", F.format_string("%d detections, peak FRP %.1f MW.", "n", "peak_frp")).alias("message"),
+        F.coalesce("message", F.format_string("%d detections, peak FRP %.1f MW.", "n", half_up(c("peak_frp"), 1))).alias("message"),
         half_up(c("risk_score"), 1).alias("risk_score"), F.lit(None).cast("string").alias("location_name"), "latitude", "longitude", c("last_seen").alias("timestamp"),
         F.lit(False).alias("is_acknowledged"), F.coalesce("recommended_action", F.lit("Monitor the area of the cluster.")).alias("recommended_action"),
         F.coalesce("tags", F.array(c("source_type"), F.lit("aggregated_incident"))).alias("tags"),
@@ -143,3 +143,8 @@ def unread(alerts: DataFrame) -> DataFrame:
 
 def acknowledged(alerts: DataFrame, alert: str) -> DataFrame:
     return alerts.withColumn("is_acknowledged", F.when(F.col("id") == alert, True).otherwise(F.col("is_acknowledged")))
+
+
+def orphans(alerts: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """Alerts whose hotspot isn't there."""
+    return alerts.join(hotspots.select(F.col("id").alias("hotspot_id")), "hotspot_id", "left_anti").select(*alerts.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import half_up
 from ..functions.text import recommendation
 
 # What a dossier says where a context is unknown.
@@ -18,9 +19,9 @@ GROUPS = {"geospatial": list(FALLBACK)[:6], "weather": list(FALLBACK)[6:13], "hi
 
 def dossiers(hotspots: DataFrame, details: DataFrame) -> DataFrame:
     """Hotspots left-joined with stored details (columns of FALLBACK, some may be absent). A context that is unknown as a
-    whole takes the fallback as a whole, so given and made-up values never mix in one."""
+    whole takes the fallback as a whole, so given and made-up values never mix in one. Of columns in both, those of the details count."""
     known = [c for c in FALLBACK if c in details.columns]
-    joined = hotspots.join(details.select("id", *known), "id", "left")
+    joined = hotspots.drop(*known).join(details.select("id", *known), "id", "left")
     out = {}
     for group, columns in GROUPS.items():
         have = [c for c in columns if c in known]
@@ -31,5 +32,5 @@ def dossiers(hotspots: DataFrame, details: DataFrame) -> DataFrame:
         out[f"{group}_known"] = given
     rows = joined.withColumns(out)
     first = F.concat(F.col("acq_date"), F.lit("T"), F.substring("acq_time", 1, 2), F.lit(":"), F.substring("acq_time", 3, 2), F.lit(":00Z"))
-    event = F.struct(first.alias("timestamp"), F.lit("detection").alias("type"), F.format_string("%s saw %.1f MW", "satellite", "frp").alias("summary"), F.create_map(F.lit("confidence"), F.col("confidence")).alias("details"))
+    event = F.struct(first.alias("timestamp"), F.lit("detection").alias("type"), F.format_string("%s saw %.1f MW", "satellite", half_up(F.col("frp"), 1)).alias("summary"), F.create_map(F.lit("confidence"), F.col("confidence")).alias("details"))
     return rows.withColumns({"first_date": F.coalesce(F.col("first_date") if "first_date" in rows.columns else F.lit(None), F.col("acq_date")), "recommendation": recommendation(F.col("risk_level"), F.col("source_type")), "timeline": F.array(event)})

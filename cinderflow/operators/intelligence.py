@@ -36,6 +36,34 @@ def confidence_score(raw: Column) -> Column:
     return F.when(text.isin("high", "h"), 0.95).when(text.isin("low", "l"), 0.35).when(value > 1, clamp(value / 100, 0, 1)).when(value.isNotNull(), clamp(value, 0, 1)).otherwise(0.65)
 
 
+def confidence_label(raw: Column) -> Column:
+    """low, nominal or high: a label or its first letter, else by the score of a number (high from 0.8, low below 0.4)."""
+    text, score = F.lower(F.trim(raw)), confidence_score(raw)
+    return F.when(text.isin("high", "h") | (score >= 0.8), "high").when(text.isin("low", "l") | (score < 0.4), "low").otherwise("nominal")
+
+
+def input_normalized(rows: DataFrame) -> DataFrame:
+    """What the engine reads of a detection that comes in any shape, text or numbers: id (id, hotspot_id, else UNKNOWN-HOTSPOT), frp (0 if
+    unknown or below), brightness (that, else bright_ti4; unknown or zero is 310), confidence as label and score, satellite and
+    instrument (VIIRS if unknown), position, daynight in capitals. Columns may be missing; blank texts are unknown."""
+    text = lambda name: F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name in rows.columns else F.lit(None).cast("string")
+    value = lambda name: number(text(name))
+    bright = F.coalesce(F.nullif(value("brightness"), F.lit(0.0)), F.nullif(value("bright_ti4"), F.lit(0.0)), F.lit(310.0))
+    raw = F.coalesce(text("confidence"), F.lit("nominal"))
+    return rows.select(
+        F.coalesce(text("id"), text("hotspot_id"), F.lit("UNKNOWN-HOTSPOT")).alias("id"),
+        F.greatest(F.coalesce(value("frp"), F.lit(0.0)), F.lit(0.0)).alias("frp"),
+        F.greatest(bright, F.lit(0.0)).alias("brightness"),
+        confidence_label(raw).alias("confidence"),
+        confidence_score(raw).alias("confidence_score"),
+        F.coalesce(text("satellite"), F.lit("VIIRS")).alias("satellite"),
+        F.coalesce(text("instrument"), F.lit("VIIRS")).alias("instrument"),
+        value("latitude").alias("latitude"),
+        value("longitude").alias("longitude"),
+        F.upper(text("daynight")).alias("daynight"),
+    )
+
+
 def any_known(*columns: str) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in columns))
 
@@ -247,8 +275,8 @@ def rationale(config: Anomaly = Anomaly()) -> Column:
         .when(c("population"), F.format_string("In line with the population: score %.3f.", "outlier_score"))
         .when(usual & ~c("is_outlier"), F.format_string("Recurrent site (%d passes in 30 days) at its usual radiance.", passes))
         .when(usual, F.format_string("Recurrent site far above its usual radiance: %.2f deviations.", "deviation"))
-        .when(c("is_outlier"), F.format_string("Radiance %.1f MW is %.2f deviations above the baseline.", "f_frp", "deviation"))
-        .otherwise(F.format_string("Radiance %.1f MW is within the baseline.", "f_frp"))
+        .when(c("is_outlier"), F.format_string("Radiance %.1f MW is %.2f deviations above the baseline.", half_up(c("f_frp"), 1), "deviation"))
+        .otherwise(F.format_string("Radiance %.1f MW is within the baseline.", half_up(c("f_frp"), 1)))
     )
 
 

@@ -48,3 +48,15 @@ def top_critical(rows: DataFrame, n: int = 5) -> DataFrame:
     """The n gravest critical or high hotspots: a top-k plan."""
     t = tier(F.col("risk_level"), F.col("risk_score"))
     return rows.withColumn("tier", t).where(F.col("tier").isin("critical", "high")).orderBy(F.desc("risk_score"), F.desc("frp"), "id").limit(n)
+
+
+def chart_sources(rows: DataFrame) -> DataFrame:
+    """Bars of the sources chart: the label before its slash, the count and the mean frp in whole megawatts."""
+    return source_breakdown(rows).select("source_type", F.trim(F.substring_index("label", "/", 1)).alias("name"), "n", F.floor(F.col("avg_frp") + 0.5).cast("long").alias("avg_frp"))
+
+
+def chart_peaks(rows: DataFrame, n: int = 6) -> DataFrame:
+    """Bars of the peaks chart, the n greatest by frp, then id: the id behind its first hyphen, the place before its first comma."""
+    tail = F.when(F.contains("id", F.lit("-")), F.expr("substring(id, locate('-', id) + 1)")).otherwise("")
+    place = F.coalesce(F.nullif(F.substring_index("nearest_place", ",", 1), F.lit("")), F.lit("Unknown"))
+    return rows.orderBy(F.desc("frp"), "id").limit(n).select(tail.alias("tail"), "frp", F.col("risk_score").alias("risk"), place.alias("place"))

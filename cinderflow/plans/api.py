@@ -27,6 +27,13 @@ class Service:
     def _has(self, name: str) -> bool:
         return self.store.has(name)
 
+    def seed(self, tables: dict[str, DataFrame]) -> bool:
+        """Loads whole tables in one commit where there are no hotspots yet; whether it did."""
+        if self._has("hotspots") and not self._table("hotspots").isEmpty():
+            return False
+        self.store.commit(KEYS, wholes=tables)
+        return True
+
     def hotspots(self, filters: HotspotFilter = HotspotFilter(), number: int = 1, size: int = 50) -> tuple[DataFrame, DataFrame]:
         """A page, and one row with the number of all matches and the data mode."""
         rows = filters.apply(self._table("hotspots"))
@@ -102,12 +109,13 @@ class Service:
         return n
 
     def health(self) -> DataFrame:
-        """status, data mode and last sync in one row."""
+        """status, data mode (demo unless the last sync was live) and last sync in one row."""
         if not self._has("meta"):
-            return self.spark.createDataFrame([("ok", None, None)], "status string, data_mode string, last_sync string")
+            return self.spark.createDataFrame([("ok", "demo", None)], "status string, data_mode string, last_sync string")
         value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
-        return self._table("meta").agg(F.lit("ok").alias("status"), value("data_mode").alias("data_mode"), value("last_sync").alias("last_sync"))
+        mode = F.when(value("data_mode") == "live", "live").otherwise("demo")
+        return self._table("meta").agg(F.lit("ok").alias("status"), mode.alias("data_mode"), value("last_sync").alias("last_sync"))
 
     def orphaned_alerts(self) -> DataFrame:
         """Alerts whose hotspot isn't there."""
-        return self._table("alerts").join(self._table("hotspots").select(F.col("id").alias("hotspot_id")), "hotspot_id", "left_anti")
+        return alerts.orphans(self._table("alerts"), self._table("hotspots"))

@@ -15,6 +15,7 @@ from ..operators.filters import HotspotFilter, feed, page
 from ..operators.graph import connected_components
 from ..sources import ingest, osm, weather
 from ..streaming import alert_state, refresh
+from . import service_queries
 from . import testdata as T
 
 RUN_DATE = "2024-02-01"
@@ -442,5 +443,8 @@ def stream_alerts(spark, sf):
     return refresh.latest(alert_state.alert_state(rows), "hotspot_id", "severity").select("hotspot_id", "severity", "id", "risk_score", "is_acknowledged", "seq")
 
 
+QUERIES |= service_queries.QUERIES
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_breakdown(spark, sf_dir)

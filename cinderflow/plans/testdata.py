@@ -135,3 +135,17 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.struct(F.when(k % 4 != 0, (k % 40).cast("string")).alias("temperature_2m"), F.when(k % 5 != 0, (k % 120).cast("string")).alias("relative_humidity_2m"), (k % 33 - 3).cast("string").alias("wind_speed_10m"), (k * 37 % 720).cast("string").alias("wind_direction_10m"))
     text = F.when(k % 17 == 0, "<html>busy</html>").otherwise(F.to_json(F.struct(series.alias("hourly"), now.alias("current"))))
     return table(spark, sf_dir, "supplier").select(k.alias("site"), text.alias("payload"))
+
+
+def loose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as texts under several names, with gaps and values that are no numbers."""
+    lat, lon = positions()
+    e, k = F.col("event_id"), F.regexp_extract("props", "([0-9]+)", 1)
+    label = F.when(e % 7 == 0, "H").when(e % 7 == 1, "low").when(e % 7 == 2, "nominal").when(e % 7 == 3, F.concat(F.lit(" "), k)).when(e % 7 == 4, (k.cast("double") / 100).cast("string")).when(e % 7 == 5, "?")
+    return dealt(table(spark, sf_dir, "events")).select(
+        F.when(e % 3 == 0, F.concat(F.lit("A"), e.cast("string"))).alias("id"), F.when(e % 3 == 1, F.concat(F.lit("B"), e.cast("string"))).when(e % 3 == 2, F.when(e % 2 == 0, F.concat(F.lit("C"), e.cast("string"))).otherwise(" ")).alias("hotspot_id"),
+        F.when(e % 11 == 0, "n/a").when(e % 11 == 1, "-4.5").when(e % 11 != 2, F.col("value").cast("string")).alias("frp"),
+        F.when(e % 4 == 0, "0").when(e % 4 == 1, (300 + F.col("value") * 0.4).cast("string")).alias("brightness"), F.when(e % 8 < 6, (301 + F.col("value") * 0.4).cast("string")).alias("bright_ti4"),
+        label.alias("confidence"), F.when(e % 2 == 0, "Terra").alias("satellite"), F.when(e % 5 == 0, "d").when(e % 5 == 1, "N").alias("daynight"),
+        F.when(e % 13 != 0, lat).alias("latitude"), F.when(e % 13 != 1, lon.cast("string")).otherwise("west").alias("longitude"),
+    )

@@ -32,12 +32,17 @@ def looks_like_error(spark: SparkSession, path: str) -> bool:
     return not first or any(w in first[0].value.lower() for w in ("error", "invalid", "html"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records as text columns."""
-    rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records of JSON files as text columns: an array a file, which is one task, or a record a `lines`, which is split like any text."""
+    rows = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
     return rows.drop("_corrupt_record")
 
 
+def landed_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    """`read_csv`, or None for a landing that begins with an error page, so that a chain of sources goes on to the next."""
+    return None if looks_like_error(spark, path) else read_csv(spark, path)
+
+
 def _first(raw: DataFrame, *names: str) -> Column:
     """The first of the columns that is there and not blank; header case doesn't matter."""
     known = {c.lower(): c for c in raw.columns}
@@ -193,9 +198,11 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def fallback(candidates: list[tuple[DataFrame | None, str, str]]) -> tuple[DataFrame | None, str, str]:
-    """The first source that has rows, with its mode and message: live, then cache, then demo."""
+    """The first source that has rows, with its mode and message: live, then cache, then demo. Rows from a cache were live once
+    and keep that mode."""
     for rows, mode, message in candidates:
         if rows is not None and not rows.isEmpty():
+            mode = "live" if mode == "cache" else mode
             return rows.withColumn("data_mode", F.lit(mode)), mode, message
     return None, "none", "no source has rows"
 
