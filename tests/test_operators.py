@@ -1,5 +1,8 @@
 """Known values of the operators, and properties of the order-dependent ones."""
 
+import math
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +143,22 @@ def test_recurrence(spark):
     assert (row.prior_30d, row.pattern, row.first_date) == (0, "none", None)
 
 
+def test_recurrence_at_a_hot_place(spark):
+    """A place with most rows, another in reach, one out of reach, rows without date or position: the same as from all pairs."""
+    made = [(f"a{k}", 34.0, -118.0, f"2026-0{6 + k % 3}-{1 + k % 27:02d}", float(k % 70)) for k in range(900)]
+    made += [(f"b{k}", 34.005, -118.0, f"2026-08-{1 + k:02d}", 80.0) for k in range(20)] + [("c", 35.0, -118.0, "2026-08-20", 5.0), ("d", 34.0, -118.0, "never", 5.0), ("e", None, -118.0, "2026-08-20", 5.0), ("f", float("nan"), -118.0, "2026-08-20", 5.0)]
+    rows = spark.createDataFrame(made, "id string, latitude double, longitude double, acq_date string, frp double")
+    got = {r.id: (r.prior_30d, r.prior_90d, r.persistence, r.first_date) for r in history.recurrence(rows).collect()}
+    dated = [(i, lat, date.fromisoformat(day)) for i, lat, _, day, _ in made if day != "never" and lat is not None and lat == lat]
+    for i, lat, _, day, _ in made:
+        past = [] if day == "never" or lat is None or lat != lat else [d for j, other, d in dated if j != i and abs(other - lat) < 0.008 and d <= date.fromisoformat(day)]
+        ages = [(date.fromisoformat(day) - d).days for d in past]
+        short = {a for a in ages if a <= 30}
+        want = (sum(a <= 30 for a in ages), sum(a <= 90 for a in ages), min(1.0, math.floor(len(short) / 7 * 100 + 0.5) / 100), str(min(past)) if past else None)
+        assert got.pop(i) == want, i
+    assert not got
+
+
 def scored(spark, **given):
     kinds = {"id": "string", "frp": "double", "brightness": "double", "confidence": "string"} | intelligence.CONTEXT
     row = {"id": "x", "frp": 10.0, "brightness": 330.0, "confidence": "nominal"} | given
