@@ -9,27 +9,29 @@ from ..config import Recurrence
 from ..functions.common import half_up
 from ..functions.geo import compass, haversine_m
 from ..functions.scores import fire_weather_index, forecast
+from ..plans.lineage import shuffled
 from ..sources.ingest import numbered
 from .history import recurrence
-from .spatial import as_right, coded, named, within
+from .spatial import PLACE, as_right, coded, named, placed, within
 
 SEARCH_M = 10_000.0
 
 
 def geo_context(points: DataFrame, features: DataFrame, search_m: float = SEARCH_M, key: str = "id") -> DataFrame:
-    """Nearest features and counts by category, protection and land cover, from one candidate join and one aggregate of longs."""
-    known = numbered(features.select("id", "name", "category", "latitude", "longitude"), ["id"])
-    pairs = within(points.select(key, "latitude", "longitude"), as_right(known, "sequence", "category"), max(search_m, 10_000.0))
+    """Nearest features and counts by category, protection and land cover, from one candidate join of places and one aggregate of longs."""
+    known = numbered(placed(features.select("id", "name", "category", *PLACE), "name"), ["id"])
+    pairs = within(points.select(*PLACE).distinct(), as_right(known, "sequence", "category", "n"), max(search_m, 10_000.0))
     kind = F.when(F.col("r_category").isin("protected_area", "natural"), "protected").otherwise(F.col("r_category"))
     pairs = pairs.withColumns({"kind": kind, "code": coded(F.col("distance_m"), F.col("r_sequence"))})
     reach = {"industrial": search_m, "infrastructure": search_m, "settlement": search_m, "protected": 3000.0}
     best = [F.min(F.when((F.col("kind") == k) & (F.col("distance_m") <= most), F.col("code"))).alias(f"c_{k}") for k, most in reach.items()]
-    counts = [F.count_if((F.col("kind") == k) & (F.col("distance_m") <= r)).alias(f"nearby_{k}") for k, r in (("industrial", 5000.0), ("infrastructure", 5000.0), ("settlement", 10_000.0))]
-    found = points.select(key, "latitude", "longitude").join(pairs.groupBy(key).agg(*best, *counts), key, "left")
+    counts = [F.sum(F.when((F.col("kind") == k) & (F.col("distance_m") <= r), F.col("r_n"))).alias(f"nearby_{k}") for k, r in (("industrial", 5000.0), ("infrastructure", 5000.0), ("settlement", 10_000.0))]
+    found = pairs.groupBy(*PLACE).agg(*best, *counts)
     for k in reach:
-        found = named(found, known, f"c_{k}", "id", "name", "latitude", "longitude")
+        found = named(found, known, f"c_{k}", "id", "name", *PLACE)
         metres = haversine_m(F.col("latitude"), F.col("longitude"), F.col(f"c_{k}_latitude"), F.col(f"c_{k}_longitude"))
         found = found.withColumn(k, F.when(F.col(f"c_{k}").isNotNull(), F.struct(F.col(f"c_{k}_id").alias("f"), F.col(f"c_{k}_name").alias("name"), metres.alias("m"))))
+    found = points.select(key, *PLACE).join(shuffled(found.select(*PLACE, *reach, *(f"nearby_{k}" for k in ("industrial", "infrastructure", "settlement")))), PLACE, "left")
     best = reach
     ind, prot, town = F.col("industrial.m") <= 400, F.col("protected.m") <= 1000, F.col("settlement.m") <= 1000
     return found.select(
@@ -44,10 +46,13 @@ def geo_context(points: DataFrame, features: DataFrame, search_m: float = SEARCH
     )
 
 
-def weather_context(points: DataFrame, weather: DataFrame, key: str = "id") -> DataFrame:
+def weather_context(points: DataFrame, weather: DataFrame, key: str = "id", first_by: str | None = None) -> DataFrame:
     """Weather of the point's grid cell (two decimals), with index, compass point and summary; nulls where there is none. Of several
-    rows of a cell one whole row counts, the greatest in the order of temperature, humidity and so on."""
-    grid = weather.groupBy("glat", "glon").agg(F.max(F.struct("temperature", "humidity", "wind", "gust", "direction", "rain")).alias("w")).select("glat", "glon", "w.*")
+    rows of a cell one whole row counts: the first in the order of column `first_by`, or, without it, the greatest in the order of temperature,
+    humidity and so on."""
+    values = F.struct("temperature", "humidity", "wind", "gust", "direction", "rain")
+    one = F.min_by(values, F.struct(first_by, values)) if first_by else F.max(values)
+    grid = weather.groupBy("glat", "glon").agg(one.alias("w")).select("glat", "glon", "w.*")
     cleaned = grid.select(
         "glat", "glon", "temperature",
         F.least(F.greatest("humidity", F.lit(0.0)), F.lit(100.0)).alias("humidity"),
@@ -86,5 +91,5 @@ def enriched(hotspots: DataFrame, features: DataFrame, weather: DataFrame, confi
     geo = geo_context(hotspots, features)
     wx = weather_context(hotspots, weather)
     past = recurrence(hotspots, config)
-    out = hotspots.join(geo, "id", "left").join(wx, "id", "left").join(past, "id", "left")
+    out = hotspots.join(shuffled(geo), "id", "left").join(shuffled(wx), "id", "left").join(shuffled(past), "id", "left")
     return out.withColumn("enrichment", status([F.col("land_cover").isNotNull(), F.col("weather_status") == "available", F.col("prior_30d").isNotNull()]))
