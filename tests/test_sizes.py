@@ -68,3 +68,28 @@ def test_stations_of_one_cell_in_the_queries(spark, tmp_path):
     assert T.weather(spark, str(tmp_path)).groupBy("glat", "glon").count().where("count > 1").count() > 0
     for name in ("weather_grid_join", "weather_texts"):
         assert alone(name, tmp_path) == alone(name, DATA), name
+
+
+def test_wide_cells_miss_nothing(spark):
+    """Cells of three radii: the same pairs as from cells of one, at a pole and across the date line too, with fewer copies of the right rows."""
+    u = lambda k: F.rand(k)
+    made = spark.range(0, 600, 1, 1).select(F.col("id"), F.when(F.col("id") % 3 == 0, 89.9 + u(1) * 0.1).otherwise(50 + u(2) * 0.1).alias("latitude"), F.when(F.col("id") % 3 == 2, 179.95 + u(3) * 0.05).when(F.col("id") % 3 == 1, -180 + u(4) * 0.05).otherwise(u(5) * 360 - 180).alias("longitude"))
+    rows = spark.createDataFrame(made.collect(), made.schema)
+    right = spatial.as_right(rows, "id")
+    pairs = [sorted(map(tuple, spatial.within(rows, right, 1500.0, wide=w).select("id", "r_id").collect())) for w in (1.0, 3.0)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 2000
+    copies = [spatial.spread(right.where("r_latitude < 60"), 1500.0, "r_latitude", "r_longitude", c).count() for c in (1500.0, 4500.0)]
+    assert copies[1] < 0.5 * copies[0]
+
+
+def test_rounds_over_incidents_are_on_longs(spark, monkeypatch):
+    """What a round passes on is two longs a row, and no rows of texts or structs."""
+    from cinderflow.operators import graph, incidents
+
+    kept, staged = [], incidents.staged
+    for module in (incidents, graph):
+        monkeypatch.setattr(module, "staged", lambda df, name: kept.append((name, set(dict(df.dtypes).values()))) or staged(df, name))
+    rows = T.hotspots(spark, DATA)
+    incidents.clusters(rows), incidents.components(rows)
+    rounds = [kinds for name, kinds in kept if name in ("incident-edges", "incident-seeds", "edges")]
+    assert len(rounds) > 6 and all(kinds == {"bigint"} for kinds in rounds)
