@@ -93,3 +93,20 @@ def test_rounds_over_incidents_are_on_longs(spark, monkeypatch):
     incidents.clusters(rows), incidents.components(rows)
     rounds = [kinds for name, kinds in kept if name in ("incident-edges", "incident-seeds", "edges")]
     assert len(rounds) > 6 and all(kinds == {"bigint"} for kinds in rounds)
+
+
+def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path):
+    """A file that Spark plans as many partitions, all of whose rows lie in one row group and so in one of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from cinderflow.plans.lineage import SHARE, dealt
+
+    import os
+
+    n = 400_000
+    pq.write_table(pa.table({"k": list(range(n)), "t": pa.array([os.urandom(24) for _ in range(n)])}), tmp_path / "one.parquet", row_group_size=n)
+    scan = spark.read.option("maxPartitionBytes", "1m").parquet(str(tmp_path / "one.parquet"))
+    sizes = dealt(scan).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) < n / 2
+    assert dealt(scan).rdd.getNumPartitions() >= os.path.getsize(tmp_path / "one.parquet") / SHARE
