@@ -8,12 +8,15 @@ after that begins anew. State lies in the state store, so that a restarted query
 
 Cases: an unknown risk is below all others, an unknown acknowledgement is none; rows without time are dropped (they have no place in
 the order); equal times go by seq; repeated rows change nothing.
+
+Of the held alerts only those stay in the state, and are read back, that the fold can still come to (`needed`): a few, however many arrive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +40,26 @@ def folded(now: Alert | None, later: list[Alert]) -> Alert | None:
     return now
 
 
+FIELDS = [f.split()[0] for f in ALERT.split(", ")]
+
+
+def needed(alerts: pd.DataFrame) -> pd.DataFrame:
+    """Those of a key's held alerts (columns FIELDS) that its fold can still come to, whatever arrives later: the first acknowledged one and the gravest from it
+    on; of those before it such as no later one exceeds, since an acknowledged one may yet come in between."""
+    rows = alerts.sort_values(["at_us", "seq", "id"], kind="stable", ignore_index=True)
+    if len(rows) < 2:
+        return rows
+    risk, known = rows.risk_score.to_numpy(), rows.is_acknowledged.to_numpy(dtype=bool)
+    first = int(known.argmax()) if known.any() else len(rows)
+    keep = risk >= np.maximum.accumulate(risk[::-1])[::-1]
+    keep[first:] = False
+    if first < len(rows):
+        keep[[first, first + int(risk[first:].argmax())]] = True
+    return rows[keep]
+
+
 class AlertState(StatefulProcessor):
-    """settled: the fold up to the watermark; held: alerts not yet passed by it."""
+    """settled: the fold up to the watermark; held: alerts not yet passed by it, as far as they are `needed`."""
 
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
@@ -49,8 +70,8 @@ class AlertState(StatefulProcessor):
         self.held = handle.getListState("held", ALERT)
         self.newest = handle.getValueState("newest", "at_us long")
 
-    def _settle(self, held: list[Alert], watermark_ms: int) -> Alert | None:
-        """Folds what the watermark has passed; returns the fold of everything. Sets the timer for the next to settle, or for the end."""
+    def _settle(self, held: list[Alert], watermark_ms: int, latest: int | None = None) -> Alert | None:
+        """latest: the time of the newest alert, held or not. Folds what the watermark has passed; returns the fold of everything. Sets the timer for the next to settle, or for the end."""
         held.sort(key=lambda a: (a[3], a[4], a[0]))
         passed = [a for a in held if a[3] < watermark_ms * 1000]
         rest = held[len(passed) :]
@@ -64,7 +85,8 @@ class AlertState(StatefulProcessor):
             self.held.clear()
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        newest = max([a[3] for a in held] + ([self.newest.get()[0]] if self.newest.exists() else []), default=None)
+        known = [latest] if latest is not None else []
+        newest = max([a[3] for a in held] + known + ([self.newest.get()[0]] if self.newest.exists() else []), default=None)
         if newest is not None:
             self.newest.update((newest,))
         if rest:
@@ -76,10 +98,16 @@ class AlertState(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         held = [tuple(a) for a in self.held.get()] if self.held.exists() else []
+        latest = None
         for frame in rows:
-            new = frame[frame.at_us >= watermark * 1000]
-            held += [(None if pd.isna(i) else i, float("-inf") if pd.isna(r) else float(r), bool(a), int(t), int(s)) for i, r, a, t, s in zip(new.id, new.risk_score, new.is_acknowledged, new.at_us, new.seq, strict=True)]
-        now = self._settle(held, watermark)
+            new = frame.loc[frame.at_us >= watermark * 1000, FIELDS]
+            if new.empty:
+                continue
+            latest = max(latest or 0, int(new.at_us.max()))
+            new = new.assign(risk_score=new.risk_score.astype(float).fillna(float("-inf")), is_acknowledged=new.is_acknowledged.astype(bool))
+            few = needed(pd.concat([pd.DataFrame(held, columns=FIELDS), needed(new)]) if held else new)
+            held = [(None if pd.isna(i) else i, float(r), bool(a), int(t), int(s)) for i, r, a, t, s in few.itertuples(index=False)]
+        now = self._settle(held, watermark, latest)
         if now is not None:
             yield self._row(key, now, False)
 

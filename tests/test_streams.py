@@ -127,3 +127,24 @@ def test_first_seen_within_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema("id string, event_time timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     got = sorted(map(tuple, refresh.appended(refresh.first_seen(stream)).select("id", F.col("event_time")).collect()))
     assert got == [("a", at(0)), ("a", at(202)), ("b", at(2)), ("c", at(200)), ("d", at(201))]
+
+
+def test_held_alerts_are_few_and_fold_alike():
+    """What is kept of held alerts gives the same fold whatever arrives later, and is a small part of them."""
+    import random
+
+    import pandas as pd
+
+    from cinderflow.streaming.alert_state import FIELDS, folded, needed
+
+    rng = random.Random(5)
+    row = lambda k, ack: (f"a{k}", rng.choice([float("-inf"), 1.0, 2.0, 3.0, rng.random() * 50]), rng.random() < ack, rng.randint(0, 5000), k)
+    order = lambda a: (a[3], a[4], a[0])
+    for ack in (0.0, 0.01, 0.2):
+        for _ in range(60):
+            held, later = [row(k, ack) for k in range(rng.randint(1, 200))], [row(k, ack) for k in range(1000, 1000 + rng.randint(0, 5))]
+            few = list(needed(pd.DataFrame(held, columns=FIELDS)).itertuples(index=False, name=None))
+            settled = rng.choice([None, ("s", 2.0, rng.random() < 0.5, -1, -1)])
+            assert folded(settled, sorted(few + later, key=order)) == folded(settled, sorted(held + later, key=order))
+    many = [("a", rng.random(), k % 5 == 0, k, k) for k in range(20_000)]
+    assert len(needed(pd.DataFrame(many, columns=FIELDS))) < 20
