@@ -15,8 +15,8 @@ def upserted(existing: DataFrame, new: DataFrame, key: str = "id", order: str =
     order of its values, so that the result depends on the rows alone. Columns must be of ordered types."""
     columns = existing.columns
     both = existing.withColumn("__o", F.lit(-1).cast("long")).unionByName(new.select(*columns, F.col(order).cast("long").alias("__o")))
-    picked = both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("__o", *columns)).alias("row"))
-    return picked.select("row.*")
+    picked = both.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct("__o", *columns)).alias("row"))
+    return picked.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
 class Conflict(RuntimeError):
@@ -105,7 +105,7 @@ class Store:
 
     def _write(self, table: str, rows: DataFrame, key: str, touched: Iterable[int]) -> dict[int, str]:
         folder = f"{table}/{uuid.uuid4().hex}"
-        marked = rows.withColumn("__bucket", self._bucket(key)).repartition("__bucket")
+        marked = rows.withColumn("__bucket", self._bucket(key)).hint("rebalance", "__bucket")  # a large bucket is written by several tasks
         marked.write.partitionBy("__bucket").parquet(f"{self.folder}/{folder}")
         rows.limit(0).write.parquet(f"{self.folder}/{folder}/none")  # what a bucket without rows reads as
         full = {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{folder}"))}

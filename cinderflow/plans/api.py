@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts, dossier, store, summary
 from ..operators.filters import HotspotFilter, page
 from ..sources import ingest
+from .lineage import staged
 
 
 KEYS = {"hotspots": "id", "alerts": "id", "details": "id", "meta": "key"}
@@ -95,7 +96,8 @@ class Service:
         raw, mode, message = ingest.fallback(raw_sources)
         if raw is None:
             return mode, message, 0
-        new = ingest.normalized(raw.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("data_mode", "batch_seq"))
+        # read and parsed once, then counted and stored from there
+        new = staged(ingest.normalized(raw.withColumn("batch_seq", F.monotonically_increasing_id()), run_date, keep=("data_mode", "batch_seq")), "refresh")
         ingested = new.select("id").distinct().count()
         meta = self.spark.createDataFrame([("data_mode", mode, 1), ("last_sync", now, 1)], "key string, value string, batch_seq long")
         self.store.commit(KEYS, {"hotspots": new, "meta": meta})

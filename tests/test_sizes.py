@@ -110,3 +110,33 @@ def test_one_row_group_is_dealt_to_many_tasks(spark, tmp_path):
     sizes = dealt(scan).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) < n / 2
     assert dealt(scan).rdd.getNumPartitions() >= os.path.getsize(tmp_path / "one.parquet") / SHARE
+
+
+def test_refresh_reads_its_feed_once(spark, tmp_path, monkeypatch):
+    """A refresh parses the feed once, whatever it then counts and stores."""
+    from cinderflow.plans.api import Service
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    raw = T.raw_rows(spark, DATA).drop("event_id").limit(200)
+    said = Service(spark, str(tmp_path / "s")).refresh([(raw.withColumn("frp", counted("frp")), "live", "fetched")], "2024-02-01", "now").first()
+    assert said.status == "success" and said.ingested > 100
+    assert seen.value <= 200
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from cinderflow.operators.store import Store
+
+    store = Store(spark, str(tmp_path / "s"), buckets=1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        store.commit({"t": "id"}, wholes={"t": spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = store.read("t")
+    assert len(rows.inputFiles()) > 1 and rows.count() == rows.distinct().count() == 200_000
