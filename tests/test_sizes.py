@@ -140,3 +140,15 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     rows = store.read("t")
     assert len(rows.inputFiles()) > 1 and rows.count() == rows.distinct().count() == 200_000
+
+
+def test_cells_beyond_the_date_line_are_as_few_as_elsewhere(spark):
+    """Copies of a table have sites further and further east. What lies beyond 180 meets what it lies next to, by a handful of cells."""
+    from cinderflow.functions import geo
+    from cinderflow.operators import spatial
+
+    points = spark.createDataFrame([(1, 30.0, -119.0), (2, 30.0, 179.999), (3, 30.0, 240.0), (4, 30.0, 240.001), (5, 30.0, -179.999), (6, 30.0, 5000.0), (7, 30.0, 5000.001)], "id long, latitude double, longitude double")
+    bands = points.select("longitude", F.size(geo.lon_cells_around(geo.lat_cell(F.col("latitude"), 1500.0), F.col("latitude"), F.col("longitude"), 1500.0)).alias("n"))
+    assert all(r.n <= 6 for r in bands.collect())
+    pairs = spatial.within(points, spatial.as_right(points, "id"), 1500.0, F.col("id") < F.col("r_id")).select("id", "r_id")
+    assert sorted(map(tuple, pairs.collect())) == [(2, 5), (3, 4), (6, 7)]
