@@ -152,3 +152,15 @@ def test_cells_beyond_the_date_line_are_as_few_as_elsewhere(spark):
     assert all(r.n <= 6 for r in bands.collect())
     pairs = spatial.within(points, spatial.as_right(points, "id"), 1500.0, F.col("id") < F.col("r_id")).select("id", "r_id")
     assert sorted(map(tuple, pairs.collect())) == [(2, 5), (3, 4), (6, 7)]
+
+
+def test_incidents_of_a_crowded_place_keep_few_edges(spark):
+    """Of those around a detection that are all proximate to each other it keeps two, however many there are."""
+    from cinderflow.operators import incidents
+
+    rows = [(f"d{i:03d}", 34.0 + i % 7 * 1e-4, -118.0, "2026-10-01", f"{i % 24:02d}00", "wildfire", "C" if i % 3 else None, i * 37 % 101 / 1.0, "high", 5.0, False) for i in range(120)]
+    spots = spark.createDataFrame(rows, "id string, latitude double, longitude double, acq_date string, acq_time string, source_type string, cluster_id string, risk_score double, risk_level string, frp double, is_anomaly boolean").withColumn("last_updated", F.lit(None).cast("string"))
+    ranks, tops = incidents.grouped(spots)
+    assert incidents.edges(spots).count() == 120 * 119 / 2
+    kept = {(r.above, r.below) for r in incidents.descents(spots, ranks).collect()}
+    assert len(kept) < 6 * 120 and all(a < b for a, b in kept) and {r.top for r in tops.collect()} == {1}
